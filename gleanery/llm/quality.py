@@ -2,7 +2,7 @@
 
 Two logistic models, good quality and toxicity, are fitted on at most MAX_LABELLED labelled rows (chosen by a hash of the
 id).  Their inputs are shape figures of the whole text (case, marks, symbols, digits, bars, repeated words and lines,
-word lengths) and word evidence: words whose label counts stand out, each with its log odds.  Then all documents are
+word lengths) and word evidence: words and word beginnings whose label counts stand out, each with its log odds.  Then all documents are
 scored.  Sums of the scores by path and host, over all documents, give posteriors: a host's mean is shrunk to the global
 mean, a path's to its host's, each by a strength fitted to the spread of the means (method of moments), so sparse sites
 stay near the prior.  A document's log odds move by PULL times the log odds of its path over the global ones.  A document
@@ -46,6 +46,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(_TABLE).split()
 
 
+def clues(words: list[bytes]) -> set[bytes]:
+    """Distinct words and their beginnings (four and five bytes, marked), so that a word's family counts too."""
+    own = set(words)
+    own |= {w[:4] + b"*" for w in own if len(w) > 4} | {w[:5] + b"*" for w in own if len(w) > 5}
+    return own
+
+
 def shape(text: str, words: list[bytes]) -> list[float]:
     """Figures between about 0 and 1 that don't depend on the length of a text, but for the last."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -73,7 +80,7 @@ class Model:
     def features(self, text: str) -> list[float]:
         words = words_of(text)
         out = shape(text, words)
-        own = set(words)
+        own = clues(words)
         for t in TARGETS:
             odds = [v for w in own & self.words[t].keys() if (v := self.words[t][w])]
             up, down = [v for v in odds if v > 0], [v for v in odds if v < 0]
@@ -130,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             seen = {t: Counter() for t in ("n", *TARGETS)}
             for text, *y in zip(b.column("text").to_pylist(), *(b.column(f"y_{t}").to_pylist() for t in TARGETS), strict=True):
-                own = set(words_of(text))
+                own = clues(words_of(text))
                 seen["n"].update(own)
                 for t, v in zip(TARGETS, y, strict=True):
                     if v:
