@@ -4,8 +4,9 @@ Two documents link when ``den * |A & B| >= num * |A | B|``.  The join is a token
 
 1. Sets.  Each text becomes its distinct shingles (64-bit hashes).  Equal sets become one: copies are members, not pairs.
 2. Order.  A counter table of fixed size (2^20 counters, over all shingles of all documents) ranks shingles from rare to
-   common.  Any two sets that link share one of their first ``n - ceil(t n) + 1`` shingles in this order, whatever the
-   order is; rare ones first keeps passages that many documents share out of these prefixes.
+   common.  Any two sets that link share at least SHARED of their first ``n - ceil(t n) + SHARED`` shingles in this
+   order, whatever the order is (or ``ceil(t n)``, if that is less); rare ones first keeps passages that many documents
+   share out of these prefixes.  A document with fewer prefix shingles in common with any others links with nothing.
 3. Groups.  Documents with equal min-hash bands gather round the most central of them (most common shingles), the
    leader.  Those that link with the leader and those that don't form separate groups, in blocks of bounded size.  Each
    block is stored with its token union and its members' tokens.
@@ -34,6 +35,7 @@ from .components import components
 
 WORDS, NUM, DEN = 3, 90, 100
 COUNTERS, CHUNK = 1 << 20, 1 << 12
+SHARED = 6
 BANDS, BAND_ROWS = 8, 3
 BLOCK_DOCS, BLOCK_TOKENS, COLUMNS = 64, 1 << 14, 1 << 14
 _rng = np.random.default_rng(11)
@@ -117,7 +119,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_co
                     bands[some, i] = x
             prefix, at = [], 0
             for size in n:
-                need = int(size) - (num * int(size) + den - 1) // den + 1
+                need = int(size) - (num * int(size) + den - 1) // den + SHARED
                 o = ordered[at : at + size]
                 at += size
                 prefix.append(np.partition(o, need - 1)[:need] if 0 < need < size else o)
@@ -194,11 +196,15 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     reps = full.join(copies, "key").where("doc_id = rep").dropDuplicates(["rep", "key"]).select("rep", "n", "central", "bands", "prefix")
     reps = common.table(reps, "jaccard-reps")
 
-    # prefix tokens of more than one document; what shares none links with nothing
+    # prefix tokens of more than one document; what shares too few links with nothing
+    least = F.least(F.lit(SHARED).cast("long"), F.floor((F.col("n") * num + (den - 1)) / den))
     entries = reps.select("rep", F.explode("prefix").alias("token"))
     common_tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     shared = common.table(entries.join(common_tokens, "token"), "jaccard-shared")
-    needed = common.table(shared.select("rep").distinct(), "jaccard-needed")
+    sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"), F.min(least).alias("least"))
+    enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(sizes, "rep").where("c >= least")
+    needed = common.table(enough.select("rep", "n", "least"), "jaccard-needed")
+    shared = shared.join(needed.select("rep"), "rep", "left_semi")
     common.release_shuffles(docs.sparkSession)
 
     # tokens of those, from their texts
@@ -208,12 +214,12 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
             some = [i for i, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), common.binary_list([sets[i].tobytes() for i in some])], names=["rep", "tokens"])
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed.select("rep"), "rep")
     tokens = common.table(texts.mapInArrow(tokenise, "rep long, tokens binary"), "jaccard-tokens")
     common.release_shuffles(docs.sparkSession)
 
     # leaders by bands
-    banded = reps.join(needed, "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
+    banded = reps.join(needed.select("rep"), "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).where("c > 1")
     led = banded.join(heads, ["band", "value"]).groupBy("rep").agg(F.max(F.struct("c", "top")).alias("best"))
     led = led.select("rep", (-F.col("best.top.minus")).alias("leader")).where("rep <> leader")
@@ -232,19 +238,19 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     stars = stars.groupBy("rep").agg(F.max(F.struct("linked", "leader")).alias("s")).select("rep", "s.leader", "s.linked")
 
     # groups in blocks
-    sizes = reps.join(needed, "rep").groupBy("rep").agg(F.sum("n").alias("n"))
-    members = sizes.join(stars, "rep", "left").select("rep", "n", F.coalesce("leader", "rep").alias("leader"), F.coalesce("linked", F.lit(True)).alias("linked"))
+    members = needed.join(stars, "rep", "left").select("rep", "n", "least", F.coalesce("leader", "rep").alias("leader"), F.coalesce("linked", F.lit(True)).alias("linked"))
     shape = members.groupBy("leader", "linked").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
     members = members.join(shape, ["leader", "linked"])
     block = F.concat_ws("/", "leader", "linked", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    members = common.table(members.select("rep", "leader", "linked", block.alias("block")), "jaccard-members")
+    members = common.table(members.select("rep", "leader", "linked", "least", block.alias("block")), "jaccard-members")
 
     # the matrix, and the blocks that meet in it
-    matrix = shared.join(members, "rep").select("token", "block", "leader", "linked").distinct()
+    matrix = shared.join(members, "rep").groupBy("token", "block", "leader", "linked").agg(F.min("least").alias("least"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     matrix = common.table(matrix.join(several, "token"), "jaccard-matrix")
-    other = matrix.select("token", *(F.col(c).alias(f"{c}_") for c in ("block", "leader", "linked")))
-    meet = matrix.join(other, "token").where("block < block_ and not (leader = leader_ and linked and linked_)").select("block", "block_").distinct()
+    other = matrix.select("token", *(F.col(c).alias(f"{c}_") for c in ("block", "leader", "linked", "least")))
+    meet = matrix.join(other, "token").where("block < block_ and not (leader = leader_ and linked and linked_)")
+    meet = meet.groupBy("block", "block_").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("least", "least_")).alias("least")).where("c >= least").select("block", "block_")
     alone = members.where("not linked").groupBy("block").count().where("count > 1").select("block", F.col("block").alias("block_"))
     meet = common.table(meet.unionByName(alone), "jaccard-meet")
 
@@ -257,7 +263,8 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
             for m in b.column("m").to_pylist():
                 sets = [np.frombuffer(x["tokens"], np.uint64) for x in m]
                 joined = np.concatenate(sets)
-                for c, v in zip(cols, (np.array([x["rep"] for x in m], np.int64), np.array([len(s) for s in sets], np.int64), joined, np.unique(joined)), strict=True):
+                union = np.unique(joined) if len(sets) > 1 else joined[:0]  # one member's union is its own tokens
+                for c, v in zip(cols, (np.array([x["rep"] for x in m], np.int64), np.array([len(s) for s in sets], np.int64), joined, union), strict=True):
                     c.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("block"), *(common.binary_list(c) for c in cols)], names=["block", "ids", "sizes", "tokens", "groupset"])
 
@@ -268,7 +275,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
         for b in batches:
             found: list[tuple[int, int]] = []
             for same, x, y in zip(*(b.column(c).to_pylist() for c in ("same", "x", "y")), strict=True):
-                read = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["groupset"], np.uint64))
+                read = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["groupset"] or r["tokens"], np.uint64))
                 found += open_blocks(read(x), read(y), num, den, same)
             yield _links(found)
 
@@ -277,7 +284,9 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     right = blocks.select(F.col("block").alias("block_"), content.alias("y"))
     met = meet.join(left, "block").join(right, "block_").select((F.col("block") == F.col("block_")).alias("same"), "x", "y")
     found = met.mapInArrow(verify, "a long, b long").unionByName(stars.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    return sig, copies, common.table(found, "jaccard-links")
+    found = common.table(found, "jaccard-links")
+    common.release_shuffles(docs.sparkSession)
+    return sig, copies, found
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
