@@ -54,7 +54,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _tables.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gleanery_path = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables that only fed others which are written by now, and lets shuffle files go."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._gleanery_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    release_shuffles(spark)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -35,7 +35,7 @@ from .components import components
 
 WORDS, NUM, DEN = 3, 90, 100
 COUNTERS, CHUNK = 1 << 20, 1 << 12
-SHARED = 6
+SHARED = 12
 BANDS, BAND_ROWS = 8, 3
 BLOCK_DOCS, BLOCK_TOKENS, COLUMNS = 64, 1 << 14, 1 << 14
 _rng = np.random.default_rng(11)
@@ -204,25 +204,28 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"), F.min(least).alias("least"))
     enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(sizes, "rep").where("c >= least")
     needed = common.table(enough.select("rep", "n", "least"), "jaccard-needed")
-    shared = shared.join(needed.select("rep"), "rep", "left_semi")
-    common.release_shuffles(docs.sparkSession)
-
-    # tokens of those, from their texts
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column(1), words)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), common.binary_list([sets[i].tobytes() for i in some])], names=["rep", "tokens"])
-
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed.select("rep"), "rep")
-    tokens = common.table(texts.mapInArrow(tokenise, "rep long, tokens binary"), "jaccard-tokens")
+    shared_all, shared = shared, shared.join(needed.select("rep"), "rep", "left_semi")
     common.release_shuffles(docs.sparkSession)
 
     # leaders by bands
     banded = reps.join(needed.select("rep"), "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).where("c > 1")
     led = banded.join(heads, ["band", "value"]).groupBy("rep").agg(F.max(F.struct("c", "top")).alias("best"))
-    led = led.select("rep", (-F.col("best.top.minus")).alias("leader")).where("rep <> leader")
+    led = common.table(led.select("rep", (-F.col("best.top.minus")).alias("leader")).where("rep <> leader"), "jaccard-led")
+    common.done_with(reps)
+
+    # tokens of those that need them, from their texts
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column("text"), words)
+            some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(some), common.binary_list([s.tobytes() for s in sets if len(s)]), b.column("is_led").take(some), b.column("leads").take(some)], names=["rep", "tokens", "is_led", "leads"])
+
+    roles = needed.select("rep").join(led.select("rep", F.lit(True).alias("is_led")), "rep", "left")
+    roles = roles.join(led.select(F.col("leader").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "left")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles, "rep")
+    tokens = common.table(texts.select("rep", "text", "is_led", "leads").mapInArrow(tokenise, "rep long, tokens binary, is_led boolean, leads boolean"), "jaccard-tokens")
+    common.release_shuffles(docs.sparkSession)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,8 +236,10 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
                 flags.append(both * den >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("leader"), pa.array(flags, pa.bool_())], names=["rep", "leader", "linked"])
 
-    pairs = led.join(tokens.select("rep", F.col("tokens").alias("x")), "rep").join(tokens.select(F.col("rep").alias("leader"), F.col("tokens").alias("y")), "leader")
+    pairs = led.join(tokens.where("is_led").select("rep", F.col("tokens").alias("x")), "rep")
+    pairs = pairs.join(tokens.where("leads").select(F.col("rep").alias("leader"), F.col("tokens").alias("y")), "leader")
     stars = common.table(pairs.select("rep", "leader", "x", "y").mapInArrow(star, "rep long, leader long, linked boolean"), "jaccard-stars")
+    common.done_with(led)
     stars = stars.groupBy("rep").agg(F.max(F.struct("linked", "leader")).alias("s")).select("rep", "s.leader", "s.linked")
 
     # groups in blocks
@@ -248,14 +253,16 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     matrix = shared.join(members, "rep").groupBy("token", "block", "leader", "linked").agg(F.min("least").alias("least"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     matrix = common.table(matrix.join(several, "token"), "jaccard-matrix")
+    common.done_with(shared_all)
     other = matrix.select("token", *(F.col(c).alias(f"{c}_") for c in ("block", "leader", "linked", "least")))
     meet = matrix.join(other, "token").where("block < block_ and not (leader = leader_ and linked and linked_)")
     meet = meet.groupBy("block", "block_").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("least", "least_")).alias("least")).where("c >= least").select("block", "block_")
     alone = members.where("not linked").groupBy("block").count().where("count > 1").select("block", F.col("block").alias("block_"))
     meet = common.table(meet.unionByName(alone), "jaccard-meet")
+    common.done_with(matrix)
 
     used = meet.select("block").unionByName(meet.select(F.col("block_").alias("block"))).distinct()
-    inside = members.join(used, "block").select("rep", "block").join(tokens, "rep")
+    inside = members.join(used, "block").select("rep", "block").join(tokens.select("rep", "tokens"), "rep")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,6 +278,8 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     blocks = inside.groupBy("block").agg(F.collect_list(F.struct("rep", "tokens")).alias("m"))
     blocks = common.table(blocks.mapInArrow(store, "block string, ids binary, sizes binary, tokens binary, groupset binary"), "jaccard-blocks")
 
+    common.done_with(tokens)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
@@ -285,7 +294,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     met = meet.join(left, "block").join(right, "block_").select((F.col("block") == F.col("block_")).alias("same"), "x", "y")
     found = met.mapInArrow(verify, "a long, b long").unionByName(stars.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     found = common.table(found, "jaccard-links")
-    common.release_shuffles(docs.sparkSession)
+    common.done_with(blocks, meet, members, needed)
     return sig, copies, found
 
 
