@@ -223,7 +223,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
 
     roles = needed.select("rep").join(led.select("rep", F.lit(True).alias("is_led")), "rep", "left")
     roles = roles.join(led.select(F.col("leader").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "left")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles, "rep")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles.hint("merge"), "rep")  # roles grow with the input
     tokens = common.table(texts.select("rep", "text", "is_led", "leads").mapInArrow(tokenise, "rep long, tokens binary, is_led boolean, leads boolean"), "jaccard-tokens")
     common.release_shuffles(docs.sparkSession)
 
