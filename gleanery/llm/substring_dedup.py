@@ -89,7 +89,8 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     shared = common.table(rows.join(lows, "low", "left_semi"), "runs")
     common.release_shuffles(spark)
     paths = common.table(shared.groupBy("low", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "paths")
-    branching = paths.groupBy("low").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("low")
+    # a table, so that the join below has a plain exchange on either side, which Spark splits where a minimiser is hot
+    branching = common.table(paths.groupBy("low").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("low"), "branching")
     split = paths.join(branching, "low", "left_semi").select("run", F.col("first").alias("doc_id"))
     asked = split.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
