@@ -13,17 +13,19 @@ ties go to the example read first; an empty table gives no pieces; other columns
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-TOKENS, SEGMENTS, POOL, CACHE = 2048, 256, 256, 400_000
+TOKENS, SEGMENTS, POOL, CACHE = 2048, 256, 256, 600_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,66 +39,78 @@ class WordTokenizer:
     """Ids of texts as bytes (uint32).  This vocabulary's ids don't depend on neighbouring words, so words are cached.
 
     Texts are split at spaces and line feeds alone: every tokenizer split happens there too.  ASCII letters are
-    lower-cased first, as the tokenizer does; texts that could hold a special token go to it whole.
+    lower-cased first, as the tokenizer does; texts that could hold a special token go to it whole.  New words are
+    encoded many at a time, with a special token between them.  When the cache is full, its older half stays: common
+    words come early.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.whole = not self._by_word(path)
-
-    @staticmethod
-    def _by_word(path: str) -> bool:
-        import json
-
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
-        return "</w>" == (d["model"].get("end_of_word_suffix") or "") and any(n.get("type") == "Lowercase" for n in d["normalizer"]["normalizers"])
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        cache = self.cache
-        if len(cache) + len(words) > CACHE:
-            cache.clear()
-            cache[""] = b""
-        cores, split = set(), {}
-        for w in words:
-            core = w.rstrip(".,!?;:")
-            if core != w and core and "a" <= core[-1] <= "z":  # a letter ends a token, marks begin the next
-                split[w] = (core, w[len(core):])
-                cores.update(split[w])
-            else:
-                cores.add(w)
-        new = [w for w in cores if w not in cache]
-        cache.update(zip(new, self._direct(new), strict=True))
-        for w, (a, b) in split.items():
-            cache[w] = cache[a] + cache[b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if self.whole or "<|" in text:
-                out += self._direct([text])
-                continue
-            words = text.encode().lower().decode().replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
-            except KeyError:
-                new = {w for w in words if w not in self.cache}
-                if len(new) + len(self.cache) > CACHE:
-                    new = set(words)
-                if len(new) > CACHE // 2:
-                    out += self._direct([text])
-                    continue
-                self._learn(new)
-                out.append(b"".join([self.cache[w] for w in words]))
+        by_word = d["model"].get("end_of_word_suffix") == "</w>" and any(n.get("type") == "Lowercase" for n in d["normalizer"]["normalizers"])
+        special = [t for t in d["added_tokens"] if t["special"] and t["content"].startswith("<|")] if by_word else []
+        self.whole, self.mark = not special, (special[0]["content"], special[0]["id"]) if special else ("", -1)
+        self.cache: dict[str, bytes] = {"": b""}
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 4096):
+            ids = np.array(self.t.encode_batch_fast([self.mark[0].join(words[i : i + 4096])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark[1])
+            raw, at = ids.tobytes(), 0
+            for e in (4 * ends).tolist():
+                yield raw[at:e]
+                at = e + 4
+            yield raw[at:]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null counts as empty.  Each distinct word is looked up once."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.whole:
+            return [self._direct(t) for t in texts.to_pylist()]
+        special = pc.match_substring(texts, "<|")
+        plain = pc.replace_substring(pc.ascii_lower(pc.if_else(special, "", texts)), "\n", " ")
+        # a letter ends a token and marks begin the next: without its marks a word is seen more often
+        split = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,!?;:]+ )", r"\1 \2"), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(self.cache) > CACHE:
+            self.cache = dict(islice(self.cache.items(), CACHE // 2))
+        parts = list(map(self.cache.get, distinct))
+        at = [i for i, p in enumerate(parts) if p is None]
+        new = [distinct[i] for i in at]
+        for i, w, p in zip(at, new, self._encode_words(new) if new else (), strict=True):
+            parts[i] = self.cache[w] = p
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        blob, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        end = np.cumsum(n)
+        ids = blob[np.arange(int(n.sum())) + np.repeat(first[at] - end + n, n)]
+        bounds = np.concatenate(([0], end))[split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()]
+        out = [ids[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._direct(texts[i].as_py())
         return out
 
 
+_known: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's tokenizer, kept with its cache from task to task."""
+    if path not in _known:
+        _known[path] = WordTokenizer(path)
+    return _known[path]
+
+
 class Packer:
     """Yields (item, start, length, sequence, offset) for items given as (key, tokens, loss tokens)."""
 
@@ -200,6 +214,18 @@ def pack(examples: Iterable[tuple[object, int, int]], **limits) -> list[tuple]:
     return out + list(packer.rest())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together: more words repeat in them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(len(x) for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, close: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
     """Pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; every token bears loss."""
     common.prepare(docs.sparkSession)
@@ -208,7 +234,7 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow_kind: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokenizer(path), Packer(tokens, segments)
+        words, packer = tokenizer_of(path), Packer(tokens, segments)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, bytes, int]] = {}
         serial = 0
@@ -227,10 +253,10 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow_kind[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in _gathered(batches):
             arrow_kind[:] = [batch.schema.field(0).type]
             items = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
                 held[serial] = (doc, ids + end, len(ids) // 4 + 1)
                 items.append((serial, len(ids) // 4 + 1, len(ids) // 4 + 1))
                 serial += 1
@@ -243,5 +269,3 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
-
-Encoder = Callable[[list[str]], list[bytes]]
