@@ -39,7 +39,7 @@ for _c in b".,;:'\"()-":
     _CLASS[_c] = 5
 _CLASS[128:] = 6
 _CLASS[ord("|")], _CLASS[ord("!")], _CLASS[ord("?")] = 7, 8, 8
-SHAPES = 14
+SHAPES, CLUES = 14, 12
 
 
 def words_of(text: str) -> list[bytes]:
@@ -82,9 +82,11 @@ class Model:
         out = shape(text, words)
         own = clues(words)
         for t in TARGETS:
-            odds = [v for w in own & self.words[t].keys() if (v := self.words[t][w])]
-            up, down = [v for v in odds if v > 0], [v for v in odds if v < 0]
-            out += [max(up, default=0.0), min(down, default=0.0), float(np.log1p(len(up))), float(np.log1p(len(down)))]
+            odds = {w: self.words[t][w] for w in own & self.words[t].keys()}
+            up = sorted((v for w, v in odds.items() if v > 0 and w[-1:] != b"*"), reverse=True)[:3] + [0.0] * 3
+            n_up, n_down = sum(v > 0 for v in odds.values()), sum(v < 0 for v in odds.values())
+            # one clue may be chance, several aren't; many words have more chances
+            out += [*up[:3], float(np.log1p(n_up)), float(np.log1p(n_down)), min(1.0, 10 * n_up / max(1, len(words)))]
         return out
 
     def fit(self, x: np.ndarray, y: dict[str, np.ndarray]) -> None:
@@ -126,10 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model()
     total = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"y_{t}").alias(t) for t in TARGETS)).first()
     if not total.n:
-        model.fit(np.zeros((1, SHAPES + 8)), {t: np.zeros(1) for t in TARGETS})
+        model.fit(np.zeros((1, SHAPES + CLUES)), {t: np.zeros(1) for t in TARGETS})
         model.share = {"quality": 1.0, "toxic": 0.0}
         for t in TARGETS:
-            model.weights[t] = np.append(np.zeros(SHAPES + 8), np.log((0.99 if t == "quality" else 0.01) / (0.01 if t == "quality" else 0.99)))
+            model.weights[t] = np.append(np.zeros(SHAPES + CLUES), np.log((0.99 if t == "quality" else 0.01) / (0.01 if t == "quality" else 0.99)))
         return model
     model.share = {t: total[t] / total.n for t in TARGETS}
 
@@ -152,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         p = min(max(model.share[t], 1e-6), 1 - 1e-6)
         odds = F.log((F.col(t) + 0.5 * p) / (F.col("n") - F.col(t) + 0.5 * (1 - p))) - float(np.log(p / (1 - p)))
         z = (F.col(t) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-        top = counts.where(F.col("n") >= LEAST_COUNT).withColumns({"odds": odds, "z": F.abs(z)}).where("z >= 4.5").orderBy(F.desc("z"), "word").limit(MAX_WORDS)
+        whole = ~F.endswith("word", F.lit(b"*"))  # beginnings are many: they have to stand out more
+        stands = ((F.col("n") >= LEAST_COUNT) & (F.col("z") >= 4.5) & whole) | ((F.col("n") >= 2 * LEAST_COUNT) & (F.col("z") >= 6))
+        top = counts.withColumns({"odds": odds, "z": F.abs(z)}).where(stands).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
         model.words[t] = {bytes(r.word): r.odds for r in top.select("word", "odds").collect()}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
