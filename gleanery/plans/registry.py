@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
 
-def queries() -> dict:
-    return {}
+from gleanery.plans.queries import ORACLES, QUERIES
+from gleanery.session import prepare
+
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _prepared(f: Callable) -> Callable:
+    def run(spark, sf_dir):
+        prepare(spark, ROOT)
+        return f(spark, sf_dir)
+
+    run.__name__ = f.__name__
+    return run
+
+
+def queries() -> dict[str, Callable]:
+    return {name: _prepared(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
