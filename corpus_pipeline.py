@@ -49,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack_texts(docs)
+    return packing.pack_texts(docs, cache=200_000)  # workers run other stages too
 
 
 STAGES = [

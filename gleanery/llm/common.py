@@ -7,10 +7,13 @@ a 64-bit mixer; it does not depend on where the word stands, so texts are hashed
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -87,13 +90,27 @@ def _drop_tables() -> None:
             pass
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` over Arrow batches; afterwards the worker gives freed memory back, as it lives on for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 _rng = np.random.default_rng(20240131)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.multiply.accumulate(np.full(1 << 12, _BASE, np.uint64))
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

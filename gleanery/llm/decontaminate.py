@@ -190,7 +190,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
     none = True
     for auto in build_blocks(benchmark, item_col, item_text, window):
-        out, none = out.mapInArrow(walk(spark.sparkContext.broadcast(auto)), schema), False
+        out, none = out.mapInArrow(common.frugal(walk(spark.sparkContext.broadcast(auto))), schema), False
     if none:
         out = out.mapInArrow(walk(spark.sparkContext.broadcast(SuffixAutomaton([], window))), schema)
     return out

@@ -37,7 +37,7 @@ WORDS, NUM, DEN = 3, 90, 100
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 SHARED = 12
 BANDS, BAND_ROWS = 8, 3
-BLOCK_DOCS, BLOCK_TOKENS, COLUMNS = 64, 1 << 14, 1 << 14
+BLOCK_DOCS, BLOCK_TOKENS, COLUMNS = 32, 1 << 13, 1 << 14
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 2**64, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -88,9 +88,9 @@ def ranks(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
             [pa.array(list(sums), pa.int32()), common.binary_list([np.minimum(255, 4 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in sums.values()])], names=["chunk", "r"]
         )
 
-    counted = docs.select(text_col).mapInArrow(count, "chunk int, n binary").repartition(parts, "chunk")
+    counted = docs.select(text_col).mapInArrow(common.frugal(count), "chunk int, n binary").repartition(parts, "chunk")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
-    for r in counted.mapInArrow(add, "chunk int, r binary").collect():  # COUNTERS bytes in all
+    for r in counted.mapInArrow(common.frugal(add), "chunk int, r binary").collect():  # COUNTERS bytes in all
         out[r.chunk] = np.frombuffer(bytes(r.r), np.uint8)
     return out.ravel()
 
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, key binary, central double, bands array<long>, prefix array<long>")
+    return rows.mapInArrow(common.frugal(run), f"doc_id {kind}, n long, key binary, central double, bands array<long>, prefix array<long>")
 
 
 def _links(pairs: list[tuple[int, int]], flags: list[bool] | None = None) -> pa.RecordBatch:
@@ -224,7 +224,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     roles = needed.select("rep").join(led.select("rep", F.lit(True).alias("is_led")), "rep", "left")
     roles = roles.join(led.select(F.col("leader").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "left")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles.hint("merge"), "rep")  # roles grow with the input
-    tokens = common.table(texts.select("rep", "text", "is_led", "leads").mapInArrow(tokenise, "rep long, tokens binary, is_led boolean, leads boolean"), "jaccard-tokens")
+    tokens = common.table(texts.select("rep", "text", "is_led", "leads").mapInArrow(common.frugal(tokenise), "rep long, tokens binary, is_led boolean, leads boolean"), "jaccard-tokens")
     common.release_shuffles(docs.sparkSession)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
 
     pairs = led.join(tokens.where("is_led").select("rep", F.col("tokens").alias("x")), "rep")
     pairs = pairs.join(tokens.where("leads").select(F.col("rep").alias("leader"), F.col("tokens").alias("y")), "leader")
-    stars = common.table(pairs.select("rep", "leader", "x", "y").mapInArrow(star, "rep long, leader long, linked boolean"), "jaccard-stars")
+    stars = common.table(pairs.select("rep", "leader", "x", "y").mapInArrow(common.frugal(star), "rep long, leader long, linked boolean"), "jaccard-stars")
     common.done_with(led)
     stars = stars.groupBy("rep").agg(F.max(F.struct("linked", "leader")).alias("s")).select("rep", "s.leader", "s.linked")
 
@@ -267,7 +267,8 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list[bytes]] = [[], [], [], []]
-            for m in b.column("m").to_pylist():
+            for i in range(len(b)):  # row by row: blocks are large
+                m = b.column("m")[i].as_py()
                 sets = [np.frombuffer(x["tokens"], np.uint64) for x in m]
                 joined = np.concatenate(sets)
                 union = np.unique(joined) if len(sets) > 1 else joined[:0]  # one member's union is its own tokens
@@ -276,14 +277,15 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
             yield pa.RecordBatch.from_arrays([b.column("block"), *(common.binary_list(c) for c in cols)], names=["block", "ids", "sizes", "tokens", "groupset"])
 
     blocks = inside.groupBy("block").agg(F.collect_list(F.struct("rep", "tokens")).alias("m"))
-    blocks = common.table(blocks.mapInArrow(store, "block string, ids binary, sizes binary, tokens binary, groupset binary"), "jaccard-blocks")
+    blocks = common.table(blocks.mapInArrow(common.frugal(store), "block string, ids binary, sizes binary, tokens binary, groupset binary"), "jaccard-blocks")
 
     common.done_with(tokens)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
-            for same, x, y in zip(*(b.column(c).to_pylist() for c in ("same", "x", "y")), strict=True):
+            for i in range(len(b)):  # row by row: blocks are large
+                same, x, y = (b.column(c)[i].as_py() for c in ("same", "x", "y"))
                 read = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["groupset"] or r["tokens"], np.uint64))
                 found += open_blocks(read(x), read(y), num, den, same)
             yield _links(found)
@@ -292,7 +294,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     left = blocks.select("block", content.alias("x"))
     right = blocks.select(F.col("block").alias("block_"), content.alias("y"))
     met = meet.join(left, "block").join(right, "block_").select((F.col("block") == F.col("block_")).alias("same"), "x", "y")
-    found = met.mapInArrow(verify, "a long, b long").unionByName(stars.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    found = met.mapInArrow(common.frugal(verify), "a long, b long").unionByName(stars.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     found = common.table(found, "jaccard-links")
     common.done_with(blocks, meet, members, needed)
     return sig, copies, found

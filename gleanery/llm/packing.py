@@ -44,7 +44,7 @@ class WordTokenizer:
     words come early.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -56,6 +56,7 @@ class WordTokenizer:
         special = [t for t in d["added_tokens"] if t["special"] and t["content"].startswith("<|")] if by_word else []
         self.whole, self.mark = not special, (special[0]["content"], special[0]["id"]) if special else ("", -1)
         self.cache: dict[str, bytes] = {"": b""}
+        self.most = most
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,8 +82,8 @@ class WordTokenizer:
         split = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,!?;:]+ )", r"\1 \2"), " ")
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        if len(self.cache) > CACHE:
-            self.cache = dict(islice(self.cache.items(), CACHE // 2))
+        if len(self.cache) > self.most:
+            self.cache = dict(islice(self.cache.items(), self.most // 2))
         parts = list(map(self.cache.get, distinct))
         at = [i for i, p in enumerate(parts) if p is None]
         new = [distinct[i] for i in at]
@@ -104,10 +105,11 @@ class WordTokenizer:
 _known: dict[str, WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
+def tokenizer_of(path: str, most: int = CACHE) -> WordTokenizer:
     """The worker's tokenizer, kept with its cache from task to task."""
     if path not in _known:
         _known[path] = WordTokenizer(path)
+    _known[path].most = most
     return _known[path]
 
 
@@ -226,15 +228,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8
         yield pa.concat_batches(held)
 
 
-def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, close: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
-    """Pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; every token bears loss."""
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, close: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, cache: int = CACHE) -> DataFrame:
+    """Pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; every token bears loss.
+
+    ``cache`` words are kept in each Python worker, at about 200 bytes each.
+    """
     common.prepare(docs.sparkSession)
     path, end = tokenizer or public_tokenizer(), np.array([close], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_kind: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = tokenizer_of(path), Packer(tokens, segments)
+        words, packer = tokenizer_of(path, cache), Packer(tokens, segments)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, bytes, int]] = {}
         serial = 0
@@ -267,5 +272,5 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if arrow_kind:
             yield batch_of(emit(packer.rest()))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.frugal(run), f"doc_id {kind}, {PIECES}")
 

@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [common.binary_list(keys), *(pa.array([seen[t][k] for k in keys], pa.int64()) for t in seen)], names=["word", "n", *TARGETS]
             )
 
-    counts = rows.mapInArrow(count, "word binary, n long, quality long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS)))
+    counts = rows.mapInArrow(common.frugal(count), "word binary, n long, quality long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS)))
     for t in TARGETS:
         p = min(max(model.share[t], 1e-6), 1 - 1e-6)
         odds = F.log((F.col(t) + 0.5 * p) / (F.col("n") - F.col(t) + 0.5 * (1 - p))) - float(np.log(p / (1 - p)))
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [common.long_list(x.ravel().view(np.int64), np.full(len(x), x.shape[1])), *(b.column(f"y_{t}") for t in TARGETS)], names=["x", *(f"y_{t}" for t in TARGETS)]
             )
 
-    table = rows.mapInArrow(features, "x array<long>, y_quality int, y_toxic int").toArrow()
+    table = rows.mapInArrow(common.frugal(features), "x array<long>, y_quality int, y_toxic int").toArrow()
     x = np.array(table["x"].to_pylist(), np.int64).view(np.float64)
     model.fit(x, {t: table[f"y_{t}"].to_numpy() for t in TARGETS})
     return model
@@ -189,7 +189,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             p = sent.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(p[:, 0]), pa.array(p[:, 1])], names=b.schema.names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(common.frugal(run), out.schema)
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:

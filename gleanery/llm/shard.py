@@ -71,7 +71,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     by_part = ordered.repartition(parts, "part").sortWithinPartitions("part", "ord", "doc_id")
-    placed = common.table(by_part.mapInArrow(place, f"doc_id {kind}, size long, text_crc32 long, part int, shard int, cum long"), "shard-placed")
+    placed = common.table(by_part.mapInArrow(common.frugal(place), f"doc_id {kind}, size long, text_crc32 long, part int, shard int, cum long"), "shard-placed")
     counts = sorted((r.shard, r.part, r["count"]) for r in placed.groupBy("shard", "part").count().collect())
     slot_base, before, last = {}, 0, None
     for shard, part, n in counts:
@@ -97,4 +97,4 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
             )
 
     in_order = placed.repartition(parts, "part").sortWithinPartitions("part", "cum", "doc_id")
-    return in_order.mapInArrow(number, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
+    return in_order.mapInArrow(common.frugal(number), f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")

@@ -82,7 +82,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
             low, run, own, *_ = super_runs(b.column(1), window)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), _as_long(low), _as_long(run)], names=["doc_id", "low", "run"])
 
-    rows = texts.mapInArrow(emit, "doc_id long, low long, run long")
+    rows = texts.mapInArrow(common.frugal(emit), "doc_id long, low long, run long")
     lows = rows.select("doc_id", "low").groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("low")
     lows = common.table(lows, "runs-shared")
     common.release_shuffles(spark)
@@ -120,7 +120,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
                 names=["first", "run", "bit", "edge"],
             )
 
-    found = common.table(texts.join(asked, "doc_id").select("doc_id", "text", "runs").mapInArrow(edges, "first long, run long, bit int, edge long"), "edges")
+    found = common.table(texts.join(asked, "doc_id").select("doc_id", "text", "runs").mapInArrow(common.frugal(edges), "first long, run long, bit int, edge long"), "edges")
     common.release_shuffles(spark)
     low_edge = found.groupBy("edge").agg(F.min("first").alias("f"), F.max("first").alias("l")).where("f < l").select("edge", "f")
     masks = found.join(low_edge, "edge").where("f < first").select("run", "first", F.expr("shiftleft(1L, bit)").alias("m")).distinct()
@@ -190,7 +190,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 sha.append(hashlib.sha256(_kept(raw, s, e, g)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(common.frugal(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,5 +208,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    out = rows.mapInArrow(run, rows.drop("cuts").schema)
+    out = rows.mapInArrow(common.frugal(run), rows.drop("cuts").schema)
     return out.toDF(*names)

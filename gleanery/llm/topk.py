@@ -47,7 +47,7 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
                 names=["vec_id", "dim", "x", "norm"],
             )
 
-    return rows.mapInArrow(run, "vec_id long, dim int, x binary, norm double")
+    return rows.mapInArrow(common.frugal(run), "vec_id long, dim int, x binary, norm double")
 
 
 def _chunks(most_bytes: int):
@@ -143,9 +143,9 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_i
     rows = common.table(integers(vectors, id_col, vec_col), "topk-rows")
     schema = "dim int, n int, ids binary, x binary, top double"
     ordered = rows.repartitionByRange(parts, F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
-    buckets = common.table(ordered.mapInArrow(_chunks(BUCKET_BYTES), schema), "topk-buckets")
+    buckets = common.table(ordered.mapInArrow(common.frugal(_chunks(BUCKET_BYTES)), schema), "topk-buckets")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "x", "norm")).alias("q")).select("vec_id", "q.*")
-    blocks = common.table(asked.coalesce(max(1, parts // 4)).mapInArrow(_chunks(QUERY_BYTES), schema), "topk-queries")
+    blocks = common.table(asked.coalesce(max(1, parts // 4)).mapInArrow(common.frugal(_chunks(QUERY_BYTES)), schema), "topk-queries")
 
     seed = buckets.orderBy(F.desc("top"), F.desc("n"), "dim").limit(1).collect()  # at most BUCKET_BYTES and one row more
     share = spark.sparkContext.broadcast([(r.dim, bytes(r.ids), bytes(r.x)) for r in seed])
@@ -169,11 +169,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_i
                 [b.column("dim"), b.column("ids"), b.column("x"), common.binary_list(out), pa.array(need, pa.float64())], names=["qdim", "qids", "qx", "theta", "need"]
             )
 
-    asked = blocks.mapInArrow(thresholds, "qdim int, qids binary, qx binary, theta binary, need double")
+    asked = blocks.mapInArrow(common.frugal(thresholds), "qdim int, qids binary, qx binary, theta binary, need double")
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     there = buckets.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(GRID)).cast("int"))
     joined = asked.join(there, (asked.g == there.g) & (asked.qdim == there.dim) & (there.top >= asked.need * (1 - 1e-9)))
-    found = joined.select("qdim", "qids", "qx", "theta", "ids", "x").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    found = joined.select("qdim", "qids", "qx", "theta", "ids", "x").mapInArrow(common.frugal(_meet(k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
