@@ -48,7 +48,7 @@ def lowered(text: Column) -> Column:
 
 def _places(norm: Column, rule: Column) -> Column:
     """(start, -end, priority, rule, label, weight) of each match, in words."""
-    marked = F.regexp_replace(norm, rule["re"], F.lit("\u0001$0\u0002"))
+    marked = F.regexp_replace(norm, rule["re"], F.lit(" \u0001 $0 \u0002 "))
     tokens = F.filter(F.split(marked, " "), lambda w: w != "")
     at = lambda mark: F.filter(F.transform(tokens, lambda w, i: F.when(w == mark, i)), lambda i: i.isNotNull())
     starts = F.transform(at("\u0001"), lambda p, k: p - 2 * k)
