@@ -1,0 +1,147 @@
+"""What SQL doesn't cover: folds over pages, sources and sinks, quantiles, replay, samples, clusters."""
+
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.functions import text as T
+from gleanery.operators import answer, chunking, cluster, evaluate, trace
+from gleanery.plans import queries
+from gleanery.sources import files
+from gleanery.streaming import traces as stream
+
+
+def loop_windows(parts, size, overlap):
+    """The windows by a direct loop."""
+    out, held, words = [], [], 0
+    for i, p in enumerate(parts, 1):
+        n = len(p.split())
+        if held and words + n > size:
+            out.append((held[0], held[-1]))
+            tail, t = [], 0
+            for j in reversed(held):
+                if t + len(parts[j - 1].split()) > overlap:
+                    break
+                tail.insert(0, j)
+                t += len(parts[j - 1].split())
+            held, words = tail, t
+        held.append(i)
+        words += n
+    return out + ([(held[0], held[-1])] if held else [])
+
+
+def test_sentence_windows():
+    r = random.Random(1)
+    for _ in range(500):
+        parts = [" ".join(["w"] * r.randrange(1, 9)) for _ in range(r.randrange(1, 15))]
+        size = r.randrange(2, 12)
+        overlap = r.randrange(0, size)
+        assert [(c[2], c[3]) for c in chunking.sentence_windows("p", parts, size, overlap)] == loop_windows(parts, size, overlap)
+
+
+def test_window_takes_the_section_of_the_heading_that_closes_it():
+    out = chunking.sentence_windows("p", ["a b c.", "## Next part", "d e."], 5, 0)
+    assert [c[:2] for c in out] == [("p::next-part::n0", "Next part"), ("p::next-part::n1", "Next part")]
+
+
+def test_window_arguments(spark):
+    with pytest.raises(ValueError):
+        chunking.chunk_sentences(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 5, 5)
+
+
+def test_structured_chunks():
+    body = queries.MD_PAGES["good"].split("page_type: guide\n")[1].strip() + "\n"
+    assert chunking.structured("v3-good", body) == [
+        ("v3-good::start::0", "Start", "First line.\nSecond line."),
+        ("v3-good::start::1-table", "Start", "| a | b |\n|---|---|\n| 1 | 2 |\n| c | d |"),
+        ("v3-good::start::2", "Start", "After the tables."),
+        ("v3-good::code::3-code", "Code", "```python\nx = 1\ny = 2\n```"),
+        ("v3-good::code::4", "Code", "Done."),
+    ]
+    long = queries.MD_PAGES["long"].split("page_type: guide\n")[1]
+    assert [len(t.split()) for _, _, t in chunking.structured("p", long)] == [100, 90, 200, 1]
+    inner = chunking.structured("p", "## One\n```sh\n# comment\nrun it\n```\n")
+    assert [(u, s) for u, s, _ in inner] == [("p::one::0-code", "One"), ("p::comment::1", "comment"), ("p::comment::2-code", "comment")]
+
+
+def test_blocks_open_fence():
+    assert chunking.blocks("a\n```\nb\n\nc") == [("paragraph", ["a"]), ("fence", ["```", "b", "c"])]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "02_some_page.md").write_text("page_id: p\nsdk_version: v3\npage_type: x\nBody\n")
+    (tmp_path / "in" / "skip.txt").write_text("no")
+    pages = files.markdown(spark, str(tmp_path / "in")).collect()
+    assert [(p.file, p.title) for p in pages] == [("02_some_page.md", "02 Some Page")]
+    (tmp_path / "t.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert [r.a for r in files.json_lines(spark, str(tmp_path / "t.jsonl"), "a int").where("a is not null").orderBy("a").collect()] == [1, 2]
+    (tmp_path / "d.json").write_text('[\n{"symbol": "s"},\n{"symbol": "t"}]')
+    assert files.json_document(spark, str(tmp_path / "d.json")).count() == 2
+    (tmp_path / "p.txt").write_text("#! note\n#! fewshot_ids: a, b\nJudge {answer}\n\n")
+    p = files.prompt_template(spark, str(tmp_path / "p.txt")).first()
+    assert (p.prompt, p.fewshot_ids) == ("Judge {answer}\n", ["a", "b"])
+    rows = spark.createDataFrame([("c", "u1", "x"), ("c", "u2", "y"), ("e", "u3", "z")], "collection string, chunk_uid string, text string")
+    assert files.write_collection(rows, str(tmp_path / "col")) == 3
+    assert files.write_collection(rows, str(tmp_path / "col")) == 3
+    got = files.read_collection(spark, str(tmp_path / "col"), "c")
+    new = files.update_metadata(got, spark.createDataFrame([("u1", 7)], "chunk_uid string, cluster_id int")).orderBy("chunk_uid").collect()
+    assert [(r.chunk_uid, r.cluster_id) for r in new] == [("u1", 7), ("u2", None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 84])
+def test_exclusive_quantile(spark, n):
+    values = [float((i * 37) % 101) for i in range(n)]
+    r = evaluate.latency_quantiles(spark.createDataFrame([("k", v) for v in values], "k string, v double"), "k", "v").first()
+    assert r.median == pytest.approx(statistics.median(values))
+    assert r.p95 == pytest.approx(statistics.quantiles(values, n=20)[18] if n > 1 else values[0])
+
+
+def test_code_check(spark):
+    got = {r.case_id: r.status for r in evaluate.code_parses(queries.cases(spark)).collect()}
+    assert got == {"a1": "n/a", "a2": "n/a", "a3": "n/a", "a4": "n/a", "a5": "pass", "a6": "fail", "a7": "fail", "a8": "n/a", "a9": "fail", "b1": "n/a"}
+
+
+def test_lock_check(spark):
+    labels = spark.sql("select * from values ('a', 'PASS'), ('b', null) as t(id, label)")
+    assert evaluate.lock_check(labels, "x", "x", "y", "y", 0, 2).first().reason == "incomplete labels"
+    good = labels.where("label is not null")
+    assert evaluate.lock_check(good, "x", "z", "y", "y", 0, 1).first().reason == "answers changed after the lock"
+    assert evaluate.lock_check(good, "x", "x", "y", "y", 1, 1).first().valid is False
+
+
+def test_answers_without_hits(spark):
+    q = spark.createDataFrame([(1, "what is it"), (2, "find zebra")], "query_id long, question string")
+    hits = spark.createDataFrame([(2, 1, 5, 0.9)], "query_id long, rank int, chunk_id long, final double")
+    chunks = spark.createDataFrame([(5, "A zebra ran. It was fast\nfind it")], "chunk_id long, text string")
+    got = {r.query_id: (r.gate, r.answer) for r in answer.answers(answer.hit_lists(q, hits, chunks), F.expr("cast(array() as array<string>)")).collect()}
+    assert got[1] == ("score", answer.REFUSAL)
+    assert got[2][0] == "open" and got[2][1].endswith("[chunk:5]")
+
+
+def test_seeded_pick_is_repeatable():
+    ids = [f"t{i}" for i in range(50)]
+    assert trace.seeded_pick(ids, 3, 5) == trace.seeded_pick(list(reversed(ids)), 3, 5)
+
+
+def test_clusters(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2) * 5 + i * 0.001, 0.0]) for i in range(12)], "vec_id long, embedding array<double>")
+    got, k, score = cluster.assign(rows, most_k=3, starts=2)
+    assert k == 2 and score > 0.9
+    assert len({r.cluster for r in got.where("id % 2 = 0").collect()}) == 1
+    with pytest.raises(ValueError):
+        cluster.assign(rows.limit(3))
+
+
+def test_stream_batches(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    events = stream.events(spark, folder, "events.parquet")
+    stream.for_each_batch(events, lambda b: b.groupBy("event_type").count(), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 1000
+
+
+def test_symbol_tokens(spark):
+    df = spark.createDataFrame([("Set x-rate-limit to v1.2, a_b",)], "t string")
+    assert df.select(T.tokens_symbol(F.col("t")).alias("w")).first().w == ["set", "x-rate-limit", "x", "rate", "limit", "to", "v1.2", "v1", "2", "a_b", "a", "b"]
