@@ -204,11 +204,13 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"), F.min(least).alias("least"))
     enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(sizes, "rep").where("c >= least")
     needed = common.table(enough.select("rep", "n", "least"), "jaccard-needed")
-    shared_all, shared = shared, shared.join(needed.select("rep"), "rep", "left_semi")
+    # tables of documents grow with the input: they are joined by merging at every size, never broadcast
+    ids = needed.select("rep").hint("merge")
+    shared_all, shared = shared, shared.join(ids, "rep", "left_semi")
     common.release_shuffles(docs.sparkSession)
 
     # leaders by bands
-    banded = reps.join(needed.select("rep"), "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
+    banded = reps.join(ids, "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).where("c > 1")
     led = banded.join(heads, ["band", "value"]).groupBy("rep").agg(F.max(F.struct("c", "top")).alias("best"))
     led = common.table(led.select("rep", (-F.col("best.top.minus")).alias("leader")).where("rep <> leader"), "jaccard-led")
@@ -219,12 +221,12 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
         for b in batches:
             sets = shingle_sets(b.column("text"), words)
             some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(some), common.binary_list([s.tobytes() for s in sets if len(s)]), b.column("is_led").take(some), b.column("leads").take(some)], names=["rep", "tokens", "is_led", "leads"])
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(some), common.binary_list([s.tobytes() for s in sets if len(s)]), b.column("leader").take(some), b.column("leads").take(some)], names=["rep", "tokens", "leader", "leads"])
 
-    roles = needed.select("rep").join(led.select("rep", F.lit(True).alias("is_led")), "rep", "left")
+    roles = needed.select("rep").join(led.select("rep", "leader"), "rep", "left")
     roles = roles.join(led.select(F.col("leader").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "left")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles.hint("merge"), "rep")  # roles grow with the input
-    tokens = common.table(texts.select("rep", "text", "is_led", "leads").mapInArrow(common.frugal(tokenise), "rep long, tokens binary, is_led boolean, leads boolean"), "jaccard-tokens")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(roles.hint("merge"), "rep")
+    tokens = common.table(texts.select("rep", "text", "leader", "leads").mapInArrow(common.frugal(tokenise), "rep long, tokens binary, leader long, leads boolean"), "jaccard-tokens")
     common.release_shuffles(docs.sparkSession)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +238,8 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
                 flags.append(both * den >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("leader"), pa.array(flags, pa.bool_())], names=["rep", "leader", "linked"])
 
-    pairs = led.join(tokens.where("is_led").select("rep", F.col("tokens").alias("x")), "rep")
-    pairs = pairs.join(tokens.where("leads").select(F.col("rep").alias("leader"), F.col("tokens").alias("y")), "leader")
+    pairs = tokens.where("leader is not null").select("rep", "leader", F.col("tokens").alias("x"))
+    pairs = pairs.join(tokens.where("leads").select(F.col("rep").alias("leader"), F.col("tokens").alias("y")).hint("merge"), "leader")
     stars = common.table(pairs.select("rep", "leader", "x", "y").mapInArrow(common.frugal(star), "rep long, leader long, linked boolean"), "jaccard-stars")
     common.done_with(led)
     stars = stars.groupBy("rep").agg(F.max(F.struct("linked", "leader")).alias("s")).select("rep", "s.leader", "s.linked")
@@ -262,7 +264,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     common.done_with(matrix)
 
     used = meet.select("block").unionByName(meet.select(F.col("block_").alias("block"))).distinct()
-    inside = members.join(used, "block").select("rep", "block").join(tokens.select("rep", "tokens"), "rep")
+    inside = members.join(used, "block").select("rep", "block").hint("merge").join(tokens.select("rep", "tokens"), "rep")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
