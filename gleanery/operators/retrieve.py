@@ -7,6 +7,9 @@ smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +67,25 @@ def bm25_topk(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- dense
 
+def by_block(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on all of ``queries`` (query_id and more), in blocks of about QUERY_BLOCK rows that it may broadcast."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    if blocks == 1:
+        return run(queries)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (run(queries.where(own == b)) for b in range(blocks)))
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, condition: Column | None = None) -> DataFrame:
     """Scores of all vectors for a stated set of queries, in blocks of QUERY_BLOCK; filters belong below, in ``vectors``.
 
     ``vectors``: chunk_id, embedding and more; ``queries``: query_id, query and more.  A query's own row is left out.
     """
-    count = queries.count()
-    blocks = -(-count // QUERY_BLOCK) or 1
-    out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    def scored(block: DataFrame) -> DataFrame:
         met = vectors.join(F.broadcast(block), (F.col("chunk_id") != F.col("query_id")) & (F.lit(True) if condition is None else condition))
-        scored = met.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        return met.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding")
+
+    return by_block(queries, scored)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:

@@ -145,3 +145,13 @@ def test_stream_batches(spark, tmp_path):
 def test_symbol_tokens(spark):
     df = spark.createDataFrame([("Set x-rate-limit to v1.2, a_b",)], "t string")
     assert df.select(T.tokens_symbol(F.col("t")).alias("w")).first().w == ["set", "x-rate-limit", "x", "rate", "limit", "to", "v1.2", "v1", "2", "a_b", "a", "b"]
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    from gleanery.operators import retrieve
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "chunk_id long, embedding array<double>")
+    asked = vectors.selectExpr("chunk_id as query_id", "embedding as query")
+    whole = sorted(map(tuple, retrieve.dense_topk(vectors, asked, 3).collect()))
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 9)
+    assert sorted(map(tuple, retrieve.dense_topk(vectors, asked, 3).collect())) == whole and len(whole) == 120
