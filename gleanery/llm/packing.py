@@ -40,8 +40,9 @@ class WordTokenizer:
 
     Texts are split at spaces and line feeds alone: every tokenizer split happens there too.  ASCII letters are
     lower-cased first, as the tokenizer does; texts that could hold a special token go to it whole.  New words are
-    encoded many at a time, with a special token between them.  When the cache is full, its older half stays: common
-    words come early.
+    encoded many at a time.  A word of letters alone is one unit of the tokenizer, and the last id of each unit says that
+    it is: such words need nothing but spaces between them, others a special token.  When the cache is full, its older
+    half stays: common words come early.
     """
 
     def __init__(self, path: str, most: int = CACHE) -> None:
@@ -55,21 +56,39 @@ class WordTokenizer:
         by_word = d["model"].get("end_of_word_suffix") == "</w>" and any(n.get("type") == "Lowercase" for n in d["normalizer"]["normalizers"])
         special = [t for t in d["added_tokens"] if t["special"] and t["content"].startswith("<|")] if by_word else []
         self.whole, self.mark = not special, (special[0]["content"], special[0]["id"]) if special else ("", -1)
+        last = [i for w, i in self.t.get_vocab().items() if w.endswith("</w>")] if by_word else []
+        self.last = np.zeros(self.t.get_vocab_size(), bool)
+        self.last[last] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.most = most
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word.  Every word has a unit at least, so as many units as words are one each."""
+        letters = [w.isalpha() for w in words]
+        by_letters = self._in_blocks([w for w, a in zip(words, letters, strict=True) if a], True)
+        others = self._in_blocks([w for w, a in zip(words, letters, strict=True) if not a], False)
+        return (next(by_letters if a else others) for a in letters)
+
+    def _in_blocks(self, words: list[str], letters: bool) -> Iterator[bytes]:
         for i in range(0, len(words), 4096):
-            ids = np.array(self.t.encode_batch_fast([self.mark[0].join(words[i : i + 4096])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark[1])
+            block = words[i : i + 4096]
+            ids = self._ids(" ".join(block)) if letters else np.empty(0, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            skip = 0
+            if len(ends) != len(block):
+                ids = self._ids(self.mark[0].join(block))
+                ends = np.append(np.flatnonzero(ids == self.mark[1]), len(ids))
+                skip = 4
             raw, at = ids.tobytes(), 0
             for e in (4 * ends).tolist():
                 yield raw[at:e]
-                at = e + 4
-            yield raw[at:]
+                at = e + skip
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null counts as empty.  Each distinct word is looked up once."""
@@ -145,18 +164,20 @@ class Packer:
         """Closes one sequence with items of the pool."""
         left, offset, alive = self.limit.copy(), 0, np.ones(len(self.keys), bool)
         weight = 1.0 / np.maximum(self.need.mean(axis=0), 1e-9) ** 2
+        fits = np.flatnonzero((self.need <= left).all(axis=1))
         while True:
-            open_ = np.flatnonzero(alive)
-            fits = open_[(self.need[open_] <= left).all(axis=1)]
             if len(fits):
-                i = int(fits[np.argmax((self.need[fits] * (left * weight)).sum(axis=1))])
+                i = int(fits[np.argmax(self.need[fits] @ (left * weight))])
                 n = int(self.need[i, 0])
                 alive[i] = False
                 yield self.keys[i], self.start[i], n, self.sequence, offset
                 left -= self.need[i]
                 offset += n
+                # room only shrinks: what doesn't fit now won't later
+                fits = fits[(fits != i) & (self.need[fits] <= left).all(axis=1)] if left[0] > 0 else fits[:0]
                 continue
-            if self.cuts and len(open_) and left[1] >= 1:
+            open_ = np.flatnonzero(alive) if self.cuts and left[0] > 0 and left[1] >= 1 else fits
+            if len(open_):
                 share = self.need[open_, 2] / self.need[open_, 0]
                 room = np.minimum(left[0], np.where(share > 0, left[2] / np.maximum(share, 1e-9), left[0])).astype(np.int64)
                 room = np.minimum(room, self.need[open_, 0].astype(np.int64))
@@ -171,6 +192,7 @@ class Packer:
                     if self.need[i, 0] <= 0:
                         alive[i] = False
                     if left[0] > 0:
+                        fits = np.flatnonzero(alive & (self.need <= left).all(axis=1))
                         continue
             break
         if not offset and len(self.keys):  # an item beyond the limits on its own: a sequence to itself
@@ -178,8 +200,8 @@ class Packer:
             yield self.keys[0], self.start[0], n, self.sequence, 0
             alive[0] = False
         self.sequence += 1
-        self.keys = [k for k, a in zip(self.keys, alive, strict=True) if a]
-        self.start = [s for s, a in zip(self.start, alive, strict=True) if a]
+        for i in np.flatnonzero(~alive)[::-1].tolist():  # few
+            del self.keys[i], self.start[i]
         self.need = self.need[alive]
 
     def held(self) -> int:

@@ -340,7 +340,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.public_tokenizer())
-    rows = corpus() + [(200, "<|endoftext|> tail, don't. <|STARTOFTEXT|>"), (201, "Straße's 'tis 12.5% — naïve...x\u2003y ΑΣ Σ. ")]
+    rows = corpus() + [(200, "<|endoftext|> tail, don't. <|STARTOFTEXT|>"), (201, "Straße's 'tis 12.5% — naïve...x\u2003y ΑΣ Σ. "), (202, "İstanbul İ 日本語 ﬁ ª ʰ ᾳ ſ 한 plain words")]
     out = packing.pack_texts(frame(docs.sparkSession, rows)).collect()
     want = sorted(([*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in rows), key=len)
     have, seqs = defaultdict(list), defaultdict(list)
