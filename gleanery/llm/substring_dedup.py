@@ -87,7 +87,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     lows = common.table(lows, "runs-shared")
     common.release_shuffles(spark)
     shared = common.table(rows.join(lows, "low", "left_semi"), "runs")
-    common.release_shuffles(spark)
+    common.done_with(lows)
     paths = common.table(shared.groupBy("low", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "paths")
     # a table, so that the join below has a plain exchange on either side, which Spark splits where a minimiser is hot
     branching = common.table(paths.groupBy("low").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("low"), "branching")
@@ -128,9 +128,12 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     # a run with one document only matters where it has edges of others
     marks = paths.select("run", "first", "last").join(masks, ["run", "first"], "left").where("mask is not null or first < last")
     marks = common.table(marks, "marks")
+    common.done_with(found, paths, branching)
     cuts = shared.select("doc_id", "run").distinct().join(marks, "run").withColumn("cut", F.when(F.col("doc_id") > F.col("first"), F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0).cast("long"))))
     cuts = cuts.where("cut <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("run", "cut")).alias("cuts"))
-    return common.table(cuts, "cuts")
+    cuts = common.table(cuts, "cuts")
+    common.done_with(shared, marks)
+    return cuts
 
 
 def _covered(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
