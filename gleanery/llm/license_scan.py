@@ -3,7 +3,8 @@
 A text is lower-cased (A-Z) and brought to words, each between single spaces, so a pattern sees whole words only.  Which
 keywords occur is found on the raw text first; only texts with one are normalised, and only the rules of those keywords
 run.  A match is an interval of words.  In the order (start, longest first, priority, rule) an interval inside an earlier
-one is suppressed.  The base phrases take part like rules, but their labels always stay.
+one of equal or better priority is suppressed, and a hint (priority 5) gives way to a name (1 to 3) inside it.  The base
+phrases take part like rules, but any interval around one suppresses it, and their labels always stay.
 
 Everything happens within a row, by DataFrame functions: no shuffle, no Python.
 
@@ -24,6 +25,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc-by", "cc", "cc by"), ("gpl", "general", "general public license"), ("reserved", "reserved", "all rights reserved"))
 WEIGHT = {0: 0.5, 1: 1.0, 2: 0.9, 3: 0.75, 4: 0.6, 5: 0.3}
+HINT = 5
 
 
 def spaced(pattern: str) -> str:
@@ -58,6 +60,21 @@ def _places(norm: Column, rule: Column) -> Column:
     ))
 
 
+def _without_hints_around_names(hits: Column) -> Column:
+    """Hits in order, without the hints that a name lies in.  Goes from the end; ``least`` is where the first name ends."""
+    zero = F.struct(F.lit(2**31 - 1).alias("least"), F.slice(hits, 1, 0).alias("kept"))
+
+    def back(acc: Column, h: Column) -> Column:
+        end = -h["neg_end"]
+        return F.struct(
+            F.when(h["prio"].between(1, 3), F.least(acc["least"], end)).otherwise(acc["least"]).alias("least"),
+            F.when((h["prio"] == HINT) & (acc["least"] <= end), acc["kept"]).otherwise(F.array_append(acc["kept"], h)).alias("kept"),
+        )
+
+    kept = F.aggregate(F.reverse(hits), zero, back, lambda a: F.reverse(a["kept"]))
+    return F.when(F.exists(hits, lambda h: h["prio"] == HINT), kept).otherwise(hits)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_hits (kept intervals)."""
     low = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("low"))
@@ -68,15 +85,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gated = gated.withColumn("norm", F.when(F.size("found") > 0, norm))
     own = F.filter(_rule_array(), lambda r: F.array_contains(F.col("found"), r["word"]) & F.rlike(F.col("norm"), r["re"]))
     hits = gated.withColumn("hits", F.when(F.size("found") > 0, F.array_sort(F.flatten(F.transform(own, lambda r: _places(F.col("norm"), r))))))
-    hits = hits.select("doc_id", "n_words", "hits", F.filter("hits", lambda h: h["prio"] == 0).alias("base"))
-    zero = F.expr("named_struct('reach', 0, 'labels', cast(array() as array<string>), 'n', 0L, 'score', 0D)")
+    hits = hits.select("doc_id", "n_words", _without_hints_around_names(F.col("hits")).alias("hits"), F.filter("hits", lambda h: h["prio"] == 0).alias("base"))
+    # reach: for each priority, how far intervals of this or a better one go
+    zero = F.expr(f"named_struct('reach', array_repeat(0, {len(WEIGHT)}), 'labels', cast(array() as array<string>), 'n', 0L, 'score', 0D)")
 
     def keep(acc: Column, h: Column) -> Column:
-        free = -h["neg_end"] > acc["reach"]
+        free = -h["neg_end"] > F.get(acc["reach"], F.when(h["prio"] == 0, HINT).otherwise(h["prio"]))
         stays = free | (h["prio"] == 0)
         grown = F.when(F.array_contains(acc["labels"], h["label"]) | ~stays, acc["labels"]).otherwise(F.array_append(acc["labels"], h["label"]))
         return F.struct(
-            F.greatest(acc["reach"], -h["neg_end"]).alias("reach"), grown.alias("labels"), (acc["n"] + free.cast("long")).alias("n"),
+            F.transform(acc["reach"], lambda r, p: F.when(p >= h["prio"], F.greatest(r, -h["neg_end"])).otherwise(r)).alias("reach"), grown.alias("labels"), (acc["n"] + free.cast("long")).alias("n"),
             F.greatest(acc["score"], F.when(free, h["weight"]).otherwise(F.lit(0.0))).alias("score"),
         )
 

@@ -97,6 +97,18 @@ def test_license_scan(spark, docs, empty):
         assert word in pattern and re.compile(pattern)
 
 
+def test_license_names_inside_hints(spark):
+    rows = [
+        (1, "licensed under GPLv2"), (2, "licensed under the GPL"), (3, "Licensed under AGPLv3."), (4, "released under the ISC license"), (5, "licensed under foo"),
+        (6, "licensed under foo, licensed under GPLv2"), (7, "you should have received a copy of the GNU General Public License"), (8, "psf license agreement"),
+    ]
+    got = {r.doc_id: (r.labels, r.score, r.n_hits) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(1, 5)] == [("gpl-2.0", 0.9, 1), ("gpl", 0.75, 1), ("agpl-3.0", 0.9, 1), ("isc", 0.75, 1)]
+    assert got[5] == ("license", 0.3, 1) and got[6] == ("gpl-2.0,license", 0.9, 2)
+    assert got[7][:2] == ("gpl", 0.75)  # the name has a better priority than the fragment around it
+    assert got[8] == ("psf-2.0", 0.75, 1)
+
+
 # ---------------------------------------------------------------- 2
 
 def test_url_filter(spark):
