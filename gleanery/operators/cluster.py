@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators import retrieve
 
-MOST_FOR_SILHOUETTE = 5000
 #: Words that say nothing about a topic.
 STOPWORDS = (
     "the", "and", "for", "with", "not", "are", "you", "your", "this",
@@ -18,12 +18,14 @@ STOPWORDS = (
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
-    """One row: the mean Euclidean silhouette of (id, v, cluster).  All pairs, so only for collections of thousands."""
-    if rows.count() > MOST_FOR_SILHOUETTE:
-        raise ValueError(f"the exact silhouette compares all pairs; at most {MOST_FOR_SILHOUETTE} rows")
-    other = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("cluster").alias("c2"))
+    """One row: the mean Euclidean silhouette of (id, v, cluster) over all pairs, in blocks of rows against all rows."""
+    other = rows.select(F.col("id").alias("query_id"), F.col("v").alias("v2"), F.col("cluster").alias("c2"))
     gap = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    means = rows.join(F.broadcast(other), F.col("id") != F.col("id2")).groupBy("id", "cluster", "c2").agg(F.avg(gap).alias("d"))
+
+    def sums(block: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(block), F.col("id") != F.col("query_id")).groupBy("id", "cluster", "c2").agg(F.sum(gap).alias("s"), F.count(gap).alias("n"))
+
+    means = retrieve.by_block(other, sums).groupBy("id", "cluster", "c2").agg((F.sum("s") / F.sum("n")).alias("d"))
     per = means.groupBy("id").agg(F.max(F.when(F.col("cluster") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("c2"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return per.agg(F.round(F.avg(value), 6).alias("silhouette"))
@@ -39,8 +41,7 @@ def assign(vectors: DataFrame, most_k: int = 8, seed: int = 42, starts: int = 3,
     for k in range(2, min(most_k, n - 1) + 1):
         models = [KMeans(k=k, seed=seed + s, maxIter=20).fit(rows) for s in range(starts)]
         labelled = min(models, key=lambda m: m.summary.trainingCost).transform(rows).select("id", "v", F.col("prediction").alias("cluster"))
-        sample = labelled if n <= MOST_FOR_SILHOUETTE else labelled.orderBy(F.xxhash64("id")).limit(MOST_FOR_SILHOUETTE)
-        score = silhouette(sample).first()[0]
+        score = silhouette(labelled).first()[0]
         if best is None or score > best[2]:
             best = (labelled, k, score)
     return best

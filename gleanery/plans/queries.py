@@ -805,7 +805,7 @@ def silhouette_exact(spark, d):
 
 @query()
 def cluster_assign(spark, d):
-    rows, k, score = cluster.assign(_t(spark, d, "embeddings"), most_k=4, starts=1)
+    rows, k, score = cluster.assign(_t(spark, d, "embeddings"), most_k=8, starts=10)
     return rows.select(F.col("id").alias("vec_id"), "cluster", F.lit(k).alias("k"), F.lit(score).alias("silhouette"))
 
 

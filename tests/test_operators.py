@@ -135,6 +135,24 @@ def test_clusters(spark):
         cluster.assign(rows.limit(3))
 
 
+def test_silhouette_in_blocks(spark, monkeypatch):
+    from gleanery.operators import retrieve
+
+    rows = spark.createDataFrame([(i, [float(i * i % 11), float(i % 3)], i % 4) for i in range(40)], "id long, v array<double>, cluster int")
+    whole = cluster.silhouette(rows).first().silhouette
+    monkeypatch.setattr(cluster, "MOST_FOR_SILHOUETTE", 10, raising=False)  # sizes over it had no result
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 9)
+    assert cluster.silhouette(rows).first().silhouette == whole
+
+
+def test_cluster_query_tries_as_much_as_the_reference(spark, monkeypatch):
+    asked = {}
+    rows = spark.createDataFrame([(1, 0)], "id long, cluster int")
+    monkeypatch.setattr(cluster, "assign", lambda vectors, **limits: (asked.update(limits), (rows, 2, 0.5))[1])
+    queries.cluster_assign(spark, "/root/testdata/sf0.001")
+    assert asked == {"most_k": 8, "starts": 10}
+
+
 def test_stream_batches(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     events = stream.events(spark, folder, "events.parquet")
