@@ -104,6 +104,15 @@ def test_code_check(spark):
     assert got == {"a1": "n/a", "a2": "n/a", "a3": "n/a", "a4": "n/a", "a5": "pass", "a6": "fail", "a7": "fail", "a8": "n/a", "a9": "fail", "b1": "n/a"}
 
 
+def test_deprecations_of_many_symbols(spark, monkeypatch):
+    from gleanery.operators import retrieve
+
+    symbols = spark.range(1100).selectExpr("concat('old_', id) as symbol", "concat('old_', id, '$') as pattern")
+    said = spark.range(1100).selectExpr("concat('c', id) as case_id", "concat('use old_', id) as answer")
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 500)
+    assert evaluate.deprecations(said, symbols).where("status = 'fail'").count() == 1100
+
+
 def test_lock_check(spark):
     labels = spark.sql("select * from values ('a', 'PASS'), ('b', null) as t(id, label)")
     assert evaluate.lock_check(labels, "x", "x", "y", "y", 0, 2).first().reason == "incomplete labels"
