@@ -5,11 +5,12 @@ a text (with any backslashes already after the ``<``) get one more backslash aft
 In a role, ``%``, ``<``, ``>`` and line feeds are percent-encoded.
 
 Windows.  Turns have token counts (words and marks, plus the markers).  Prefix sums of these over a conversation choose
-spans: a turn belongs to the span in which its running total ends, spans ending at multiples of half of what the budget
-leaves beside system turn and history.  So spans are aligned to turns and a window stays within the budget whenever its
-turns each take at most half of that room; ``tokens`` says what it takes.  A window is the conversation's system turn
-(its first turn, if of that role), the last ``history`` turns before the span, then the span.  Loss falls on assistant
-texts of the span only: each assistant text once, repeats masked.
+spans: a turn belongs to the span in which its running total ends, spans ending at multiples of half the budget, or of
+what the system turn leaves if that is less.  So spans are aligned to turns.  A turn that begins before its span and
+could make it too long is a span of its own.  A window is the conversation's system turn (its first turn, if of that
+role), the last ``history`` turns before the span, as many of them as the budget has room for, then the span.  Turns
+stay whole, so a window passes the budget only if the system turn and a single turn do; ``tokens`` says what it takes.
+Loss falls on assistant texts of the span only: each assistant text once, repeats masked.
 
 Prefix sums run in two levels, within blocks of turns and over blocks, so that a conversation with a third of all rows
 is spread over tasks.  DataFrame functions only.
@@ -52,16 +53,19 @@ def token_count(text: Column) -> Column:
 
 
 def positions(turns: DataFrame) -> DataFrame:
-    """Adds idx (from 0) and total (tokens up to and with the turn), by conversation; two levels of prefix sums."""
+    """Adds idx (from 0), total (tokens up to and with the turn) and sys (tokens of the system turn), by conversation; two
+    levels of prefix sums."""
     # a block is a run of turn numbers; rows of equal turn stay together
     turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long"))
     inside = Window.partitionBy("cid", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     local = turns.withColumns({"idx": F.count(F.lit(1)).over(inside) - 1, "total": F.sum("tok").over(inside)})
-    sums = turns.groupBy("cid", "block").agg(F.sum("tok").alias("btok"), F.count(F.lit(1)).alias("bn"))
+    system = F.max(F.when((F.col("idx") == 0) & (F.col("role") == "system"), F.col("tok")))
+    sums = local.groupBy("cid", "block").agg(F.sum("tok").alias("btok"), F.count(F.lit(1)).alias("bn"), system.alias("bsys"))
     over = Window.partitionBy("cid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("cid", "block", F.coalesce(F.sum("btok").over(over), F.lit(0)).alias("base_tok"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("base_n"))
+    first = F.first("bsys").over(Window.partitionBy("cid").orderBy("block"))
+    base = sums.select("cid", "block", F.coalesce(F.sum("btok").over(over), F.lit(0)).alias("base_tok"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("base_n"), F.coalesce(first, F.lit(0)).alias("sys"))
     both = local.join(base.withColumnsRenamed({"cid": "cid_", "block": "block_"}), F.col("cid").eqNullSafe(F.col("cid_")) & (F.col("block") == F.col("block_")))
-    return both.select("cid", "turn", "role", "text", "tok", (F.col("idx") + F.col("base_n")).alias("idx"), (F.col("total") + F.col("base_tok")).alias("total"))
+    return both.select("cid", "turn", "role", "text", "tok", (F.col("idx") + F.col("base_n")).alias("idx"), (F.col("total") + F.col("base_tok")).alias("total"), "sys")
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -72,14 +76,20 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     )
     turns = positions(turns.withColumn("tok", token_count(F.col("text")) + OVERHEAD))
     is_system = (F.col("idx") == 0) & (F.col("role") == "system")
-    room = max(1, budget // 2)
-    turns = turns.withColumn("is_system", is_system).withColumn("span", F.floor((F.col("total") - 1) / room).cast("long"))
+    room = F.greatest(F.lit(1), F.least(F.lit(budget // 2), budget - F.col("sys")))
+    part = F.floor((F.col("total") - 1) / room).cast("long")
+    # tokens of a turn that lie before its part; with them the span may not fit
+    early = part * room - (F.col("total") - F.col("tok"))
+    alone = (early > 0) & (F.col("sys") + room + early > budget)
+    turns = turns.withColumn("is_system", is_system).withColumn("span", 2 * part - alone.cast("long"))
     # where spans begin, and for each its repeated turns: the history before it and the system turn
-    begins = turns.groupBy("cid", "span").agg(F.min("idx").alias("first")).where("first > 0")
+    begins = turns.groupBy("cid", "span").agg(F.min("idx").alias("first"), F.min(F.col("total") - F.col("tok")).alias("begin"), F.max("total").alias("end")).where("first > 0")
     back = F.sequence(F.greatest(F.col("first") - history, F.lit(0)), F.col("first") - 1) if history else F.expr("cast(array() as array<bigint>)")
-    wanted = begins.select(F.col("cid").alias("cid_"), F.col("span").alias("span_"), F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), back))).alias("idx_"), "first")
+    wanted = begins.select(F.col("cid").alias("cid_"), F.col("span").alias("span_"), F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), back))).alias("idx_"), "first", "begin", "end")
     repeated = turns.drop("span").join(wanted, F.col("cid").eqNullSafe(F.col("cid_")) & (F.col("idx") == F.col("idx_")))
-    repeated = repeated.where(F.col("is_system") | (F.col("idx") >= F.col("first") - history))
+    # from the turn to the end of the span is what history and span take
+    fits = F.col("sys") + F.col("end") - (F.col("total") - F.col("tok")) <= budget
+    repeated = repeated.where(F.col("is_system") | ((F.col("idx") >= F.col("first") - history) & fits))
     cols = ["cid", "span", "idx", "role", "text", "tok"]
     placed = turns.select(*cols, F.lit(True).alias("own")).unionByName(
         repeated.select("cid", F.col("span_").alias("span"), "idx", "role", "text", "tok", F.lit(False).alias("own"))

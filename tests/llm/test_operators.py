@@ -173,6 +173,24 @@ def test_chat_format(spark):
     assert plain.n_turns == 60
 
 
+def test_chat_windows_hold_the_budget(spark):
+    sizes = {1: [600] * 5, 2: [300, 30, 900, 1000, 40, 1300, 5], 3: [1500, 200, 400, 500, 30], 4: [5000, 10, 700, 700, 700], 5: [1000, 1000, 1000, 10] * 30}
+    rows = [(c, t, "system" if t == 0 and c in (2, 3) else "assistant", "w " * (n - chat_format.OVERHEAD)) for c, v in sizes.items() for t, n in enumerate(v)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.windows(conv, budget=2048, history=2).collect()
+    assert [w.tokens for w in made if w.tokens > 2048] == [5000]  # a single turn
+    assert all(w.n_turns - w.n_repeated > 0 for w in made)
+    assert all(w.formatted.startswith("<turn system>") for w in made if w.conv_id in (2, 3))
+    for c, v in sizes.items():
+        own = sorted((w.window, w.n_turns - w.n_repeated) for w in made if w.conv_id == c)
+        assert len({w for w, _ in own}) == len(own) and sum(n for _, n in own) == len(v)
+        learned = [w for w in made if w.conv_id == c for _ in w.loss]
+        assert len(learned) == len(v) - (c in (2, 3))
+    back = {x.conv_id: x.turns_sha256 for x in chat_format.read_back(chat_format.windows(conv, budget=2048, history=2)).collect()}
+    for c in sizes:
+        assert back[c] == hashlib.sha256("".join(f"{r}\n{x}\n" for k, _, r, x in rows if k == c).encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- 4
 
 def test_sharding(docs, empty):
