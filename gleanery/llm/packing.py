@@ -4,7 +4,8 @@ Every task packs its own rows from a bounded pool, largest demand first in the s
 the open sequence goes the pool's example whose demands (tokens, one segment, loss tokens), each weighed by its mean in
 the pool, have the largest dot product with what the sequence has left.  When nothing fits and cuts are allowed, the
 example with the largest dot product is cut to fill the sequence.  An example longer than a sequence first gives whole
-sequences.  What is left at a task's end is cut at powers of two, which need no padding.
+sequences.  What is left at a task's end is cut at powers of two, which need no padding; each is the largest one that
+holds the limits.
 
 Results in special cases: a null text counts as empty and gives its closing id alone; repeated rows are packed each;
 ties go to the example read first; an empty table gives no pieces; other columns are not looked at.
@@ -207,14 +208,21 @@ class Packer:
     def held(self) -> int:
         return int(self.need[:, 0].sum())
 
+    def _holds(self, size: int) -> bool:
+        """Whether the pool's first ``size`` tokens hold the limits on segments and loss tokens."""
+        before = np.cumsum(self.need[:, 0]) - self.need[:, 0]
+        n = np.clip(size - before, 0, self.need[:, 0])
+        loss = np.ceil(self.need[:, 2] / self.need[:, 0] * n - 1e-9).sum()
+        return np.count_nonzero(n) <= self.limit[1] and loss <= self.limit[2]
+
     def rest(self) -> Iterator[tuple]:
         """All that is left; with cuts, a last part of a sequence goes out in lengths of powers of two."""
         while self.keys and (not self.cuts or self.held() >= self.tokens):
             yield from self.fill()
         left = self.held()
-        size = 1 << left.bit_length()
         while self.keys and left:
-            while size > left:
+            size = 1 << (left.bit_length() - 1)
+            while size > 1 and not self._holds(size):
                 size >>= 1
             offset = 0
             while offset < size:
@@ -222,7 +230,7 @@ class Packer:
                 yield self.keys[0], self.start[0], n, self.sequence, offset
                 offset += n
                 self.start[0] += n
-                self.need[0, 0] -= n
+                self.need[0] -= (n, 0, self.need[0, 2] / self.need[0, 0] * n)
                 if self.need[0, 0] <= 0:
                     self.keys.pop(0)
                     self.start.pop(0)

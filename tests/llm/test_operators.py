@@ -407,3 +407,16 @@ def test_packer_limits():
         if not cuts:
             share = {i: (n, loss) for i, n, loss in items}
             assert all(sum(share[k][1] for k, _ in v) <= 500 or len(v) == 1 for v in seqs.values())
+
+
+@pytest.mark.parametrize("items, limits", [([(i, 1, 1) for i in range(600)], {}), ([(0, 1100, 1100), (1, 300, 0), (2, 500, 499)], {"loss": 512})])
+def test_last_sequences_hold_the_limits(items, limits):
+    out = packing.pack(items, **limits)
+    loss = {k: x / n for k, n, x in items}
+    seqs, got = defaultdict(list), defaultdict(list)
+    for key, start, n, seq, _ in out:
+        seqs[seq].append((key, n))
+        got[key] += range(start, start + n)
+    assert all(sorted(got[k]) == list(range(n)) for k, n, _ in items)
+    assert all(len(v) <= 256 and sum(loss[k] * n for k, n in v) <= limits.get("loss", 2048) + 1e-6 for v in seqs.values())
+    assert all((n := sum(n for _, n in v)) & (n - 1) == 0 for v in seqs.values())
