@@ -19,7 +19,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _tables: list[tuple[SparkSession, str]] = []
@@ -39,9 +40,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The cluster's shared folder (spark.checkpoint.dir); where a local session names none, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _tables.append((spark, folder))
@@ -62,13 +65,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def done_with(*tables: DataFrame) -> None:
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, beside which no name of an operator can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def beside(df: DataFrame, names: list[str], results: dict[str, Column]) -> DataFrame:
+    """The columns ``names`` of the struct ``row`` and the results; a column of a result's name gives way to it."""
+    return df.select(*(F.col(f"row.`{c}`") for c in names if c not in results), *(v.alias(c) for c, v in results.items()))
+
+
+def done_with(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes tables that only fed others which are written by now, and lets shuffle files go."""
     spark = tables[0].sparkSession
     for t in tables:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._gleanery_path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    release_shuffles(spark)
+    if shuffles:
+        release_shuffles(spark)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -119,6 +133,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NON_WORD = np.zeros(256, bool)
 NON_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+#: The second one before A-Z are lower-cased.
+NON_WORD_CASED = NON_WORD[LOWER]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
