@@ -212,6 +212,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     # leaders by bands
     banded = reps.join(ids, "rep").select("rep", "central", F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).where("c > 1")
+    heads = common.table(heads, "jaccard-heads")  # a plain exchange on either side of the join: a hot band is split
     led = banded.join(heads, ["band", "value"]).groupBy("rep").agg(F.max(F.struct("c", "top")).alias("best"))
     led = common.table(led.select("rep", (-F.col("best.top.minus")).alias("leader")).where("rep <> leader"), "jaccard-led")
     common.done_with(reps)
@@ -247,6 +248,7 @@ def links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, i
     # groups in blocks
     members = needed.join(stars, "rep", "left").select("rep", "n", "least", F.coalesce("leader", "rep").alias("leader"), F.coalesce("linked", F.lit(True)).alias("linked"))
     shape = members.groupBy("leader", "linked").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    shape = common.table(shape, "jaccard-shape")  # as above, for a hot leader
     members = members.join(shape, ["leader", "linked"])
     block = F.concat_ws("/", "leader", "linked", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     members = common.table(members.select("rep", "leader", "linked", "least", block.alias("block")), "jaccard-members")
