@@ -43,8 +43,8 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "p_quality", "p_toxic", "host_quality", "site_quality", "host_toxic", "site_toxic", "keep")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, _table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", *quality.RESULTS)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Two logistic models, good quality and toxicity, are fitted on at most MAX_LABELLED labelled rows (chosen by a hash of the
 id).  Their inputs are shape figures of the whole text (case, marks, symbols, digits, bars, repeated words and lines,
-word lengths) and word evidence: words and word beginnings whose label counts stand out, each with its log odds.  Then all documents are
-scored.  Sums of the scores by path and host, over all documents, give posteriors: a host's mean is shrunk to the global
-mean, a path's to its host's, each by a strength fitted to the spread of the means (method of moments), so sparse sites
-stay near the prior.  A document's log odds move by PULL times the log odds of its path over the global ones.  A document
+word lengths) and word evidence: words and word beginnings whose label counts stand out, each with its log odds.  Then
+all documents are scored, once, into a table in the shared folder.  Sums of the scores by path and host, over all
+documents, give posteriors: a host's mean is shrunk to the global mean, a path's to its host's, each by a strength fitted
+to the spread of the means (method of moments), so sparse sites stay near the prior.  A document's log odds move by PULL times the log odds of its path over the global ones.  A document
 is kept when its quality is at least one half and its toxicity less.
 
 The aggregates are partial sums before they are shuffled; the site table joins by Spark's own choice of join, and a site
@@ -13,7 +13,8 @@ with a third of all rows is split by it.
 
 Results in special cases: a null or empty text has no evidence and gets the prior of its site and is kept unless that
 speaks against it; null hosts and paths form sites of their own; labels that are null, or of unknown documents, are not
-used; without labels of both kinds a model falls back to its share; repeated rows are scored each; other columns pass.
+used; a labelled id of several rows counts once; without labels of both kinds a model falls back to its share; repeated rows are scored each; other columns pass, as
+they travel in a struct of their own, and only ``classify`` puts results in place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -123,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(" and ".join(f"{t} is not null" for t in TARGETS)).where(F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id_")).agg(*(F.max(F.col(t).cast("int")).alias(f"y_{t}") for t in TARGETS))
     chosen = known.orderBy(F.xxhash64("id_")).limit(limit)  # ``limit`` rows of three numbers: small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id_").drop("id_").where("text is not null")
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id_").where("text is not null")
+    # an id that many rows have is one labelled document, by its smallest text
+    rows = rows.groupBy("id_", *(f"y_{t}" for t in TARGETS)).agg(F.min("text").alias("text")).drop("id_")
     rows = common.table(rows, "quality-labelled")
     model = Model()
     total = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"y_{t}").alias(t) for t in TARGETS)).first()
@@ -177,59 +180,80 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with _quality and _toxic, each document's own evidence."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str, host: Column, path: Column, keep_text: bool = True) -> DataFrame:
+    """Columns row (struct of all columns of ``docs``; without the text, if that isn't wanted), host, path, and quality and
+    toxic: each document's own evidence.  Every text is read once."""
     common.prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * MAX_WORDS words and two weight vectors
-    at = docs.columns.index(text_col)
-    out = docs.withColumns({"_quality": F.lit(None).cast("double"), "_toxic": F.lit(None).cast("double")})
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    text = [] if keep_text else [F.col(text_col).alias("text")]
+    scored = docs.select(row, host.alias("host"), path.alias("path"), F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("toxic"), *text)
+    at = names.index(text_col) if keep_text else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = sent.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(p[:, 0]), pa.array(p[:, 1])], names=b.schema.names)
+            texts = b.column(0).field(at) if keep_text else b.column(5)
+            p = sent.value.predict(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(p[:, 0]), pa.array(p[:, 1])], names=b.schema.names[:5])
 
-    return out.mapInArrow(common.frugal(run), out.schema)
+    return scored.mapInArrow(common.frugal(run), scored.drop("text").schema)
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """Posterior means by (_host, _path) of rows with _host, _path, _quality, _toxic."""
-    paths = common.table(evidence.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"_{t}").alias(f"s_{t}") for t in TARGETS)), "quality-paths")
-
-    def evidence_by(*keys: str) -> DataFrame:
-        return paths.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS))
+def strength(n: float | None, ss: float | None, k: int, m: float) -> float:
+    """Beta strength of k groups of n rows in all, whose spread of means matches the one observed (``ss``: squared gaps of
+    the groups' means from m, by rows) beyond binomial noise."""
+    if not n or k < 2:
+        return 100.0
+    spread = max(ss / n - m * (1 - m) * k / n, 1e-6)
+    return float(min(max(m * (1 - m) / spread - 1, 5.0), 1000.0))
 
-    def strength(level: DataFrame, m: float, t: str) -> float:
-        """Beta strength whose spread of means matches the one observed beyond binomial noise."""
-        r = level.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col(f"s_{t}") / F.col("n") - m, 2)).alias("ss"), F.count(F.lit(1)).alias("k")).first()
-        if not r.n or r.k < 2:
-            return 100.0
-        noise = m * (1 - m) * r.k / r.n
-        spread = max(r.ss / r.n - noise, 1e-6)
-        return float(min(max(m * (1 - m) / spread - 1, 5.0), 1000.0))
 
+def site_posteriors(evidence: DataFrame) -> DataFrame:
+    """Posterior means by host and path of rows with host, path, quality, toxic: columns h, p, host_*, site_* and all_*."""
+    paths = common.table(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(f"s_{t}") for t in TARGETS)), "quality-paths")
     total = paths.agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(t) for t in TARGETS)).first()
-    hosts = evidence_by("_host")
     mean = {t: (total[t] or 0.0) / (total.n or 1) for t in TARGETS}
-    kh = {t: strength(hosts, mean[t], t) for t in TARGETS}
-    kp = {t: strength(paths, mean[t], t) for t in TARGETS}
-    host = hosts.select(F.col("_host").alias("h_"), *(((F.lit(kh[t] * mean[t]) + F.col(f"s_{t}")) / (F.lit(kh[t]) + F.col("n"))).alias(f"host_{t}") for t in TARGETS))
-    both = paths.join(host, F.col("_host").eqNullSafe(F.col("h_")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS))
+
+    def strengths(level: DataFrame) -> dict[str, float]:
+        spread = (F.sum(F.col("n") * F.pow(F.col(f"s_{t}") / F.col("n") - mean[t], 2)).alias(t) for t in TARGETS)
+        r = level.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *spread).first()
+        return {t: strength(r.n, r[t], r.k, mean[t]) for t in TARGETS}
+
+    kh, kp = strengths(hosts), strengths(paths)
+    host = hosts.select(F.col("host").alias("h"), *(((F.lit(kh[t] * mean[t]) + F.col(f"s_{t}")) / (F.lit(kh[t]) + F.col("n"))).alias(f"host_{t}") for t in TARGETS))
+    both = paths.join(common.table(host, "quality-hosts"), F.col("host").eqNullSafe(F.col("h")))
     return both.select(
-        F.col("_host").alias("h_"), F.col("_path").alias("p_"), *(F.col(f"host_{t}") for t in TARGETS),
+        "h", F.col("path").alias("p"), *(F.col(f"host_{t}") for t in TARGETS),
         *(((F.lit(kp[t]) * F.col(f"host_{t}") + F.col(f"s_{t}")) / (F.lit(kp[t]) + F.col("n"))).alias(f"site_{t}") for t in TARGETS),
         *(F.lit(mean[t]).alias(f"all_{t}") for t in TARGETS),
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """``docs`` with _host, _path, their posteriors, p_quality, p_toxic and keep; by default hosts are sources, paths languages."""
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_text: bool = True) -> DataFrame:
+    """Columns row (struct of the columns of ``docs``), host_*, site_*, all_*, p_quality, p_toxic and keep; by default hosts
+    are sources, paths languages."""
     model = train(docs, labels, id_col, text_col)
-    # own evidence goes to where the texts are twice: for the sums, and for the result
-    placed = docs.withColumns({"_host": F.col("source") if host is None else host, "_path": F.col("lang") if path is None else path})
-    sites = common.table(site_posteriors(with_evidence(placed.select("_host", "_path", F.col(text_col).alias("_text")), model, "_text")), "quality-sites")
-    scored = with_evidence(placed, model, text_col)
-    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("h_")) & F.col("_path").eqNullSafe(F.col("p_")))
-    pulled = {t: 1 / (1 + F.exp(-(_logit(F.col(f"_{t}")) + PULL * (_logit(F.col(f"site_{t}")) - _logit(F.col(f"all_{t}")))))) for t in TARGETS}
+    evidence = with_evidence(docs, model, text_col, F.col("source") if host is None else host, F.col("lang") if path is None else path, keep_text)
+    scored = common.table(evidence, "quality-scored")
+    sites = common.table(site_posteriors(scored), "quality-sites")
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).drop("h", "p", "host", "path")
+    pulled = {t: 1 / (1 + F.exp(-(_logit(F.col(t)) + PULL * (_logit(F.col(f"site_{t}")) - _logit(F.col(f"all_{t}")))))) for t in TARGETS}
     out = joined.withColumns({f"p_{t}": pulled[t] for t in TARGETS})
-    return out.withColumn("keep", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+    # rounded, so that the order in which sums are taken decides nothing
+    return out.withColumn("keep", (F.round("p_quality", 9) >= 0.5) & (F.round("p_toxic", 9) < 0.5))
+
+
+RESULTS = ("p_quality", "p_toxic", "host_quality", "site_quality", "host_toxic", "site_toxic", "keep")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` and the columns RESULTS; a column of ``docs`` of such a name gives way to the result."""
+    out = judged(docs, labels, id_col, text_col, host, path, keep_text)
+    return common.beside(out, [c for c in docs.columns if keep_text or c != text_col], {c: F.col(c) for c in RESULTS})
+
+
+def kept(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with their own columns only, whatever these are called."""
+    return judged(docs, labels, **columns).where("keep").select("row.*")
