@@ -5,11 +5,17 @@ words of every item.  Reading a text, it tracks the length of the longest run th
 ``window`` words covers hit words, and its state names the items.  Items of fewer words count as one window of their own
 length.  Words that no item has reset the automaton, so only runs of item words are walked.
 
-The automaton is broadcast in blocks of at most BLOCK_WORDS item words (about 40 MB); further blocks take further passes
-over the same rows within the same stage, so the item set may grow without growing what is broadcast at once.
+The automaton is broadcast in blocks of at most BLOCK_WORDS item words (about 40 MB).  Each block is a job of its own
+over the distinct texts' digests: it writes the hits of the texts that have any to the shared folder, so one automaton is
+live at a time and the item set may grow without growing what is broadcast.  Hits of several blocks are put together by
+text digest and joined to the documents; a text of many copies is one row there.
+
+What becomes of hits: ``judge`` reports them, ``clean`` drops documents whose coverage is over the limit (hits are a
+COVER-th of the words at least) and cuts the spans of at least ``longest`` words out of the others.
 
 Results in special cases: a null text has no words; null or wordless items have no window; repeated documents are judged
-each; repeated items count each; an empty benchmark hits nothing; other columns pass through untouched.
+each; repeated items count each; an empty benchmark hits nothing; other columns pass through untouched, as they travel in
+a struct of their own, and only ``find_hits`` and ``judge`` put results in place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,9 +25,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -153,77 +158,135 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with a column ``_hit``: struct of n_words, merged spans (flat starts and ends) and item ids."""
+HIT = "struct<n_words: bigint, spans: array<bigint>, items: array<string>>"
+_KIND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
+def hits_of(text: str | None, auto: SuffixAutomaton) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """Words, hit spans and items of one text."""
+    words = (text or "").encode().lower().translate(_TABLE).split()
+    spans: list[tuple[int, int]] = []
+    names: set[str] = set()
+    know, shortest = auto.ids, auto.shortest
+    if len(words) >= shortest:
+        ids = np.fromiter((know.get(w, -1) for w in words), np.int32, len(words))
+        edge = np.flatnonzero(np.diff(np.concatenate(([-1], np.minimum(ids, 0), [-1]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= shortest:
+                found, who = auto.scan(ids[a:b].tolist())
+                spans += [(a + x, a + y) for x, y in found]
+                names |= who
+    return len(words), spans, names
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Columns row (struct of the columns of ``docs``) and hit: struct of n_words, merged spans (flat starts and ends) and items."""
     spark = docs.sparkSession
     common.prepare(spark)
-    hit = T.StructType([
-        T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
-    ])
-    out = docs.withColumn("_hit", F.lit(None).cast(hit))
-    schema = out.schema
-    at, fields = docs.columns.index(text_col), len(docs.columns)
-
-    def walk(sent) -> callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto: SuffixAutomaton = sent.value
-            know, shortest = auto.ids, auto.shortest
-            for batch in batches:
-                rows = []
-                for text, old in zip(batch.column(at).to_pylist(), batch.column(fields).to_pylist(), strict=True):
-                    words = (text or "").encode().lower().translate(_TABLE).split()
-                    spans = list(zip(old["spans"][::2], old["spans"][1::2], strict=True)) if old else []
-                    names = set(old["items"]) if old else set()
-                    if len(words) >= shortest:
-                        ids = np.fromiter((know.get(w, -1) for w in words), np.int32, len(words))
-                        edge = np.flatnonzero(np.diff(np.concatenate(([-1], np.minimum(ids, 0), [-1]))))
-                        for a, b in zip(edge[::2], edge[1::2], strict=True):
-                            if b - a >= shortest:
-                                found, who = auto.scan(ids[a:b].tolist())
-                                spans += [(int(a) + x, int(a) + y) for x, y in found]
-                                names |= who
-                    rows.append({"n_words": len(words), "spans": [x for s in _merged(spans) for x in s], "items": sorted(names)})
-                kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:fields], pa.array(rows, kind)], names=batch.schema.names)
-
-        return run
-
-    none = True
+    row, at = common.packed(docs), docs.columns.index(text_col)
+    digest = F.sha2(F.col(f"row.`{text_col}`"), 256)
+    tables, last = [], None
     for auto in build_blocks(benchmark, item_col, item_text, window):
-        out, none = out.mapInArrow(common.frugal(walk(spark.sparkContext.broadcast(auto))), schema), False
-    if none:
-        out = out.mapInArrow(walk(spark.sparkContext.broadcast(SuffixAutomaton([], window))), schema)
-    return out
+        if last is not None:
+            tables.append(common.table(_block_hits(docs, last, text_col), "benchmark-hits"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(auto)
+    last = last or spark.sparkContext.broadcast(SuffixAutomaton([], window))
+    out = row
+    if tables:
+        found = tables[0]
+        for t in tables[1:]:
+            found = found.unionByName(t)
+        earlier = found.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        earlier = common.table(earlier, "benchmark-found")
+        out = row.join(earlier, digest == F.col("digest"), "left")
+    spans, items = (F.col(c) if tables else F.expr(f"cast(null as array<{t}>)") for c, t in (("spans", "bigint"), ("items", "string")))
+    out = out.select("row", F.struct(F.lit(0).cast("long").alias("n_words"), F.coalesce(spans, F.expr("cast(array() as array<bigint>)")).alias("spans"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items")).cast(HIT).alias("hit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, old in zip(batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, spans, names = hits_of(text, last.value)
+                spans += zip(old["spans"][::2], old["spans"][1::2], strict=True)
+                rows.append({"n_words": n, "spans": [x for s in _merged(spans) for x in s], "items": sorted(names.union(old["items"]))})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _KIND)], names=["row", "hit"])
+
+    return out.mapInArrow(common.frugal(run), out.schema)
+
+
+def _block_hits(docs: DataFrame, sent, text_col: str) -> DataFrame:
+    """digest, spans, items of the texts that one block's automaton finds something in; each text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, [x for s in _merged(spans) for x in s], sorted(names)) for t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True) for _, spans, names in [hits_of(t, sent.value)] if spans]
+            d, s, i = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(s, pa.list_(pa.int64())), pa.array(i, pa.list_(pa.string()))], names=["digest", "spans", "items"])
+
+    texts = docs.select(F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("digest")).where("text is not null")
+    found = texts.mapInArrow(common.frugal(run), "digest string, spans array<bigint>, items array<string>")
+    return found.dropDuplicates(["digest"])
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with a column ``_hit``: struct of n_words, merged spans (flat starts and ends) and item ids."""
+    return common.beside(with_hits(docs, benchmark, text_col, item_col, item_text, window), docs.columns, {"_hit": F.col("hit")})
+
+
+def hit_words(hit: Column) -> Column:
+    pairs = F.sequence(F.lit(0), F.size(hit["spans"]) - 2, F.lit(2))
+    return F.when(F.size(hit["spans"]) == 0, F.lit(0).cast("long")).otherwise(
+        F.aggregate(pairs, F.lit(0).cast("long"), lambda a, i: a + F.get(hit["spans"], i + 1) - F.get(hit["spans"], i))
+    )
+
+
+def contaminated(hit: Column) -> Column:
+    return (hit_words(hit) > 0) & (hit_words(hit) * COVER >= hit["n_words"])
 
 
 def judge(hits: DataFrame) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated from ``_hit``."""
-    pairs = F.sequence(F.lit(0), F.size("_hit.spans") - 2, F.lit(2))
-    total = F.when(F.size("_hit.spans") == 0, F.lit(0).cast("long")).otherwise(
-        F.aggregate(pairs, F.lit(0).cast("long"), lambda a, i: a + F.get(F.col("_hit.spans"), i + 1) - F.get(F.col("_hit.spans"), i))
-    )
-    return hits.withColumns({"n_words": F.col("_hit.n_words"), "n_hit": total}).withColumns({
-        "n_items": F.size("_hit.items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("_hit.items", ","), 256),
-        "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * COVER >= F.col("n_words")),
+    hit = F.col("_hit")
+    return hits.withColumns({
+        "n_words": hit["n_words"], "n_hit": hit_words(hit), "n_items": F.size(hit["items"]).cast("long"),
+        "items_sha256": F.sha2(F.array_join(hit["items"], ","), 256), "contaminated": contaminated(hit),
     })
 
 
 def cut_spans(text: str | None, spans: list[int]) -> str | None:
-    """``text`` without the words in ``spans`` (and the separators after them); used where only passages are to go."""
+    """``text`` without the words in ``spans`` and the separators after them."""
     if not spans or text is None:
         return text
     raw = np.frombuffer(text.encode(), np.uint8)
-    low, _ = common.LOWER[raw], None
-    starts, ends, _ = common.word_bounds(low, np.array([0, len(raw)]), common.NON_WORD)
+    starts, _, _ = common.word_bounds(raw, np.array([0, len(raw)]), common.NON_WORD_CASED)
     keep = np.ones(len(raw), bool)
     for a, b in zip(spans[::2], spans[1::2], strict=True):
         keep[starts[a] : starts[b] if b < len(starts) else len(raw)] = False
     return raw[keep].tobytes().decode()
 
 
+def _without_spans(hits: DataFrame, text_col: str, longest: int) -> DataFrame:
+    """The rows of ``hits`` (row, hit), with spans of ``longest`` words or more cut out of the text."""
+    at, names = hits.schema["row"].dataType.names.index(text_col), hits.schema["row"].dataType.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(0).field(i) for i in range(len(names))]
+            spans = [[x for a, b in zip(s[::2], s[1::2], strict=True) if b - a >= longest for x in (a, b)] for s in batch.column(1).field(1).to_pylist()]
+            if any(spans):
+                cols[at] = pa.array([cut_spans(t, s) for t, s in zip(cols[at].to_pylist(), spans, strict=True)], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return hits.mapInArrow(common.frugal(run), hits.schema["row"].dataType)
+
+
 def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_words: int = 0) -> DataFrame:
     """``docs`` with every hit span longer than ``most_words`` words cut out of the text."""
-    hits = find_hits(docs, benchmark, text_col)
-    cut = F.udf(lambda t, s: cut_spans(t, [x for a, b in zip(s[::2], s[1::2]) if b - a > most_words for x in (a, b)]), "string")
-    return hits.withColumn(text_col, cut(F.col(text_col), F.col("_hit.spans"))).drop("_hit")
+    return _without_spans(with_hits(docs, benchmark, text_col), text_col, most_words + 1)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated documents, and without spans of ``longest`` words or more in the others."""
+    hits = with_hits(docs, benchmark, text_col)
+    return _without_spans(hits.where(~contaminated(F.col("hit"))), text_col, longest)
