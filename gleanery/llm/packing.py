@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -258,9 +258,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8
         yield pa.concat_batches(held)
 
 
-def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, close: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, cache: int = CACHE) -> DataFrame:
-    """Pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; every token bears loss.
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, close: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, cache: int = CACHE, loss: int | None = None, loss_share: Column | None = None) -> DataFrame:
+    """Pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``loss_share`` is the share of an example's tokens that bear loss (instruction data: what isn't prompt), spread evenly
+    over its pieces; null and by default all do.  ``loss`` limits them in a sequence, by default to ``tokens``.
     ``cache`` words are kept in each Python worker, at about 200 bytes each.
     """
     common.prepare(docs.sparkSession)
@@ -269,7 +271,7 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow_kind: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = tokenizer_of(path, cache), Packer(tokens, segments)
+        words, packer = tokenizer_of(path, cache), Packer(tokens, segments, loss)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, bytes, int]] = {}
         serial = 0
@@ -291,9 +293,10 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in _gathered(batches):
             arrow_kind[:] = [batch.schema.field(0).type]
             items = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
-                held[serial] = (doc, ids + end, len(ids) // 4 + 1)
-                items.append((serial, len(ids) // 4 + 1, len(ids) // 4 + 1))
+            for doc, ids, share in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                n = len(ids) // 4 + 1
+                held[serial] = (doc, ids + end, n)
+                items.append((serial, n, int(np.ceil(n * min(1.0, max(0.0, share))))))
                 serial += 1
             rows = emit(packer.add(items))
             while len(packer.keys) > POOL and packer.held() >= tokens:
@@ -302,5 +305,6 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if arrow_kind:
             yield batch_of(emit(packer.rest()))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.frugal(run), f"doc_id {kind}, {PIECES}")
+    share = F.lit(1.0) if loss_share is None else F.coalesce(loss_share.cast("double"), F.lit(1.0))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), share.alias("share")).mapInArrow(common.frugal(run), f"doc_id {kind}, {PIECES}")
 

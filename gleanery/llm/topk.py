@@ -12,7 +12,8 @@ through a join on a grid column, and nothing is collected but the one seed bucke
 
 Results in special cases: a vector that is null, empty or holds null or a non-finite number takes no part, nor does a null
 id; only vectors of equal dimension meet; repeated rows are candidates each, and a query's own id never; a repeated query
-id is answered once, for its smallest vector; ties go to the smaller id; with fewer candidates than k all are returned.
+id is answered once, for its smallest vector; scaled components are cut off where a product of two vectors could pass 64
+bits (beyond 2^31 over the root of the dimension; 268 million at 64 dimensions); ties go to the smaller id; with fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -37,10 +38,14 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     good = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.col(id_col).isNotNull()
     rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    most = F.floor(F.sqrt(F.lit(float(2**62)) / F.size("e")))
+    rows = rows.select("vec_id", F.transform("e", lambda x: F.greatest(-most, F.least(most, F.floor(x * scale)))).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = [np.floor(np.array(v, float) * scale).astype(np.int64) for v in b.column(1).to_pylist()]
+            lists = b.column(1)
+            x, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            vecs = [x[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(v) for v in vecs], pa.int32()), common.binary_list([v.tobytes() for v in vecs]),
                  pa.array([float(np.sqrt((v.astype(float) ** 2).sum())) for v in vecs], pa.float64())],
