@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,19 @@ def test_sharding(docs, empty):
     assert shard.balanced_shards(empty, 7).count() == 0
 
 
+def test_sharding_places_rows_by_prefix_sums(docs):
+    size = lambda t: len((t or "").encode()) + 16
+    order = sorted(corpus(), key=lambda x: (hashlib.md5((x[1] or "").encode()).hexdigest(), x[0] is not None, x[0] or 0))
+    total, before, slots, want = sum(size(t) for _, t in order), 0, defaultdict(int), []
+    for i, t in order:
+        k = min(6, before * 7 // total)
+        want.append((repr(i), size(t), k, slots[k]))
+        slots[k] += 1
+        before += size(t)
+    out = shard.balanced_shards(docs, 7).collect()
+    assert sorted((repr(x.doc_id), x.size, x.shard, x.slot) for x in out) == sorted(want)  # equal texts follow each other
+
+
 # ---------------------------------------------------------------- 5
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
@@ -271,6 +285,29 @@ def test_substring_dedup(docs, empty):
     assert all(x.text == untouched[repr(x.doc_id)] for x in made.collect() if repr(x.doc_id) in untouched)
 
 
+def test_removal_compares_words_with_the_source():
+    texts = pa.array([" ".join(f"w{i}" for i in range(40)), "\n".join(f"w{i}" for i in range(5, 30)), None])
+    _, run, own, where, size, _, raw, starts, ends, first, _ = substring_dedup.super_runs(texts, 13)
+    words, cuts, wrong = substring_dedup.Words(raw, starts, ends), [[], [], None], [[], [], None]
+    for j in range(len(run)):
+        x, y = np.frombuffer(words.digest(int(where[j]), int(size[j]) + 12), np.int64).tolist()
+        cuts[own[j]].append({"run": int(run[j].view(np.int64)), "cut": -1, "x": x, "y": y})
+        wrong[own[j]].append({"run": int(run[j].view(np.int64)), "cut": -1, "x": x, "y": y ^ 1})
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("run", "cut", "x", "y")]))
+    gone = lambda c: [int(g.sum()) for *_, g in substring_dedup._covered(pa.RecordBatch.from_arrays([texts, pa.array(c, kind)], names=["text", "cuts"]), 13)]
+    assert gone(cuts) == [40, 25, 0] and gone(wrong) == [0, 0, 0]
+    # the same words have the same digest whatever stands between them
+    assert words.digest(5, 13) == words.digest(40, 13)
+    assert words.digest(5, 13) != words.digest(6, 13)
+
+
+def test_substring_dedup_of_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, "x " + a + " y"), (3, b[3:]), (4, a.split(" ", 3)[3] + " " + b.rsplit(" ", 9)[0])]
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup_report(frame(spark, rows)).collect())
+    assert got == [(1, 30, 0), (1, 30, 0), (2, 32, 30), (3, 29, 29), (4, 48, 48)]
+
+
 # ---------------------------------------------------------------- 7
 
 def test_top_k(spark):
@@ -289,6 +326,15 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 1e17])]
+    most = int(np.floor(np.sqrt(2.0**62 / 2)))
+    ints = {i: [max(-most, min(most, int(np.floor(x * 1024)) if abs(x) < 1e15 else int(np.sign(x) * 2**62))) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(ints[0], ints[i], strict=True)), i) for i in (1, 2, 3, 4))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(-x.score, x.vec_id) for x in got] == want
+
+
 def test_candidates_never_miss():
     r = np.random.default_rng(3)
     for _ in range(200):
@@ -323,6 +369,52 @@ def test_quality_edges(spark, docs, empty):
     assert quality.classify(docs, labels.where("false")).where("not keep").count() == 0
 
 
+def test_site_posteriors(spark):
+    r = random.Random(9)
+    rows = [(f"h{i % 7}" if i % 7 else None, f"p{i % 3}" if i % 11 else None, r.random() ** (1 + i % 7), r.random() * (i % 2)) for i in range(500)]
+    rows += [("big", "p0", 0.25, 0.5)] * 300 + [("lone", "x", 1.0, 1.0)]
+
+    def shrink(k):
+        total = sum(x[k] for x in rows) / len(rows)
+
+        def groups(key):
+            out = defaultdict(list)
+            for x in rows:
+                out[key(x)].append(x[k])
+            return out
+
+        def strength(g):
+            spread = sum(len(v) * (sum(v) / len(v) - total) ** 2 for v in g.values()) / len(rows) - total * (1 - total) * len(g) / len(rows)
+            return min(max(total * (1 - total) / max(spread, 1e-6) - 1, 5.0), 1000.0)
+
+        hosts, paths = groups(lambda x: x[0]), groups(lambda x: (x[0], x[1]))
+        kh, kp = strength(hosts), strength(paths)
+        host = {h: (kh * total + sum(v)) / (kh + len(v)) for h, v in hosts.items()}
+        return {(h, p): (host[h], (kp * host[h] + sum(v)) / (kp + len(v)), total) for (h, p), v in paths.items()}
+
+    good, bad = shrink(2), shrink(3)
+    out = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, quality double, toxic double")).collect()
+    assert len(out) == len(good)
+    for x in out:
+        assert (x.host_quality, x.site_quality, x.all_quality, x.host_toxic, x.site_toxic, x.all_toxic) == pytest.approx((*good[x.h, x.p], *bad[x.h, x.p]))
+    one = next(x for x in out if x.h == "lone")
+    assert abs(one.site_quality - one.all_quality) < abs(1.0 - one.site_quality)  # a sparse site stays near the prior
+    assert quality.site_posteriors(spark.createDataFrame([], "host string, path string, quality double, toxic double")).count() == 0
+
+
+def test_quality_moves_by_the_site(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(10, 60)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs.select("doc_id", "text", "source", "lang"), labels, keep_text=False)
+    assert out.columns == ["doc_id", "source", "lang", *quality.RESULTS]
+    named = docs.selectExpr("*", *(f"-1 as {c}" for c in ("keep", "p_toxic", "site_quality", "h", "p", "host", "quality", "y_toxic", "id_", "row")))
+    same = quality.classify(named, labels)
+    assert len(same.columns) == len(set(same.columns)) and set(quality.RESULTS) <= set(same.columns)
+    both = [sorted((repr(x.doc_id), round(x.p_quality, 9), round(x.p_toxic, 9), x.keep) for x in o.collect()) for o in (out, same)]
+    assert both[0] == both[1]
+    stay = quality.kept(named, labels)
+    assert stay.columns == named.columns and stay.where("keep <> -1 or h <> -1 or row <> -1").count() == 0
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination(spark, docs, empty):
@@ -360,10 +452,30 @@ def test_decontamination(spark, docs, empty):
         decontaminate.BLOCK_WORDS = old
     assert not any(x[5] for x in rows(bench.where("false")))
     assert decontaminate.find_hits(empty, bench).count() == 0
+    named = docs.selectExpr("*", *(f"-1 as {c}" for c in ("_hit", "n_hit", "n_items", "contaminated", "hit", "digest", "spans")))
+    sure = {x[0] for x in want if x[5]}
+    old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 30
+    try:
+        stay = decontaminate.clean(named, bench)
+        assert stay.columns == named.columns
+        got = stay.collect()
+    finally:
+        decontaminate.BLOCK_WORDS = old
+    assert {(x.n_hit, x.contaminated, x.hit, x.digest) for x in got} == {(-1, -1, -1, -1)}
+    assert sorted(repr(x.doc_id) for x in got) == sorted(repr(i) for i, _ in corpus() if repr(i) not in sure)
     cut = decontaminate.remove_passages(docs.select("doc_id", "text"), bench.where("item_id = 0"), most_words=12)
     assert all(x[3] == "0" or x[2] < 13 for x in ((r.doc_id, r.n_words, r.n_hit, str(r.n_items)) for r in decontaminate.judge(decontaminate.find_hits(cut, bench.where("item_id = 0"))).collect()))
 
 
+def test_clean_cuts_long_spans_only(spark):
+    item, short = " ".join(f"q{i}" for i in range(20)), "tiny item"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    pad = " ".join(f"z{i}" for i in range(600))
+    docs = spark.createDataFrame([(1, f"{pad} ({item.upper()}), {pad}"), (2, f"{pad} {short} {pad}"), (3, item + " " + pad[:200]), (4, None), (5, "")], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in decontaminate.clean(docs, bench).collect()}
+    assert got == {1: f"{pad} ({pad}", 2: f"{pad} {short} {pad}", 4: None, 5: ""}
+
+
 # ---------------------------------------------------------------- 10
 
 def test_packing(docs, empty):
@@ -393,6 +505,25 @@ def test_packing(docs, empty):
     assert packing.pack_texts(empty).count() == 0
 
 
+def test_packing_limits_loss_tokens(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choices(["one", "two", "three"], k=r.choice([0, 3, 40, 700, 5000]))), r.choice([None, 0.0, 0.2, 0.9, 1.0])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part double")
+    share = {i: 1.0 if p is None else p for i, _, p in rows}
+    out = packing.pack_texts(docs, loss=600, segments=5, loss_share=F.col("part")).collect()
+    seqs, got = defaultdict(list), defaultdict(int)
+    for x in out:
+        seqs[x.sequence_id].append(x)
+        got[x.doc_id] += x.length
+    size = {x.doc_id: x.doc_tokens for x in out}
+    assert got == size and len(size) == 300
+    lost = lambda x: int(np.ceil(size[x.doc_id] * share[x.doc_id])) / size[x.doc_id] * x.length
+    for v in seqs.values():
+        assert sum(x.length for x in v) <= 2048 and len(v) <= 5 and sum(map(lost, v)) <= 600 + 1e-6
+    full = [v for v in seqs.values() if sum(x.length for x in v) == 2048]
+    assert len(full) > 20  # prompts fill what loss tokens leave
+
+
 def test_packer_limits():
     r = random.Random(8)
     items = [(i, n, r.randrange(n + 1)) for i in range(400) for n in [r.choice([1, 3, 50, 400, 900])]]
