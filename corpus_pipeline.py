@@ -19,18 +19,30 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.classify(docs, _read(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality.kept(docs, _read(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, similarity 0.8 or more)."""
+    """The document with the smallest id of each group of near copies (five words, similarity 0.8 or more).
+
+    Rows that repeat an id and its text are copies of one document, and one of them stays; a null id is nobody's copy.
+    """
     found = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    # rows that repeat an id are copies of one document; a null id is nobody's copy
-    once = Window.partitionBy("doc_id").orderBy(F.col("doc_id"))
-    ranked = left.where("doc_id is not null").withColumn("_row", F.row_number().over(once)).where("_row = 1").drop("_row")
-    return ranked.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = common.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "pipeline-copies")
+    often = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # mostly empty, and then texts needn't move for it
+    often = common.table(often.select("id").join(gone, "id", "left_anti"), "pipeline-repeated")
+    rows = common.packed(docs)
+    known, own = rows.where("row.doc_id is not null"), F.col("row.doc_id") == F.col("id")
+    once = known.join(gone.unionByName(often), own, "left_anti")
+    repeated = known.join(often, own, "left_semi").withColumn("text", F.sha2("row.text", 256))
+    first = Window.partitionBy("row.doc_id", "text").orderBy("row.lang", "row.source")
+    repeated = repeated.withColumn("at", F.row_number().over(first)).where("at = 1").select("row")
+    return once.unionByName(repeated).unionByName(rows.where("row.doc_id is null")).select("row.*")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +50,12 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = substring_dedup.remove_repeats(docs)
     had_words = F.col("n_chars").isNull() | (F.col("n_chars") > 0)
     out = out.where(~(F.coalesce(F.col("text") == "", F.lit(False)) & had_words))
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return _counted(out)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
-    hits = decontaminate.judge(decontaminate.find_hits(docs, _read(spark, sf_dir, "benchmark")))
-    return hits.where("not contaminated").select(*docs.columns)
+    """Documents that aren't contaminated by benchmark items, without the items' passages of 13 words or more."""
+    return _counted(decontaminate.clean(docs, _read(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
