@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 
+#: The refusal, whose text is compared, and the gates.
 REFUSAL = "I don't know based on the provided documents."
 THRESHOLD, SUPPORT_FLOOR = 0.40, 0.6
 #: Question words without meaning of their own.
@@ -50,19 +51,21 @@ def quote(words: Column, text: Column) -> Column:
 
 
 def hit_lists(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, question, hits: array of (rank, chunk_id, final, text); empty without hits."""
-    full = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
-    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "final", "text"))).alias("hits"))
-    empty = F.expr("cast(array() as array<struct<rank:int,chunk_id:bigint,final:double,text:string>>)")
+    """query_id, question, hits: array of (rank, chunk_id, final, text, and dense where hits have it); empty without hits."""
+    dense = ["dense"] if "dense" in hits.columns else []
+    full = hits.select("query_id", "rank", "chunk_id", "final", *dense).join(chunks.select("chunk_id", "text"), "chunk_id")
+    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "final", "text", *dense))).alias("hits"))
+    empty = F.array().cast(lists.schema["hits"].dataType)
     return questions.select("query_id", "question").join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
 
 
-def answers(listed: DataFrame, common: Column, threshold: float = THRESHOLD, floor: float = SUPPORT_FLOOR) -> DataFrame:
-    """Adds top_score, support, gate (score, support or open) and answer to hit lists."""
+def answers(listed: DataFrame, common: Column, threshold: float | Column = THRESHOLD, floor: float | Column = SUPPORT_FLOOR) -> DataFrame:
+    """Adds top_score, support, gate (score, support or open) and answer to hit lists; the gates' limits may be columns."""
     first = F.get(F.col("hits"), F.lit(0))
     out = listed.withColumn("top_score", first["final"])
     out = out.withColumn("support", support(F.col("question"), F.transform(F.slice("hits", 1, 3), lambda h: h["text"]), common))
-    passed = F.coalesce(F.col("top_score") >= threshold, F.lit(False))
+    # a gate whose limit is null is closed
+    passed = F.coalesce(F.col("top_score") >= F.lit(threshold), F.lit(False))
     out = out.withColumn("gate", F.when(~passed, "score").when(F.col("support") < floor, "support").otherwise("open"))
     words = keywords(F.col("question"))
     judged = F.transform(F.slice("hits", 1, 5), lambda h: F.struct((-coverage(words, h["text"])).alias("c"), (-h["final"]).alias("f"), h["rank"].alias("r"), h["chunk_id"].alias("id"), h["text"].alias("t")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import retrieve
+from gleanery.sources import files
 
 #: Words that say nothing about a topic.
 STOPWORDS = (
@@ -47,6 +48,12 @@ def assign(vectors: DataFrame, most_k: int = 8, seed: int = 42, starts: int = 3,
     return best
 
 
+def write_back(collection: DataFrame, members: DataFrame, names: DataFrame, key: str = "chunk_uid") -> DataFrame:
+    """A collection with cluster_id and cluster_label of its members (key, cluster) set, by way of a metadata update."""
+    changes = members.join(names.select("cluster", "name"), "cluster").select(key, F.col("cluster").alias("cluster_id"), F.col("name").alias("cluster_label"))
+    return files.update_metadata(collection, changes, key)
+
+
 def labels(members: DataFrame) -> DataFrame:
     """cluster, size, name: the three commonest words of (cluster, page, section, pos), in order of appearance."""
     words = lambda c: F.filter(T.tokens_simple(F.col(c)), lambda w: F.length(w) > 3)

@@ -3,18 +3,27 @@
 Every operator takes a DataFrame of questions.  Hits are rows (query_id, rank, chunk_id, score columns); texts are joined
 back by id after the cut, so they don't travel through the ranking.  Scores are ranked at nine decimals, ties go to the
 smaller id.
+
+BM25 reads an index that is built once: postings bucketed by chunk, so that all postings of a chunk lie in one partition.
+Questions come in blocks that are broadcast; a chunk's score then is a sum within a partition, and each partition passes
+on its best k of each question alone.  A common word costs a scan of its postings, and never a shuffle of them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.session import new_path
 
+#: The constants of BM25, rank fusion, its depth, and of the lexical boost.
 K1, B, RRF_K, DEPTH, BOOST = 1.5, 0.75, 60, 25, 0.15
 #: Queries that one pass of the exact search may hold in memory on each executor; more take more passes.
 QUERY_BLOCK = 4096
@@ -28,64 +37,149 @@ def top(scored: DataFrame, score: str, k: int, keys: tuple[str, ...] = ("query_i
     return ranked(scored, F.round(score, 9).desc(), F.col("chunk_id"), keys=keys).where(F.col("rank") <= k)
 
 
+def by_block(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on all of ``queries`` (query_id and more), in blocks of about QUERY_BLOCK rows that it may broadcast."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    if blocks == 1:
+        return run(queries)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (run(queries.where(own == b)) for b in range(blocks)))
+
+
 # ---------------------------------------------------------------- sparse
 
+def words_of(chunks: DataFrame) -> DataFrame:
+    """chunk_id, term, n: counts of the terms that a word of a chunk stands for, before equal ones are added up."""
+    words = chunks.select("chunk_id", F.explode(T.symbols(F.col("text"))).alias("word"))
+    return words.select("chunk_id", F.explode(T.symbol_parts(F.col("word"))).alias("term"))
+
+
 def term_freq(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.explode(T.tokens_symbol(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words_of(chunks).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_freq(chunks: DataFrame) -> DataFrame:
-    terms = chunks.select(F.explode(F.array_distinct(T.tokens_symbol(F.col("text")))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return term_freq(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every chunk with a term of the question.
-
-    Postings are cut to the questions' vocabulary before they are grouped, which is what keeps this small.
-    """
-    wanted = questions.select("query_id", F.explode(F.array_distinct(T.tokens_symbol(F.col("question")))).alias("term"))
-    sized = chunks.select("chunk_id", T.tokens_symbol(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    postings = sized.select("chunk_id", "len", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    known = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = known.crossJoin(F.broadcast(stats)).select("term", idf(F.col("df"), F.col("n")).alias("w"), "avg_len")  # stats is one row
-    parts = wanted.join(weights, "term").join(postings, "term")
-    tf = F.col("tf")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return parts.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
-
-
-def bm25_topk(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def terms_of(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(F.array_distinct(T.tokens_symbol(F.col("question")))).alias("term"))
+
+
+@dataclass(frozen=True)
+class Bm25Index:
+    """postings: term, chunk_id, tf, len (bucketed by chunk_id); terms: term, df; n and avg_len over all chunks."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    avg_len: float
+
+    @staticmethod
+    def build(chunks: DataFrame, buckets: int | None = None) -> Bm25Index:
+        """Tokenises every chunk once.  Tables go to the shared folder, for as long as the application runs."""
+        spark = chunks.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = chunks.select("chunk_id", "text").repartition(buckets, "chunk_id")
+        counted = term_freq(placed)  # texts lie by chunk_id already: no further shuffle
+        sized = counted.withColumn("len", F.sum("tf").over(Window.partitionBy("chunk_id")))
+        name = f"gleanery_postings_{uuid.uuid4().hex}"
+        sized.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").option("path", new_path(spark, "postings")).saveAsTable(name)
+        postings, path = spark.table(name), new_path(spark, "terms")
+        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(path)
+        n, total = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
+        return Bm25Index(postings, spark.read.schema("term string, df bigint").parquet(path), n, total / n if n else 0.0)
+
+    def scores(self, questions: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score of every chunk with a term of the question."""
+        tf = F.col("tf")
+        part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / self.avg_len))
+
+        def run(block: DataFrame) -> DataFrame:
+            # a block's distinct terms are at most its words: small enough to broadcast, as the block is
+            wanted = self.terms.join(F.broadcast(terms_of(block)), "term").select("query_id", "term", idf(F.col("df"), F.lit(self.n)).alias("w"))
+            return self.postings.join(F.broadcast(wanted), "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score"))
+
+        return by_block(questions.select("query_id", "question"), run).select("query_id", "chunk_id", "score")
+
+    def topk(self, questions: DataFrame, k: int) -> DataFrame:
+        return top(self.scores(questions), "score", k)
+
+    def holders(self, facts: DataFrame, chunks: DataFrame, any_case: bool = False) -> DataFrame:
+        """query_id, chunk_id of chunks whose text contains all ``facts`` (array) of a query.
+
+        A word that stands inside a fact, between blanks, stands in the index for every text that contains the fact.
+        Chunks with the rarest such word are the candidates; queries without one are compared with every text.
+        """
+        say = F.lower if any_case else (lambda c: c)
+        inner = F.flatten(F.transform("facts", lambda f: T.tokens_symbol(F.array_join(F.slice(F.split(f, r"\s+"), 2, F.greatest(F.size(F.split(f, r"\s+")) - 2, F.lit(0))), " "))))
+        keyed = facts.select("query_id", F.transform("facts", say).alias("facts"), F.array_distinct(inner).alias("inner"))
+        text = chunks.select("chunk_id", say(F.col("text")).alias("text"))
+        has = F.forall("facts", lambda f: F.contains(F.col("text"), f))
+
+        def run(block: DataFrame) -> DataFrame:
+            spread = block.select("query_id", F.size("inner").alias("of"), F.explode("inner").alias("term"))
+            known = self.terms.join(F.broadcast(spread), "term").groupBy("query_id", "of").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "term")).alias("rare"))
+            wanted = known.where("found = of").select("query_id", F.col("rare.term").alias("term")).join(F.broadcast(block.drop("inner")), "query_id")
+            held = self.postings.select("term", "chunk_id").join(F.broadcast(wanted), "term").join(text, "chunk_id").where(has)
+            return held.select("query_id", "chunk_id")
+
+        out = by_block(keyed.where(F.size("inner") > 0), run)
+        short = keyed.where(F.size("inner") == 0).drop("inner")
+        if short.isEmpty():
+            return out
+        return out.unionByName(by_block(short, lambda block: text.join(F.broadcast(block), has).select("query_id", "chunk_id")))
+
+
+def bm25(chunks: DataFrame | Bm25Index, questions: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score of every chunk with a term of the question."""
+    return (chunks if isinstance(chunks, Bm25Index) else Bm25Index.build(chunks)).scores(questions)
+
+
+def bm25_topk(chunks: DataFrame | Bm25Index, questions: DataFrame, k: int) -> DataFrame:
     return top(bm25(chunks, questions), "score", k)
 
 
 # ---------------------------------------------------------------- dense
 
-def by_block(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``run`` on all of ``queries`` (query_id and more), in blocks of about QUERY_BLOCK rows that it may broadcast."""
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    if blocks == 1:
-        return run(queries)
-    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (run(queries.where(own == b)) for b in range(blocks)))
+class Embedder(Protocol):
+    """What gives texts their vectors; any model that maps a table of texts to a table of vectors will do."""
+
+    def encode(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """``texts`` with a column embedding (array of doubles of length one)."""
+        ...
+
+
+class HashedWords:
+    """An embedder without a model: counts of words in slots by their MD5, to length one."""
+
+    def __init__(self, size: int = 256) -> None:
+        self.size = size
+
+    def encode(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        slots = F.transform(T.tokens_simple(F.col(text_col)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % self.size).cast("int"))
+        out = texts.withColumn("_slots", slots)
+        counts = F.aggregate("_slots", F.array_repeat(F.lit(0.0), self.size), lambda a, s: F.transform(a, lambda x, i: x + (i == s).cast("double")))
+        norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
+        out = out.withColumn("_counts", counts).withColumn("embedding", F.transform("_counts", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+        return out.drop("_slots", "_counts")
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, condition: Column | None = None) -> DataFrame:
     """Scores of all vectors for a stated set of queries, in blocks of QUERY_BLOCK; filters belong below, in ``vectors``.
 
-    ``vectors``: chunk_id, embedding and more; ``queries``: query_id, query and more.  A query's own row is left out.
+    ``vectors``: chunk_id, embedding and more; ``queries``: query_id, query and more.  A query's own row is left out; a
+    query without a vector has no scores.
     """
     def scored(block: DataFrame) -> DataFrame:
         met = vectors.join(F.broadcast(block), (F.col("chunk_id") != F.col("query_id")) & (F.lit(True) if condition is None else condition))
         return met.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding")
 
-    return by_block(queries, scored)
+    return by_block(queries.where("query is not null"), scored)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
@@ -93,15 +187,32 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, condition: Column
 
 
 def rerank(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Adds final = dense + BOOST * lexical overlap of question and text."""
+    """Adds final = dense + BOOST * lexical overlap of question and text; without a dense score the overlap counts alone."""
     met = candidates.join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    return met.withColumn("final", F.col("dense") + BOOST * T.lexical_overlap(F.col("question"), F.col("text"))).drop("question", "text")
+    return met.withColumn("final", F.coalesce("dense", F.lit(0.0)) + BOOST * T.lexical_overlap(F.col("question"), F.col("text"))).drop("question", "text")
 
 
-def dense_rerank_topk(vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-    """The 3k best by vectors alone, by boosted score, cut to k; the boost can't bring in what lies deeper."""
+def dense_rerank_topk(vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, condition: Column | None = None, lexical: bool = True) -> DataFrame:
+    """The 3k best by vectors alone, by boosted score, cut to k; the boost can't bring in what lies deeper.
+
+    Without ``lexical`` the order is that of the vectors.  ``vectors`` are those of ``chunks``.
+    """
     pool = dense_topk(vectors, questions.select("query_id", "query"), 3 * k, condition).withColumnRenamed("rank", "dense_rank")
-    return ranked(rerank(pool, chunks, questions), F.round("final", 9).desc(), F.col("dense_rank")).where(F.col("rank") <= k)
+    scored = rerank(pool, chunks, questions) if lexical else pool.withColumn("final", F.col("dense"))
+    return ranked(scored, F.round("final", 9).desc(), F.col("dense_rank")).where(F.col("rank") <= k)
+
+
+def overlaps(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, chunk_id, overlap of every question and chunk that share a word: the part of the question's distinct words
+    that the chunk has.  Chunks are taken apart once, whatever the number of questions."""
+    words = lambda c: F.array_distinct(T.tokens_simple(F.col(c)))
+    has = chunks.select("chunk_id", F.explode(words("text")).alias("term"))
+
+    def run(block: DataFrame) -> DataFrame:
+        wanted = block.select("query_id", words("question").alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+        return has.join(F.broadcast(wanted), "term").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("c"))
+
+    return by_block(questions.select("query_id", "question"), run).select("query_id", "chunk_id", (F.col("c") / F.col("n")).alias("overlap"))
 
 
 # ---------------------------------------------------------------- fusion
@@ -116,13 +227,41 @@ def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked(both, F.round("rrf", 12).desc(), F.coalesce("first_rank", F.lit(10**9)), F.col("chunk_id"))
 
 
-def hybrid_topk(vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
-    """Fused order of the boosted vector ranking and BM25; scores are those of the vector ranking.
+def hybrid_topk(vectors: DataFrame, chunks: DataFrame, index: Bm25Index, questions: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
+    """Fused order of the boosted vector ranking and BM25 over all chunks; scores are those of the vector ranking.
 
-    Rows that BM25 alone brings are scored by one join for all of them.
+    Rows that BM25 alone brings are scored by one join for all of them; where a question or a chunk has no vector, dense is
+    null and the lexical part of the score stands alone.
     """
     dense = dense_rerank_topk(vectors, chunks, questions, depth)
-    sparse = bm25_topk(chunks, questions, depth)
-    fused = rrf(dense, sparse).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "rrf", F.col("first_rank").alias("dense_rank"), F.col("second_rank").alias("bm25_rank"))
-    scored = fused.join(questions.select("query_id", "query"), "query_id").join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    fused = rrf(dense, index.topk(questions, depth)).where(F.col("rank") <= k)
+    fused = fused.select("query_id", "chunk_id", "rank", "rrf", F.col("first_rank").alias("dense_rank"), F.col("second_rank").alias("bm25_rank"))
+    scored = fused.join(questions.select("query_id", "query"), "query_id").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
     return rerank(scored.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding"), chunks, questions)
+
+
+# ---------------------------------------------------------------- registry
+
+@dataclass(frozen=True)
+class Corpus:
+    """What retrievers search: chunks (chunk_id, text and more), vectors (chunk_id, embedding and more) and the index."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    index: Bm25Index
+
+
+#: Name to retriever: (corpus, questions with query_id, question, query; k) to hits with rank, chunk_id and final.
+RETRIEVERS: dict[str, Callable[[Corpus, DataFrame, int], DataFrame]] = {
+    "dense": lambda c, q, k: dense_rerank_topk(c.vectors, c.chunks, q, k, lexical=False),
+    "baseline": lambda c, q, k: dense_rerank_topk(c.vectors, c.chunks, q, k),
+    "bm25": lambda c, q, k: c.index.topk(q, k).withColumn("final", F.col("score")),
+    "hybrid": lambda c, q, k: hybrid_topk(c.vectors, c.chunks, c.index, q, k),
+}
+
+
+def retriever(name: str) -> Callable[[Corpus, DataFrame, int], DataFrame]:
+    if name not in RETRIEVERS:
+        raise ValueError(f"no retriever {name!r}; there are {', '.join(sorted(RETRIEVERS))}")
+    return RETRIEVERS[name]
+

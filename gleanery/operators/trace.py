@@ -2,71 +2,226 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import time
+from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import answer as A
+from gleanery.operators import retrieve
+from gleanery.session import table
 
+META = "struct<source_file:string,page_id:string,page_type:string,section:string,anchor:string>"
+HIT = f"struct<rank:int,chunk_id:string,sdk_version:string,dense:double,final:double,text:string,meta:{META}>"
+PARAMS = "struct<collection:string,top_k:int,filters:map<string,string>,lexical_boost:double,score_threshold:double,support_floor:double>"
 SCHEMA = (
-    "trace_id string, schema int, ts string, session string, question string, params struct<top_k:int,score_threshold:double,support_floor:double>, "
-    "common_terms array<string>, retrieved array<struct<rank:int,chunk_id:bigint,final:double,text:string>>, raw_output string"
+    "trace_id string, schema int, ts string, session string, question string, pipeline string, generator_version string, retriever_version string, "
+    f"corpus_version string, model struct<embedder:string,revision:string,generator:string>, params {PARAMS}, common_terms array<string>, "
+    f"retrieved array<{HIT}>, raw_output string, latency_ms struct<retrieve:double,generate:double>"
 )
+VERSIONS = ("generator_version", "retriever_version", "corpus_version", "model")
+
+
+def version_of(module) -> str:
+    """Twelve digits that change with the code of a module."""
+    return hashlib.sha256(Path(module.__file__).read_bytes()).hexdigest()[:12]
+
+
+@dataclass(frozen=True)
+class Run:
+    """What all traces of a run have in common."""
+
+    pipeline: str = "baseline"
+    collection: str = "chunks"
+    top_k: int = 3
+    filters: dict[str, str] | None = None
+    threshold: float = A.THRESHOLD
+    floor: float = A.SUPPORT_FLOOR
+    corpus_version: str = ""
+    embedder: str = "given"
+    revision: str = "unknown"
+    generator: str = "extractive"
+    generator_version: str = field(default_factory=lambda: version_of(A))
+    retriever_version: str = field(default_factory=lambda: version_of(retrieve))
+
+    def columns(self) -> dict[str, Column]:
+        filters = F.lit(None) if self.filters is None else F.create_map(*(F.lit(x) for kv in sorted(self.filters.items()) for x in kv))
+        params = F.struct(
+            F.lit(self.collection).alias("collection"), F.lit(self.top_k).alias("top_k"), filters.cast("map<string,string>").alias("filters"), F.lit(retrieve.BOOST).alias("lexical_boost"),
+            F.lit(float(self.threshold)).alias("score_threshold"), F.lit(float(self.floor)).alias("support_floor"),
+        )
+        model = F.struct(F.lit(self.embedder).alias("embedder"), F.lit(self.revision).alias("revision"), F.lit(self.generator).alias("generator"))
+        fixed = {c: F.lit(getattr(self, c)) for c in ("pipeline", "generator_version", "retriever_version", "corpus_version")}
+        return fixed | {"model": model, "params": params}
+
+
+def row_numbers(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with pos, from 0, in the order of columns that tell rows apart.
+
+    Two levels: places within ranges of the order, and the sizes of the ranges before, so no task sees all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = table(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # one row for each range
+    out = cut.withColumn("_at", inside).join(F.broadcast(base), F.col("_part") == F.col("_p"))
+    return out.withColumn("pos", F.col("_at") - 1 + F.col("_base")).drop("_part", "_p", "_at", "_base")
 
 
-def build(answered: DataFrame, common: Column, k: int, threshold: float, floor: float) -> DataFrame:
-    """Trace rows from answered hit lists; ids come from the question, so that a rebuild gives the same rows."""
-    rank = Window.orderBy("query_id")
-    numbered = answered.select("query_id").withColumn("pos", F.row_number().over(rank) - 1)
-    rows = answered.join(numbered, "query_id")
-    params = F.struct(F.lit(k).alias("top_k"), F.lit(threshold).alias("score_threshold"), F.lit(floor).alias("support_floor"))
-    return rows.select(
-        F.concat(F.lit("tr-"), F.substring(F.md5("question"), 1, 10)).alias("trace_id"), F.lit(1).alias("schema"), F.lit("2024-01-01T00:00:00+00:00").alias("ts"),
-        session(F.col("pos")).alias("session"), "question", params.alias("params"), common.alias("common_terms"),
-        F.transform("hits", lambda h: F.struct(h["rank"].alias("rank"), h["chunk_id"].alias("chunk_id"), F.round(h["final"], 6).alias("final"), h["text"].alias("text"))).alias("retrieved"),
-        F.col("answer").alias("raw_output"),
+def session(position: Column, size: int = 5) -> Column:
+    return F.format_string("s%03d", F.floor(position / size).cast("int"))
+
+
+def build(answered: DataFrame, common: Column, run: Run, latency: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Trace rows from answered hit lists (question, hits, answer and, where there is one, session).
+
+    Ids and times are those of the moment at which the rows are written, so they are written once and read from there.
+    """
+    has = {f.name for f in answered.schema["hits"].dataType.elementType.fields}
+    part = lambda h, c, kind: (h[c] if c in has else F.lit(None)).cast(kind).alias(c)
+    meta = lambda h: F.struct(*(part(h, c, "string") for c in ("source_file", "page_id", "page_type", "section", "anchor"))).alias("meta")
+    hit = lambda h: F.struct(
+        part(h, "rank", "int"), part(h, "chunk_id", "string"), part(h, "sdk_version", "string"), F.round(part(h, "dense", "double"), 6).alias("dense"),
+        F.round(h["final"], 6).alias("final"), part(h, "text", "string"), meta(h),
+    )
+    own = F.col("session") if "session" in answered.columns else F.lit(None).cast("string")
+    fixed = run.columns()
+    return answered.select(
+        F.concat(F.lit("tr-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 10)).alias("trace_id"), F.lit(1).alias("schema"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), own.alias("session"), "question",
+        *(fixed[c].alias(c) for c in ("pipeline", "generator_version", "retriever_version", "corpus_version", "model", "params")), common.alias("common_terms"),
+        F.transform("hits", hit).alias("retrieved"), F.col("answer").alias("raw_output"),
+        F.struct(F.lit(round(latency[0], 2)).alias("retrieve"), F.lit(round(latency[1], 2)).alias("generate")).alias("latency_ms"),
     )
 
 
-def session(position: Column, size: int = 5) -> Column:
-    return F.format_string("s%03d", F.floor(position / size).cast("int"))
+def ask(corpus: retrieve.Corpus, questions: DataFrame, common: Column, run: Run, size: int = 5) -> DataFrame:
+    """Traces of all questions (query_id, question, query): retrieved, answered and timed as a batch, in sessions of ``size``.
+
+    A batch has one time for each stage; a trace's latency is its share of it.
+    """
+    numbered = row_numbers(questions.select("query_id"), "query_id").select("query_id", session(F.col("pos"), size).alias("session"))
+    n, began = max(1, questions.count()), time.perf_counter()
+    hits = table(retrieve.retriever(run.pipeline)(corpus, questions, run.top_k), "trace-hits")
+    between = time.perf_counter()
+    lists = A.hit_lists(questions, hits, corpus.chunks)
+    answered = table(A.answers(lists, common, run.threshold, run.floor).join(numbered, "query_id"), "trace-answers")
+    ended = time.perf_counter()
+    return build(answered, common, run, (1000 * (between - began) / n, 1000 * (ended - between) / n))
+
+
+def union_logs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows of two logs by trace_id; where both have an id the later log's row counts, within a log the one written last."""
+    both = earlier.withColumn("_log", F.lit(0)).unionByName(later.withColumn("_log", F.lit(1)))
+    last = Window.partitionBy("trace_id").orderBy(F.desc("_log"), F.desc("ts"), F.desc("raw_output"))
+    return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_log")
 
 
 def replay(traces: DataFrame) -> DataFrame:
-    """trace_id, raw_output, replayed, same: the answer stage again, from the trace alone."""
-    first = traces.select("params.score_threshold", "params.support_floor").first()
-    threshold, floor = (first[0], first[1]) if first else (A.THRESHOLD, A.SUPPORT_FLOOR)
-    rows = traces.select(F.col("trace_id").alias("query_id"), "question", F.col("retrieved").alias("hits"), "raw_output", "common_terms")
-    again = A.answers(rows, F.col("common_terms"), threshold, floor)
+    """trace_id, raw_output, replayed, same: the answer stage again, from each trace alone, with its own limits."""
+    rows = traces.select(
+        F.col("trace_id").alias("query_id"), "question", F.col("retrieved").alias("hits"), "raw_output", "common_terms",
+        F.col("params.score_threshold").alias("threshold"), F.col("params.support_floor").alias("floor"),
+    )
+    again = A.answers(rows, F.col("common_terms"), F.col("threshold"), F.col("floor"))
     return again.select(F.col("query_id").alias("trace_id"), "raw_output", F.col("answer").alias("replayed"), F.col("answer").eqNullSafe(F.col("raw_output")).alias("same"))
 
 
+def replay_full(traces: DataFrame, corpus: retrieve.Corpus, queries: DataFrame, run: Run) -> DataFrame:
+    """trace_id, replayed, same_hits, same_output, moved: retrieval and answer again, and which versions have changed since.
+
+    ``queries``: query_id, question and its vector (null where there is none), of equal questions the smallest id counts;
+    depth and limits are each trace's own.
+    """
+    first = queries.groupBy("question").agg(F.min_by(F.struct("query_id", "query"), "query_id").alias("q"))
+    asked = first.join(traces.select("question").distinct(), "question", "left_semi").select("q.query_id", "question", "q.query")
+    deepest = traces.agg(F.max("params.top_k")).first()[0] or run.top_k
+    hits = retrieve.retriever(run.pipeline)(corpus, asked, deepest)
+    params = traces.select("trace_id", "question", "common_terms", "params", "retrieved", "raw_output", *VERSIONS)
+    lists = A.hit_lists(asked, hits, corpus.chunks).drop("query_id").join(params, "question")
+    lists = lists.withColumn("query_id", F.col("trace_id")).withColumn("hits", F.slice("hits", F.lit(1), F.col("params.top_k")))
+    again = A.answers(lists, F.col("common_terms"), F.col("params.score_threshold"), F.col("params.support_floor"))
+    now = run.columns()
+    moved = F.filter(F.array(*(F.when(~F.col(v).eqNullSafe(now[v]), F.lit(v)) for v in VERSIONS)), lambda x: x.isNotNull())
+    ids = lambda c: F.transform(c, lambda h: F.concat_ws("/", h["chunk_id"].cast("string"), F.round(h["final"], 6).cast("string")))
+    return again.select(
+        F.col("query_id").alias("trace_id"), F.col("answer").alias("replayed"), (ids("hits") == ids("retrieved")).alias("same_hits"),
+        F.col("answer").eqNullSafe(F.col("raw_output")).alias("same_output"), moved.alias("moved"),
+    )
+
+
+# ---------------------------------------------------------------- samples
+
 def seeded_pick(ids: list[str], seed: int, n: int) -> list[str]:
     """The sample that Python's generator draws from sorted ids; for id lists that fit on the driver."""
     return random.Random(seed).sample(sorted(ids), n)
 
 
+def picked(rows: DataFrame, ids: list[str], key: str = "trace_id") -> DataFrame:
+    """The rows of a drawn sample, with pos from 1 in the order in which they were drawn."""
+    drawn = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ids, 1)], f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int")
+    return rows.join(F.broadcast(drawn), key)  # a sample drawn on the driver
+
+
 def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """The n rows with the smallest hash of seed and key, with pos from 1: a sample that any engine can repeat."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    picked = rows.withColumn("h", h).orderBy("h", key).limit(n)
-    return picked.withColumn("pos", F.row_number().over(Window.orderBy("h", key))).drop("h")
+    drawn = rows.withColumn("h", h).orderBy("h", key).limit(n)
+    return drawn.withColumn("pos", F.row_number().over(Window.orderBy("h", key))).drop("h")  # n rows
+
+
+# ---------------------------------------------------------------- views
+
+def _cell(text: Column, most: int = 110) -> Column:
+    return F.substring(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")), 1, most)
 
 
 def inspection(listed: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, view: the hits of each question as a markdown table, the gold one marked."""
     tagged = gold.where("tagged").groupBy("query_id").agg(F.collect_set("chunk_id").alias("g"))
-    cell = lambda t: F.substring(F.replace(F.replace(t, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")), 1, 110)
     row = lambda h: F.concat(
         F.lit("| "), h["rank"].cast("string"), F.lit(" | "), h["chunk_id"].cast("string"), F.lit(" | "),
-        F.when(F.array_contains(F.coalesce("g", F.expr("cast(array() as array<bigint>)")), h["chunk_id"]), "**GOLD**").otherwise(""), F.lit(" | "), cell(h["text"]), F.lit(" |"),
+        F.when(F.array_contains(F.coalesce("g", F.expr("cast(array() as array<bigint>)")), h["chunk_id"]), "**GOLD**").otherwise(""), F.lit(" | "), _cell(h["text"]), F.lit(" |"),
     )
     head = F.concat(F.lit("## "), F.col("query_id").cast("string"), F.lit("\n| rank | chunk | gold? | text |\n|---|---|---|---|\n"))
     return listed.join(tagged, "query_id", "left").select("query_id", F.concat(head, F.array_join(F.transform("hits", row), "\n")).alias("view"))
 
 
-def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
-    """A hash over all texts that doesn't depend on their order: digests are added, so it takes partial sums."""
-    part = F.conv(F.substring(F.sha2("text", 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"))
+def reading_view(numbered: DataFrame) -> DataFrame:
+    """pos, view: traces (with pos) to read one after the other: scores, retrieved texts, output."""
+    score = lambda x: F.coalesce(F.format_string("%.3f", x), F.lit("-"))
+    row = lambda h: F.concat(F.lit("| "), F.concat_ws(" | ", h["rank"].cast("string"), h["chunk_id"], F.coalesce(h["sdk_version"], F.lit("-")), score(h["dense"]), score(h["final"])), F.lit(" |"))
+    text = lambda h: F.concat(F.lit("### "), h["rank"].cast("string"), F.lit(" "), h["chunk_id"], F.lit("\n"), h["text"])
+    head = F.concat(F.lit("## "), F.col("pos").cast("string"), F.lit(". "), F.col("trace_id"), F.lit(": "), F.col("question"))
+    parts = [head, F.lit("| rank | chunk | version | dense | final |\n|---|---|---|---|---|"), F.array_join(F.transform("retrieved", row), "\n"), F.array_join(F.transform("retrieved", text), "\n\n"), F.concat(F.lit("Output: "), F.col("raw_output"))]
+    return numbered.select("pos", F.concat_ws("\n\n", *parts).alias("view"))
+
+
+def labelling_sheet(cases: DataFrame, seed: int) -> DataFrame:
+    """pos, case_id, entry: cases (case_id, question, context, answer) in an order that hides how they are grouped."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_id").cast("string")))
+    mixed = row_numbers(cases.withColumn("h", h), "h", "case_id").withColumn("pos", F.col("pos") + 1)
+    head = F.concat(F.lit("## "), F.col("pos").cast("string"), F.lit(". "), F.col("case_id").cast("string"), F.lit(": "), F.col("question"))
+    return mixed.select("pos", "case_id", F.concat_ws("\n\n", head, F.lit("Shown:"), F.col("context"), F.lit("Answer:"), F.col("answer"), F.lit("Label: ____")).alias("entry"))
+
+
+# ---------------------------------------------------------------- fingerprints
+
+def fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """n and digest: twelve digits over all (key, text) that don't depend on the order of rows, and change when two texts
+    change places.  Hashes are added in two parts of 60 bits, so they take partial sums."""
+    own = F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 256)
+    part = lambda i: F.sum(F.conv(F.substring(own, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(part(0), F.lit(0)).alias("x"), F.coalesce(part(1), F.lit(0)).alias("y"))
+    return sums.select("n", F.substring(F.sha2(F.concat_ws("/", F.col("n").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")), 256), 1, 12).alias("digest"))
+
+
+def corpus_fingerprint(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    return fingerprint(chunks, key, text)
+

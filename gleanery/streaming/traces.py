@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.session import new_path
+
 
 def events(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
     """A file stream of rows with ``ts``; the schema comes from the files that are there."""
@@ -40,9 +42,17 @@ def for_each_batch(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], pa
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All rows of a bounded stream, through the memory sink; for small results and tests."""
+def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All rows of a bounded stream, through Parquet in the shared folder.
+
+    In mode ``complete`` each batch holds the whole result so far and the last one counts; in ``append`` all of them do.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    path, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-check")
+
+    def write(batch: DataFrame, number: int) -> None:
+        target = path if mode == "complete" else f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(target)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path if mode == "complete" else f"{path}/batch=*")

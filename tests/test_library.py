@@ -38,12 +38,29 @@ def test_sentence_windows():
         parts = [" ".join(["w"] * r.randrange(1, 9)) for _ in range(r.randrange(1, 15))]
         size = r.randrange(2, 12)
         overlap = r.randrange(0, size)
-        assert [(c[2], c[3]) for c in chunking.sentence_windows("p", parts, size, overlap)] == loop_windows(parts, size, overlap)
+        assert [c[1:3] for c in chunking.sentence_windows("p", parts, size, overlap)] == loop_windows(parts, size, overlap)
 
 
 def test_window_takes_the_section_of_the_heading_that_closes_it():
     out = chunking.sentence_windows("p", ["a b c.", "## Next part", "d e."], 5, 0)
-    assert [c[:2] for c in out] == [("p::next-part::n0", "Next part"), ("p::next-part::n1", "Next part")]
+    assert [c[0] for c in out] == ["Next part", "Next part"]
+
+
+def test_window_ids_and_loose_headings(spark):
+    docs = spark.createDataFrame([(1, "a b c.\n## Next part\nd e."), (2, "#\nx y. #loose\nz")], "doc_id long, text string")
+    got = chunking.chunk_sentences(docs, 5, 0).orderBy("doc_id", "chunk_no").collect()
+    assert [(r.chunk_uid, r.section) for r in got[:2]] == [("1::next-part::n0", "Next part"), ("1::next-part::n1", "Next part")]
+    plain = chunking.chunk_documents(docs.selectExpr("doc_id as source", "concat('Title ', doc_id) as title", "text"), 5, 0).orderBy("source", "chunk_id").collect()
+    assert [(r.source, r.title, r.section, r.chunk_id, r.text) for r in plain] == [
+        (1, "Title 1", "Next part", 0, "a b c."), (1, "Title 1", "Next part", 1, "## Next part d e."), (2, "Title 2", "loose", 0, "# x y. #loose z"),
+    ]
+
+
+def test_strategies(spark):
+    pages = chunking.parse_pages(queries.md_pages(spark)).where("size(missing) = 0")
+    assert {n: chunking.make_chunks(pages, n).count() > 3 for n in ("structured", "naive", "large_windows")} == {"structured": True, "naive": True, "large_windows": True}
+    with pytest.raises(ValueError):
+        chunking.make_chunks(pages, "other")
 
 
 def test_window_arguments(spark):
@@ -66,6 +83,32 @@ def test_structured_chunks():
     assert [(u, s) for u, s, _ in inner] == [("p::one::0-code", "One"), ("p::comment::1", "comment"), ("p::comment::2-code", "comment")]
 
 
+def loop_blocks(text):
+    """Blocks by a walk over the lines."""
+    out, kind, held = [], "paragraph", []
+    for line in [*text.split("\n"), None]:
+        s = None if line is None else line.strip()
+        start = s is not None and s.startswith("```")
+        now = "fence" if kind == "fence" or start else kind if s in ("", None) else "table" if s[0] == "|" else "paragraph"
+        if held and (line is None or now != kind or (start and kind != "fence") or (s == "" and kind == "paragraph")):
+            out.append((kind, held))
+            held = []
+        was, kind = kind, now
+        if s:
+            held.append(line)
+        if start and was == "fence":
+            out.append((kind, held))
+            held, kind = [], "paragraph"
+    return out
+
+
+def test_blocks():
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "\n".join(r.choice(["", " ", "| a", " | b", "text", "more ", "```", "``` sh", "# c"]) for _ in range(r.randrange(0, 14)))
+        assert chunking.blocks(text) == loop_blocks(text), text
+
+
 def test_blocks_open_fence():
     assert chunking.blocks("a\n```\nb\n\nc") == [("paragraph", ["a"]), ("fence", ["```", "b", "c"])]
 
@@ -89,6 +132,11 @@ def test_sources(spark, tmp_path):
     got = files.read_collection(spark, str(tmp_path / "col"), "c")
     new = files.update_metadata(got, spark.createDataFrame([("u1", 7)], "chunk_uid string, cluster_id int")).orderBy("chunk_uid").collect()
     assert [(r.chunk_uid, r.cluster_id) for r in new] == [("u1", 7), ("u2", None)]
+    assert files.update_metadata(got, spark.createDataFrame([("u1", None)], "chunk_uid string, text string")).where("chunk_uid = 'u1'").first().text is None
+    assert [r.text for r in files.get(spark, str(tmp_path / "col"), "c", ["u2", "u3"]).collect()] == ["y"]
+    assert {(r.collection, r.rows) for r in files.collections(spark, str(tmp_path / "col")).collect()} == {("c", 2), ("e", 1)}
+    files.write_report(rows.select("chunk_uid", "text").orderBy("chunk_uid"), str(tmp_path / "r.md"), "Rows")
+    assert (tmp_path / "r.md").read_text() == "# Rows\n\n| chunk_uid | text |\n|---|---|\n| u1 | x |\n| u2 | y |\n| u3 | z |\n"
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 84])
@@ -182,3 +230,141 @@ def test_queries_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, retrieve.dense_topk(vectors, asked, 3).collect()))
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", 9)
     assert sorted(map(tuple, retrieve.dense_topk(vectors, asked, 3).collect())) == whole and len(whole) == 120
+
+
+def plain_bm25(texts, question, n_best):
+    """BM25 by the formula, over a dict of texts."""
+    import math
+    import re
+
+    def terms(t):
+        out = []
+        for w in re.findall(r"[a-z0-9_]+(?:[.\-][a-z0-9_]+)*", t.lower()):
+            parts = [p for p in re.split(r"[._\-]", w) if p]
+            out += [w, *parts] if len(parts) > 1 else [w]
+        return out
+
+    docs = {i: terms(t) for i, t in texts.items()}
+    avg = sum(map(len, docs.values())) / len(docs)
+    scores = {}
+    for q in set(terms(question)):
+        df = sum(q in d for d in docs.values())
+        for i, d in docs.items():
+            if tf := d.count(q):
+                scores[i] = scores.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / avg))
+    return sorted(((-round(s, 9), i) for i, s in scores.items()))[:n_best]
+
+
+def test_index(spark, monkeypatch):
+    from gleanery.operators import retrieve
+
+    r = random.Random(7)
+    vocab = ["the", "a_b", "x-y", "v1.2", "ä", "Zed", *(f"w{i}" for i in range(40))]
+    texts = {i: " ".join(r.choices(vocab, k=r.randrange(0, 30))) for i in range(120)} | {500: None, 501: ""}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    asked = [(i, " ".join(r.choices([*vocab, "unknown"], k=4))) for i in range(25)] + [(90, ""), (91, None)]
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    index = retrieve.Bm25Index.build(chunks, 3)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 10)
+    got = {}
+    for x in index.topk(questions, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((-round(x.score, 9), x.chunk_id))
+    for i, q in asked:
+        want = plain_bm25({k: v or "" for k, v in texts.items()}, q or "", 5)
+        assert [c for _, c in got.get(i, [])] == [c for _, c in want]
+        assert [s for s, _ in got.get(i, [])] == pytest.approx([s for s, _ in want], abs=1e-8)
+    facts = [(i, [t[3:40]]) for i, t in texts.items() if t and len(t) > 60][:20] + [(200, ["w1"]), (201, ["w1", "w2"]), (202, [None]), (203, ["nothing of this is there"]), (204, ["ED W"])]
+    for any_case in (False, True):
+        low = (lambda t: t.lower()) if any_case else (lambda t: t)
+        want = {(q, i) for q, f in facts for i, t in texts.items() if t is not None and all(x is not None and low(x) in low(t) for x in f)}
+        out = index.holders(spark.createDataFrame(facts, "query_id long, facts array<string>"), chunks, any_case).collect()
+        assert {tuple(x) for x in out} == want and len(out) == len(want)
+    plan = index.topk(questions.limit(5), 5)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_hybrid_without_vectors(spark):
+    from gleanery.operators import retrieve
+
+    chunks = spark.createDataFrame([(1, "red fox"), (2, "blue fox"), (3, "green dog")], "chunk_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0])], "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame([(7, "blue fox", None), (8, "red fox", [0.6, 0.8])], "query_id long, question string, query array<double>")
+    corpus = retrieve.Corpus(chunks, vectors, retrieve.Bm25Index.build(chunks))
+    got = {(r.query_id, r.chunk_id): (r.dense, round(r.final, 6)) for r in retrieve.retriever("hybrid")(corpus, questions, 3).collect()}
+    assert got == {(7, 2): (None, 0.15), (7, 1): (None, 0.075), (8, 1): (0.6, 0.75), (8, 3): (0.8, 0.8), (8, 2): (None, 0.075)}
+    assert {n: retrieve.retriever(n)(corpus, questions, 2).count() for n in ("dense", "baseline", "bm25")} == {"dense": 2, "baseline": 2, "bm25": 4}
+    with pytest.raises(ValueError):
+        retrieve.retriever("other")
+
+
+def test_embedder(spark):
+    from gleanery.operators import retrieve
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, "A, b; a!"), (3, ""), (4, "zebra")], "chunk_id long, text string")
+    v = {r.chunk_id: r.embedding for r in retrieve.HashedWords(64).encode(rows).collect()}
+    assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1) and not any(v[3])
+
+
+def test_row_numbers(spark):
+    rows = spark.range(997).selectExpr("id * 7919 % 997 as x")
+    assert sorted((r.x, r.pos) for r in trace.row_numbers(rows, "x").collect()) == [(i, i) for i in range(997)]
+
+
+def test_fingerprint_sees_swaps(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "chunk_id long, text string")
+    b = spark.createDataFrame([(2, "x"), (1, "y"), (3, None)], "chunk_id long, text string")
+    of = lambda df: trace.corpus_fingerprint(df).first().digest
+    assert of(a) == of(a.orderBy(F.desc("chunk_id"))) != of(b) and len(of(a)) == 12
+
+
+def test_replay_takes_each_trace_by_its_own_limits(spark):
+    hits = spark.createDataFrame([(1, 1, 5, 0.5), (2, 1, 5, 0.5)], "query_id long, rank int, chunk_id long, final double")
+    chunks = spark.createDataFrame([(5, "A zebra ran.")], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "find zebra"), (2, "find the zebra")], "query_id long, question string")
+    none = F.expr("cast(array() as array<string>)")
+    lists = answer.hit_lists(q, hits, chunks)
+    made = [trace.build(answer.answers(lists.where(F.col("query_id") == i), none, t, 0.1), none, trace.Run(threshold=t, floor=0.1)) for i, t in ((1, 0.4), (2, 0.9))]
+    log = made[0].unionByName(made[1])
+    assert log.schema.simpleString() == spark.createDataFrame([], trace.SCHEMA).schema.simpleString()
+    got = {r.raw_output == answer.REFUSAL: r.same for r in trace.replay(log).collect()}
+    assert got == {True: True, False: True}
+
+
+def test_reading_view(spark):
+    run = trace.Run()
+    lists = spark.sql("select 'q' as question, array(named_struct('rank', 1, 'chunk_id', 4L, 'final', 0.5D, 'text', 'body', 'dense', 0.25D)) as hits, 'out' as answer")
+    view = trace.reading_view(trace.build(lists, F.expr("cast(array() as array<string>)"), run).withColumn("pos", F.lit(3))).first().view
+    assert view.startswith("## 3. tr-") and "| 1 | 4 | - | 0.250 | 0.500 |" in view and view.endswith("### 1 4\nbody\n\nOutput: out")
+
+
+def test_picked_keeps_the_order(spark):
+    rows = spark.range(20).selectExpr("concat('t', id) as trace_id")
+    ids = trace.seeded_pick([r.trace_id for r in rows.collect()], 5, 6)
+    assert [r.trace_id for r in trace.picked(rows, ids).orderBy("pos").collect()] == ids
+
+
+def test_judges():
+    prompts = {"v1": "a", "v2": "b", "v10": "c"}
+    assert evaluate.judge_version(prompts, True) == "v10" and evaluate.judge_version(prompts, False) is None
+    assert evaluate.judge_version(prompts, False, "v1") == "v1" and evaluate.judge_version(prompts, True, "none") is None
+    with pytest.raises(ValueError):
+        evaluate.judge_version(prompts, True, "v3")
+
+
+def test_cluster_fields_are_written_back(spark):
+    chunks = spark.sql("select * from values ('u1', 'a'), ('u2', 'b'), ('u3', 'c') as t(chunk_uid, text)")
+    members = spark.sql("select * from values ('u1', 0), ('u3', 1) as t(chunk_uid, cluster)")
+    names = spark.sql("select * from values (0, 'c0-x'), (1, 'c1-y') as t(cluster, name)")
+    got = cluster.write_back(chunks, members, names).orderBy("chunk_uid").collect()
+    assert [(r.text, r.cluster_id, r.cluster_label) for r in got] == [("a", 0, "c0-x"), ("b", None, None), ("c", 1, "c1-y")]
+
+
+@pytest.mark.parametrize("n", [201, 1000, 1999])
+def test_quantiles_of_skewed_groups(spark, n):
+    r = random.Random(n)
+    values = {"even": [r.random() for _ in range(n)], "ties": [float(r.choice([1, 1, 1, 2, 9])) for _ in range(n)], "one": [4.0] * n}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("even", None), (None, 3.0)], "k string, v double")
+    got = {x.k: (x.n, x.median, x.p95) for x in evaluate.latency_quantiles(rows, "k", "v", accuracy=100).collect()}
+    for k, v in values.items():
+        assert got[k] == (n, pytest.approx(statistics.median(v), abs=1e-6), pytest.approx(statistics.quantiles(v, n=20)[18], abs=1e-6))
+    assert got[None] == (1, 3.0, 3.0)
