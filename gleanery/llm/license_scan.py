@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z) and brought to words, each between single spaces, so a pattern sees whole words only.  Which
 keywords occur is found on the raw text first; only texts with one are normalised, and only the rules of those keywords
-run.  A match is an interval of words.  In the order (start, longest first, priority, rule) an interval inside an earlier
+run, if the longest run of plain characters that their pattern asks for is there as well.  A match is an interval of words.  In the order (start, longest first, priority, rule) an interval inside an earlier
 one of equal or better priority is suppressed, and a hint (priority 5) gives way to a name (1 to 3) inside it.  The base
 phrases take part like rules, but any interval around one suppresses it, and their labels always stay.
 
@@ -39,8 +39,32 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     return base + [(n, p, label, word, spaced(pattern)) for n, p, label, word, pattern in signatures()]
 
 
+def gate(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern (as written) has, as it stands in normalised text."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|" and not depth:
+            return ""
+        if c == "[":
+            i = pattern.index("]", i)
+        depth += (c == "(") - (c == ")")
+        plain = not depth and (c.isalnum() or c == " ") and pattern[i + 1 : i + 2] not in ("?", "*", "+")
+        if plain:
+            run += (" " if i == 0 else "") + ("  " if c == " " else c)
+        else:
+            runs.append(run)
+            run = ""
+        i += 1
+    return max(*runs, run + " " * (run != ""), "", key=len)
+
+
 def _rule_array() -> Column:
-    rows = (f"named_struct('no', {n}, 'prio', {p}, 'label', '{label}', 'word', '{w}', 're', '{re}', 'weight', {WEIGHT[p]}D)" for n, p, label, w, re in rules())
+    written = [*(x[2] for x in BASE), *(x[4] for x in signatures())]
+    rows = (
+        f"named_struct('no', {n}, 'prio', {p}, 'label', '{label}', 'word', '{w}', 'gate', '{gate(own)}', 're', '{x}', 'weight', {WEIGHT[p]}D)"
+        for (n, p, label, w, x), own in zip(rules(), written, strict=True)
+    )
     return F.expr(f"array({', '.join(rows)})")
 
 
@@ -80,11 +104,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     low = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("low"))
     words = sorted({r[3] for r in rules()})
     found = F.filter(F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")"), lambda w: F.contains(F.col("low"), w))
-    gated = low.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), found.alias("found"), "low")
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", OTHER, "  ")), F.lit(" "))
-    gated = gated.withColumn("norm", F.when(F.size("found") > 0, norm))
-    own = F.filter(_rule_array(), lambda r: F.array_contains(F.col("found"), r["word"]) & F.rlike(F.col("norm"), r["re"]))
-    hits = gated.withColumn("hits", F.when(F.size("found") > 0, F.array_sort(F.flatten(F.transform(own, lambda r: _places(F.col("norm"), r))))))
+    gated = low.select("doc_id", found.alias("found"), norm.alias("norm"))
+    # each word stands between two spaces of its own
+    n_words = F.when(F.col("norm") == "  ", 0).otherwise((F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))) / 2).cast("long")
+    fits = lambda r: F.array_contains(F.col("found"), r["word"]) & F.contains(F.col("norm"), r["gate"]) & F.rlike(F.col("norm"), r["re"])
+    own = F.when(F.size("found") > 0, F.filter(_rule_array(), fits))
+    matched = gated.select("doc_id", n_words.alias("n_words"), "norm", own.alias("own"))
+    hits = matched.withColumn("hits", F.when(F.size("own") > 0, F.array_sort(F.flatten(F.transform("own", lambda r: _places(F.col("norm"), r))))))
     hits = hits.select("doc_id", "n_words", _without_hints_around_names(F.col("hits")).alias("hits"), F.filter("hits", lambda h: h["prio"] == 0).alias("base"))
     # reach: for each priority, how far intervals of this or a better one go
     zero = F.expr(f"named_struct('reach', array_repeat(0, {len(WEIGHT)}), 'labels', cast(array() as array<string>), 'n', 0L, 'score', 0D)")
@@ -113,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    values = ",\n".join(f"({n}, {p}, '{label}', '{w}', '{re}', {WEIGHT[p]}::DOUBLE)" for n, p, label, w, re in rules())
+    values = ",\n".join(f"({n}, {p}, '{label}', '{w}', '{x}', {WEIGHT[p]}::DOUBLE)" for n, p, label, w, x in rules())
     return f"""
 WITH r(no, prio, label, word, re, weight) AS (VALUES {values}),
 d AS (
@@ -133,8 +160,13 @@ d AS (
 ), i AS (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM c),
 p AS (
   SELECT doc_id, no, prio, label, weight, list_sum(g[1:k]) + coalesce(list_sum(h[1:k - 1]), 0) AS a, h[k] AS n FROM i
+), e AS (  -- hints give way to names inside them
+  SELECT * FROM p WHERE prio <> 5 OR NOT EXISTS (FROM p b WHERE b.doc_id = p.doc_id AND b.prio BETWEEN 1 AND 3 AND b.a >= p.a AND b.a + b.n <= p.a + p.n)
+), o AS (  -- how far earlier intervals of each priority or a better one go
+  SELECT *, max(CASE WHEN prio <= 1 THEN a + n END) OVER o AS r1, max(CASE WHEN prio <= 2 THEN a + n END) OVER o AS r2, max(CASE WHEN prio <= 3 THEN a + n END) OVER o AS r3, max(CASE WHEN prio <= 4 THEN a + n END) OVER o AS r4, max(CASE WHEN prio <= 5 THEN a + n END) OVER o AS r5
+  FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY a, -(a + n), prio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), q AS (
-  SELECT *, coalesce(max(a + n) OVER (PARTITION BY doc_id ORDER BY a, -(a + n), prio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM p
+  SELECT *, coalesce(CASE prio WHEN 1 THEN r1 WHEN 2 THEN r2 WHEN 3 THEN r3 WHEN 4 THEN r4 ELSE r5 END, 0) AS reach FROM o
 ), s AS (
   SELECT doc_id, count(*) FILTER (WHERE prio = 0) AS n_base, min(a) FILTER (WHERE prio = 0) AS first_word, max(a) FILTER (WHERE prio = 0) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE prio = 0) AS base_labels,

@@ -110,6 +110,44 @@ def test_license_names_inside_hints(spark):
     assert got[8] == ("psf-2.0", 0.75, 1)
 
 
+def test_license_gates_are_in_every_match():
+    from gleanery.llm.license_rules import signatures
+
+    def samples(pattern):
+        """Some texts that a pattern matches: every branch of each group, with and without what may be left out."""
+        if m := re.search(r"\(\?:([^()]*)\)(\?)?", pattern):
+            for x in [*m[1].split("|"), *([""] if m[2] else [])]:
+                yield from samples(pattern[: m.start()] + x + pattern[m.end() :])
+        elif m := re.search(r"\[([^]]*)\]\+?", pattern):
+            yield from samples(pattern[: m.start()] + m[1][0] + pattern[m.end() :])
+        elif m := re.search(r"(.)\?", pattern):
+            yield from samples(pattern[: m.start()] + pattern[m.end() :])
+            yield from samples(pattern[: m.start()] + m[1] + pattern[m.end() :])
+        else:
+            yield pattern
+
+    for _, _, _, word, pattern in signatures():
+        for text in list(samples(pattern))[:200]:
+            norm = " " + "  ".join(text.split(" ")) + " "
+            assert re.search(license_scan.spaced(pattern), norm), (pattern, text)
+            assert license_scan.gate(pattern) in norm and word in text, (pattern, text)
+
+
+def test_license_sql_follows_priority(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "published under the isc license"), (2, "licensed under GPLv2"), (3, "licensed under foo, all rights reserved"), (4, "gnu general public license version 3 or later"), (5, "distributed under a postgresql license"), (6, None), (7, "..")]
+    frame(spark, rows, "x long").createOrReplaceTempView("d")
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    cur = con.execute(license_scan.oracle())
+    cols = [c[0] for c in cur.description]
+    got = license_scan.scan(spark.table("d")).select(*cols).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+    assert {r.doc_id: r.labels for r in got}[1] == "isc"
+
+
 # ---------------------------------------------------------------- 2
 
 def test_url_filter(spark):
