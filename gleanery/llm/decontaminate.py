@@ -245,12 +245,20 @@ def contaminated(hit: Column) -> Column:
     return (hit_words(hit) > 0) & (hit_words(hit) * COVER >= hit["n_words"])
 
 
+def cut_words(hit: Column, longest: int = WINDOW) -> Column:
+    """Words that ``clean`` takes out: all of a contaminated document, else those of spans of ``longest`` words or more."""
+    pairs = F.sequence(F.lit(0), F.size(hit["spans"]) - 2, F.lit(2))
+    size = lambda i: F.get(hit["spans"], i + 1) - F.get(hit["spans"], i)
+    long = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, i: a + F.when(size(i) >= longest, size(i)).otherwise(0))
+    return F.when(F.size(hit["spans"]) == 0, F.lit(0).cast("long")).when(contaminated(hit), hit["n_words"]).otherwise(long)
+
+
 def judge(hits: DataFrame) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256 and contaminated from ``_hit``."""
+    """Adds n_words, n_hit, n_items, items_sha256, contaminated and n_cut from ``_hit``."""
     hit = F.col("_hit")
     return hits.withColumns({
         "n_words": hit["n_words"], "n_hit": hit_words(hit), "n_items": F.size(hit["items"]).cast("long"),
-        "items_sha256": F.sha2(F.array_join(hit["items"], ","), 256), "contaminated": contaminated(hit),
+        "items_sha256": F.sha2(F.array_join(hit["items"], ","), 256), "contaminated": contaminated(hit), "n_cut": cut_words(hit),
     })
 
 

@@ -50,7 +50,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.judge(decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark")))
-    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_cut")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +108,12 @@ WITH d AS (
 ), len_ AS (SELECT DISTINCT n FROM win),
 p AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN len_ ON len(ws) >= n),
 h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN win ON win.n = p.n AND win.t = array_to_string(ws[i:i + p.n - 1], ' ')),
-hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+pos AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS span FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM h)),
+hit AS (SELECT doc_id, sum(n)::BIGINT AS n_hit, coalesce(sum(n) FILTER (WHERE n >= 13), 0)::BIGINT AS n_long FROM (SELECT doc_id, count(*) AS n FROM pos GROUP BY doc_id, span) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       CASE WHEN n_hit IS NULL THEN 0 WHEN 20 * n_hit >= len(ws) THEN len(ws) ELSE n_long END::BIGINT AS n_cut
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 

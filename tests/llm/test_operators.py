@@ -512,6 +512,8 @@ def test_clean_cuts_long_spans_only(spark):
     docs = spark.createDataFrame([(1, f"{pad} ({item.upper()}), {pad}"), (2, f"{pad} {short} {pad}"), (3, item + " " + pad[:200]), (4, None), (5, "")], "doc_id long, text string")
     got = {x.doc_id: x.text for x in decontaminate.clean(docs, bench).collect()}
     assert got == {1: f"{pad} ({pad}", 2: f"{pad} {short} {pad}", 4: None, 5: ""}
+    judged = {x.doc_id: (x.n_hit, x.n_cut) for x in decontaminate.judge(decontaminate.find_hits(docs, bench)).collect()}
+    assert judged[1] == (20, 20) and judged[2] == (2, 0) and judged[3] == (20, judged[3][1]) and judged[3][1] > 20 and judged[4] == judged[5] == (0, 0)
 
 
 # ---------------------------------------------------------------- 10
