@@ -7,8 +7,10 @@ together by key; at a URL, the last rule host before it has every rule that can
 whose key the URL's key starts with are the active ones.  Of their rules, the longest whose path starts the URL's path
 wins.
 
-Every slice of the sweep holds all rules and a hashed share of the URLs, so one host with a third of all URLs is spread
-like any other; rules are copied once for each slice.  DataFrame functions only.
+The sweep runs by site (the last two labels of a host) and slice.  A site has one slice, unless it holds more than its
+share of all URLs: then its URLs are dealt over several, and its rules copied to these; fewer sites than ``slices`` can be
+that large, so their list is broadcast.  Rules of a top label alone, which cover many sites, open each site they cover.
+Rules of other sites are never copied.  DataFrame functions only.
 
 Results in special cases: a null URL counts as empty; without ``://`` host and path are empty and no rule fits; repeated
 rows are judged each; of two rules of the same host and path, block wins; an empty rule list leaves every URL to the
@@ -22,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEP = "\u0001"
 
@@ -58,17 +62,30 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return open_rules.groupBy("node").agg(F.sort_array(F.collect_list(rule), asc=False).alias("stack")).select(host_key(F.col("node")).alias("key"), "stack")
 
 
+def site_of(key: Column) -> Column:
+    return F.substring_index(key, SEP, 2)
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", slices: int | None = None) -> DataFrame:
     """Columns page_id, host, path, rule, verdict for every row of ``pages``; rules have action, host, path."""
     spark = pages.sparkSession
     slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.coalesce(F.col(url_col), F.lit(""))
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    urls = urls.withColumn("key", host_key(F.col("host")))
-    urls = urls.withColumn("slice", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(slices)).cast("int"))
-    starts = rule_stacks(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("site", site_of(F.col("key")))
+    sites = common.table(urls.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "url-sites")
+    total = sites.agg(F.sum("n")).first()[0] or 0
+    # less than ``slices`` sites have more than a ``slices``-th of all URLs
+    large = F.broadcast(sites.where(F.col("n") * slices > total).select("site", F.ceil(F.col("n") * slices / max(1, total)).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    urls = urls.join(large, "site", "left").withColumn("slice", F.pmod(F.xxhash64("page_id", "host", "path"), copies).cast("int")).drop("copies")
+    nodes = rule_stacks(rules)
+    covers = nodes.where(F.instr("key", SEP) == F.length("key")).select(F.substring_index("key", SEP, 1).alias("top"), "stack")
+    opened = sites.select("site", F.substring_index("site", SEP, 1).alias("top")).join(covers, "top").select(F.col("site").alias("key"), "stack", "site")
+    starts = nodes.withColumn("site", site_of(F.col("key"))).unionByName(opened)
+    starts = starts.join(large, "site", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
     events = urls.withColumn("is_url", F.lit(1)).unionByName(starts.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
-    sweep = Window.partitionBy("slice").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    sweep = Window.partitionBy("site", "slice").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
     fits = F.filter("open", lambda r: F.startswith(F.col("key"), r["key"]) & F.startswith(F.col("path"), r["path"]))
     judged = swept.withColumn("won", F.get(fits, F.lit(0)))
