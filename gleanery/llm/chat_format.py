@@ -150,16 +150,20 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), o AS (
-  SELECT *, row_number() OVER w - 1 AS idx,
-         sum(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) + 4) OVER (w ROWS UNBOUNDED PRECEDING) AS total,
+  SELECT *, row_number() OVER w - 1 AS idx, sum(tok) OVER (w ROWS UNBOUNDED PRECEDING) AS total,
          length('<turn ' || replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') || '>') + 1
            + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + 8 AS chars
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), s AS (SELECT *, (total - 1) // 1024 AS span FROM o),
-b AS (SELECT conv_id, span, min(idx) AS first FROM s GROUP BY ALL HAVING min(idx) > 0),
+  FROM (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) + 4 AS tok FROM c) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), y AS (
+  SELECT *, max(CASE WHEN idx = 0 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM o
+), m AS (SELECT *, greatest(1, least(1024, 2048 - sys)) AS room FROM y),
+t AS (SELECT *, (total - 1) // room AS part FROM m),
+s AS (  -- a turn that begins before its part and could make it too long is alone
+  SELECT *, 2 * part - CASE WHEN part * room > total - tok AND sys + room + part * room - (total - tok) > 2048 THEN 1 ELSE 0 END AS span FROM t
+), b AS (SELECT conv_id, span, min(idx) AS first, max(total) AS until FROM s GROUP BY ALL HAVING min(idx) > 0),
 r AS (
   SELECT s.conv_id, sum(s.chars) AS chars
-  FROM b JOIN s ON s.conv_id = b.conv_id AND s.idx < b.first AND (s.idx >= b.first - 2 OR (s.idx = 0 AND s.role = 'system'))
+  FROM b JOIN s ON s.conv_id = b.conv_id AND s.idx < b.first AND ((s.idx = 0 AND s.role = 'system') OR (s.idx >= b.first - 2 AND s.sys + b.until - (s.total - s.tok) <= 2048))
   GROUP BY ALL
 ), g AS (
   SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx) AS said,

@@ -230,6 +230,21 @@ def test_chat_windows_hold_the_budget(spark):
         assert back[c] == hashlib.sha256("".join(f"{r}\n{x}\n" for k, _, r, x in rows if k == c).encode()).hexdigest()
 
 
+def test_chat_sql_knows_the_budget(spark):
+    import duckdb
+
+    sizes = {1: [600] * 5, 2: [300, 30, 900, 1000, 40, 1300, 5], 3: [1500, 200, 400, 500, 30], 4: [5000, 10, 700, 700, 700], 5: [1000, 1000, 1000, 10] * 9, 6: [2100, 5, 5]}
+    rows = [(c, t, "system" if t == 0 and c in (2, 3, 6) else "assistant" if t % 2 else "user", "w " * (n - 6) + "</turn>") for c, v in sizes.items() for t, n in enumerate(v)]
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    cur = con.execute(chat_format.ORACLE)
+    cols = [c[0] for c in cur.description]
+    conv = chat_format.with_planted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_format.read_back(chat_format.windows(conv)).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cur.fetchall())) and len(got) == 7
+
+
 # ---------------------------------------------------------------- 4
 
 def test_sharding(docs, empty):
