@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,11 +59,17 @@ def word_count(text: Column) -> Column:
     return F.size(_some(F.split(text, r"\s+")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` and its lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lexical_overlap(question: Column, text: Column) -> Column:
     """Share of the question's distinct simple tokens that the text has; 0 without any."""
-    q = F.array_distinct(tokens_simple(question))
-    both = F.size(F.array_intersect(q, tokens_simple(text)))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(both / F.greatest(F.size(q), F.lit(1)))
+    # a text's tokens between single blanks: looking words up there takes no arrays
+    spread = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    found = lambda q, t: F.size(F.filter(q, lambda w: F.contains(t, F.concat(F.lit(" "), w, F.lit(" ")))))
+    return let(F.array_distinct(tokens_simple(question)), lambda q: let(spread, lambda t: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(found(q, t) / F.greatest(F.size(q), F.lit(1)))))
 
 
 def split_citation(answer: Column) -> tuple[Column, Column]:

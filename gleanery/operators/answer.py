@@ -32,9 +32,9 @@ def salient(question: Column, common: Column) -> Column:
 
 def support(question: Column, texts: Column, common: Column) -> Column:
     """Share of the question's salient terms found in the joined texts; 1 without any."""
-    terms = salient(question, common)
+    share = lambda terms, low: F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1))
     low = F.lower(F.array_join(texts, " "))
-    return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1)))
+    return T.let(salient(question, common), lambda terms: F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(T.let(low, lambda x: share(terms, x))))
 
 
 def coverage(words: Column, text: Column) -> Column:
@@ -67,11 +67,12 @@ def answers(listed: DataFrame, common: Column, threshold: float | Column = THRES
     # a gate whose limit is null is closed
     passed = F.coalesce(F.col("top_score") >= F.lit(threshold), F.lit(False))
     out = out.withColumn("gate", F.when(~passed, "score").when(F.col("support") < floor, "support").otherwise("open"))
-    words = keywords(F.col("question"))
+    out = out.withColumn("_words", keywords(F.col("question")))
+    words = F.col("_words")
     judged = F.transform(F.slice("hits", 1, 5), lambda h: F.struct((-coverage(words, h["text"])).alias("c"), (-h["final"]).alias("f"), h["rank"].alias("r"), h["chunk_id"].alias("id"), h["text"].alias("t")))
     out = out.withColumn("best", F.get(F.array_sort(judged), F.lit(0)))
     cited = F.concat(quote(words, F.col("best.t")), F.lit(" [chunk:"), F.col("best.id").cast("string"), F.lit("]"))
-    return out.withColumn("answer", F.when(F.col("gate") == "open", cited).otherwise(REFUSAL)).drop("best")
+    return out.withColumn("answer", F.when(F.col("gate") == "open", cited).otherwise(REFUSAL)).drop("best", "_words")
 
 
 def common_terms(chunks: DataFrame, share: float = 0.4) -> DataFrame:

@@ -188,7 +188,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, condition: Column
 
 def rerank(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Adds final = dense + BOOST * lexical overlap of question and text; without a dense score the overlap counts alone."""
-    met = candidates.join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    # candidates are few small rows, and each takes the reading of a text: they are spread by number, not by size
+    spread = candidates.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    met = spread.join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     return met.withColumn("final", F.coalesce("dense", F.lit(0.0)) + BOOST * T.lexical_overlap(F.col("question"), F.col("text"))).drop("question", "text")
 
 

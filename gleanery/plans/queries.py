@@ -90,7 +90,10 @@ def gold(spark, d):
 
 
 def vectors(spark, d):
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    # a table of few files would be scored by as few tasks; where there are more files than cores nothing moves
+    cores = spark.sparkContext.defaultParallelism
+    return v if len(v.inputFiles()) >= cores else v.repartition(cores)
 
 
 def vector_queries(spark, d):
