@@ -5,10 +5,10 @@ words of every item.  Reading a text, it tracks the length of the longest run th
 ``window`` words covers hit words, and its state names the items.  Items of fewer words count as one window of their own
 length.  Words that no item has reset the automaton, so only runs of item words are walked.
 
-The automaton is broadcast in blocks of at most BLOCK_WORDS item words (about 40 MB).  Each block is a job of its own
-over the distinct texts' digests: it writes the hits of the texts that have any to the shared folder, so one automaton is
-live at a time and the item set may grow without growing what is broadcast.  Hits of several blocks are put together by
-text digest and joined to the documents; a text of many copies is one row there.
+The automaton is broadcast in blocks of at most BLOCK_WORDS item words (about 40 MB).  Each block but the last is a job of
+its own over all texts: it writes the hits of those that have any to the shared folder, once for each text, by digest.  So
+one automaton is live at a time, and the item set may grow without growing what is broadcast; it costs a reading of the
+documents for each block.  These hits are joined to the documents when the last block reads them.
 
 What becomes of hits: ``judge`` reports them, ``clean`` drops documents whose coverage is over the limit (hits are a
 COVER-th of the words at least) and cuts the spans of at least ``longest`` words out of the others.
