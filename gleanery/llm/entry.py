@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality, shard, substring_dedup, topk, url_filter
+from . import chat_format, clustering, decontaminate, jaccard_join, license_scan, packing, quality, resample, secret_scan, shard, substring_dedup, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 def queries() -> dict:
-    own = (op1_license_scan, op2_url_filter, op3_chat_format, op4_sharding, op5_jaccard_join, op6_substring_dedup, op7_topk_search, op8_quality, op9_decontamination, op10_packing)
+    own = (op1_license_scan, op2_url_filter, op3_chat_format, op4_sharding, op5_jaccard_join, op6_substring_dedup, op7_topk_search, op8_quality, op9_decontamination, op10_packing, op11_resample, op12_secret_scan, op13_clustering)
     return {f.__name__: f for f in own}
 
 
@@ -127,4 +139,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": SUBSTRING_SQL,
         "op7_topk_search": topk.ORACLE,
         "op9_decontamination": DECONTAMINATION_SQL,
+        "op11_resample": resample.ORACLE,
+        "op13_clustering": clustering.ORACLE,
     }
