@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import retrieve
+from gleanery.operators import vectors as vectors_
 from gleanery.sources import files
 
 #: Words that say nothing about a topic.
@@ -19,14 +20,13 @@ STOPWORDS = (
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
-    """One row: the mean Euclidean silhouette of (id, v, cluster) over all pairs, in blocks of rows against all rows."""
-    other = rows.select(F.col("id").alias("query_id"), F.col("v").alias("v2"), F.col("cluster").alias("c2"))
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    """One row: the mean Euclidean silhouette of (id, v, cluster) over all pairs, in blocks of rows against all rows.
 
-    def sums(block: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(block), F.col("id") != F.col("query_id")).groupBy("id", "cluster", "c2").agg(F.sum(gap).alias("s"), F.count(gap).alias("n"))
-
-    means = retrieve.by_block(other, sums).groupBy("id", "cluster", "c2").agg((F.sum("s") / F.sum("n")).alias("d"))
+    Distances come from matrix products of tiles and are added up by cluster within the tile.
+    """
+    other = rows.select(F.col("id").alias("query_id"), "v", "cluster")
+    sums = retrieve.by_block(other, lambda block: vectors_.distance_sums(rows, block.withColumnRenamed("query_id", "id")))
+    means = sums.groupBy("id", "cluster", "c2").agg((F.sum("s") / F.sum("n")).alias("d"))
     per = means.groupBy("id").agg(F.max(F.when(F.col("cluster") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("c2"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return per.agg(F.round(F.avg(value), 6).alias("silhouette"))

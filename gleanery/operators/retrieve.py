@@ -4,14 +4,12 @@ Every operator takes a DataFrame of questions.  Hits are rows (query_id, rank, c
 back by id after the cut, so they don't travel through the ranking.  Scores are ranked at nine decimals, ties go to the
 smaller id.
 
-BM25 reads an index that is built once: postings bucketed by chunk, so that all postings of a chunk lie in one partition.
-Questions come in blocks that are broadcast; a chunk's score then is a sum within a partition, and each partition passes
-on its best k of each question alone.  A common word costs a scan of its postings, and never a shuffle of them.
+BM25 reads an index of blocks of postings (postings.py), vector search one of cells (vectors.py); both skip what can't be among
+the best, and both take filters.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.session import new_path
+from gleanery.operators import postings
+from gleanery.operators.grams import GramIndex
+from gleanery.operators.vectors import VectorIndex
+from gleanery.session import prepare, root, table
 
 #: The constants of BM25, rank fusion, its depth, and of the lexical boost.
 K1, B, RRF_K, DEPTH, BOOST = 1.5, 0.75, 60, 25, 0.15
@@ -70,78 +71,139 @@ def terms_of(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(F.array_distinct(T.tokens_symbol(F.col("question")))).alias("term"))
 
 
+#: Chunks of a segment.
+SEGMENT = 4096
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings: term, chunk_id, tf, len (bucketed by chunk_id); terms: term, df; n and avg_len over all chunks."""
+    """blocks: term, seg, n, top, ids, parts, sorted by term; terms: term, df; n and avg_len over all chunks.
+
+    ``parts`` is what postings add to a score without the term's weight, ``top`` the most of them; a large block may lie in
+    several rows.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     n: int
     avg_len: float
+    segments: int
 
     @staticmethod
-    def build(chunks: DataFrame, buckets: int | None = None) -> Bm25Index:
+    def build(chunks: DataFrame, segments: int | None = None) -> Bm25Index:
         """Tokenises every chunk once.  Tables go to the shared folder, for as long as the application runs."""
         spark = chunks.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = chunks.select("chunk_id", "text").repartition(buckets, "chunk_id")
-        counted = term_freq(placed)  # texts lie by chunk_id already: no further shuffle
-        sized = counted.withColumn("len", F.sum("tf").over(Window.partitionBy("chunk_id")))
-        name = f"gleanery_postings_{uuid.uuid4().hex}"
-        sized.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").option("path", new_path(spark, "postings")).saveAsTable(name)
-        postings, path = spark.table(name), new_path(spark, "terms")
-        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(path)
-        n, total = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
-        return Bm25Index(postings, spark.read.schema("term string, df bigint").parquet(path), n, total / n if n else 0.0)
-
-    def scores(self, questions: DataFrame) -> DataFrame:
-        """query_id, chunk_id, score of every chunk with a term of the question."""
+        prepare(spark, root())
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = chunks.count()
+        segments = segments or -(-n // SEGMENT) or 1
+        # texts lie by chunk: neither counts nor lengths move after that
+        laid = chunks.select("chunk_id", "text").repartition(parts, "chunk_id")
+        counted = table(term_freq(laid).withColumn("len", F.sum("tf").over(Window.partitionBy("chunk_id"))), "postings")
+        total = counted.agg(F.sum("tf")).first()[0] or 0
+        avg_len = total / n if n else 0.0
         tf = F.col("tf")
-        part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / self.avg_len))
-
-        def run(block: DataFrame) -> DataFrame:
-            # a block's distinct terms are at most its words: small enough to broadcast, as the block is
-            wanted = self.terms.join(F.broadcast(terms_of(block)), "term").select("query_id", "term", idf(F.col("df"), F.lit(self.n)).alias("w"))
-            return self.postings.join(F.broadcast(wanted), "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score"))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / (avg_len or 1.0)))
+        seg = F.pmod(F.xxhash64("chunk_id"), F.lit(segments))
+        placed = counted.select("term", seg.alias("seg"), "chunk_id", part.alias("part"))
+        # a common word's blocks are many rows of one term, and may lie in many tasks
+        dealt = placed.repartitionByRange(parts, "term", "seg").sortWithinPartitions("term", "seg")
+        blocks = table(postings.packed(dealt, chunks.schema["chunk_id"].dataType), "blocks")
+        terms = table(blocks.groupBy("term").agg(F.sum("n").alias("df")), "terms")
+        return Bm25Index(blocks, terms, n, avg_len, segments)
+
+    def wanted(self, questions: DataFrame) -> DataFrame:
+        """query_id, term, w: the terms of a block of questions that the index has, with their weights."""
+        # a block's distinct terms are at most its words: small enough to broadcast, as the block is
+        met = self.terms.join(F.broadcast(terms_of(questions)), "term")
+        return met.select("query_id", "term", idf(F.col("df"), F.lit(self.n)).alias("w"))
+
+    def of_terms(self, wanted: list) -> DataFrame:
+        """The blocks of some terms.  Files are sorted by term, so a reader passes over what lies outside their bounds."""
+        names = sorted({r.term for r in wanted})
+        rows = self.blocks.where(F.col("term").between(names[0], names[-1]))
+        if len(names) <= 10:  # so many are compared with each file's bounds by name
+            return rows.where(F.col("term").isin(names))
+        listed = self.blocks.sparkSession.createDataFrame([(t,) for t in names], "term string")
+        return rows.join(F.broadcast(listed), "term", "left_semi")  # the words of a block of questions
+
+    def _search(self, block: DataFrame, k: int | None, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(query_id, chunk_id, score of every segment's best; blocks of the terms; those of them that are opened)."""
+        spark = self.blocks.sparkSession
+        prepare(spark, root())
+        kinds = (block.schema["query_id"].dataType, self.blocks.schema["ids"].dataType.elementType)
+        wanted = self.wanted(block).collect()
+        if not wanted:
+            return spark.createDataFrame([], f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"), None, None
+        asked, blocks = postings.Questions(wanted), self.of_terms(wanted)
+        free = None if allowed is None else allowed.select(F.pmod(F.xxhash64("chunk_id"), F.lit(self.segments)).alias("seg"), "chunk_id").groupBy("seg").agg(F.collect_list("chunk_id").alias("ids"))
+        if k is None or self.segments <= k:  # no more than is looked at first anyway
+            return postings.scored(blocks, spark.sparkContext.broadcast(asked), k, *kinds, free), blocks, blocks
+        share = spark.sparkContext.broadcast(asked)
+        first = F.broadcast(table(postings.promising(blocks, share, k), "probes"))  # k rows for each question at most
+        near = lambda rows: rows.join(first, "seg", "left_semi")
+        seen = postings.scored(near(blocks), share, k, *kinds, None if free is None else near(free))
+        at = F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1)
+        asked.reached({r.query_id: r["at"][0] for r in seen.groupBy("query_id").agg(at.alias("at")).collect() if r["at"]})  # a row for each question
+        share = spark.sparkContext.broadcast(asked)
+        opened = blocks.join(postings.needed(blocks, share).distinct(), ["term", "seg"], "left_semi")
+        return postings.scored(opened, share, k, *kinds, free), blocks, opened
+
+    def scores(self, questions: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, chunk_id, score of every chunk with a term of the question."""
+        return by_block(questions.select("query_id", "question"), lambda block: self._search(block, None, allowed)[0])
 
-        return by_block(questions.select("query_id", "question"), run).select("query_id", "chunk_id", "score")
+    def topk(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, chunk_id, score, rank of the k best; ``allowed`` (chunk_id) holds what a filter leaves."""
+        return top(by_block(questions.select("query_id", "question"), lambda block: self._search(block, k, allowed)[0]), "score", k)
 
-    def topk(self, questions: DataFrame, k: int) -> DataFrame:
-        return top(self.scores(questions), "score", k)
+    def opened(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> tuple[int, int]:
+        """(blocks that a search for some questions opens, blocks of their terms)."""
+        _, blocks, some = self._search(questions.select("query_id", "question"), k, allowed)
+        return (0, 0) if blocks is None else (some.count(), blocks.count())
 
     def holders(self, facts: DataFrame, chunks: DataFrame, any_case: bool = False) -> DataFrame:
         """query_id, chunk_id of chunks whose text contains all ``facts`` (array) of a query.
 
         A word that stands inside a fact, between blanks, stands in the index for every text that contains the fact.
-        Chunks with the rarest such word are the candidates; queries without one are compared with every text.
+        Chunks with the rarest such word are the candidates; where a fact has no inner word, they come from an index of grams.
         """
         say = F.lower if any_case else (lambda c: c)
         inner = F.flatten(F.transform("facts", lambda f: T.tokens_symbol(F.array_join(F.slice(F.split(f, r"\s+"), 2, F.greatest(F.size(F.split(f, r"\s+")) - 2, F.lit(0))), " "))))
         keyed = facts.select("query_id", F.transform("facts", say).alias("facts"), F.array_distinct(inner).alias("inner"))
         text = chunks.select("chunk_id", say(F.col("text")).alias("text"))
-        has = F.forall("facts", lambda f: F.contains(F.col("text"), f))
+        def verified(near: DataFrame, block: DataFrame) -> DataFrame:
+            """The pairs whose text has all facts; ids are written first, texts are read for them only."""
+            each = block.select("query_id", F.size("facts").alias("of"), F.explode("facts").alias("fact"))
+            met = table(near.distinct(), "holders").join(F.broadcast(each), "query_id").join(text, "chunk_id").where(F.contains(F.col("text"), F.col("fact")))
+            return met.groupBy("query_id", "chunk_id", "of").agg(F.count(F.lit(1)).alias("n")).where("n = of").select("query_id", "chunk_id")
 
         def run(block: DataFrame) -> DataFrame:
             spread = block.select("query_id", F.size("inner").alias("of"), F.explode("inner").alias("term"))
             known = self.terms.join(F.broadcast(spread), "term").groupBy("query_id", "of").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "term")).alias("rare"))
-            wanted = known.where("found = of").select("query_id", F.col("rare.term").alias("term")).join(F.broadcast(block.drop("inner")), "query_id")
-            held = self.postings.select("term", "chunk_id").join(F.broadcast(wanted), "term").join(text, "chunk_id").where(has)
-            return held.select("query_id", "chunk_id")
+            wanted = known.where("found = of").select("query_id", F.col("rare.term").alias("term"))
+            held = self.blocks.select("term", "ids").join(F.broadcast(wanted), "term").select("query_id", F.explode("ids").alias("chunk_id"))
+            return verified(held, block)
 
         out = by_block(keyed.where(F.size("inner") > 0), run)
-        short = keyed.where(F.size("inner") == 0).drop("inner")
+        short = table(keyed.where((F.size("inner") == 0) & F.forall("facts", lambda f: f.isNotNull())).drop("inner"), "short-facts")
         if short.isEmpty():
             return out
-        return out.unionByName(by_block(short, lambda block: text.join(F.broadcast(block), has).select("query_id", "chunk_id")))
+        # of several facts the longest one is looked up; an empty one is in every text
+        longest = F.array_max(F.transform("facts", lambda f: F.struct(F.octet_length(f).alias("n"), f.alias("s"))))["s"]
+        short = short.withColumn("string", F.coalesce(longest, F.lit("")))
+        grams = GramIndex.build(text)
 
+        def found(block: DataFrame) -> DataFrame:
+            near = verified(grams.candidates(block.where("string <> ''")), block)
+            every = text.where("text is not null").select("chunk_id").join(F.broadcast(block.where("string = ''").select("query_id")))
+            return near.unionByName(every.select("query_id", "chunk_id"))
 
-def bm25(chunks: DataFrame | Bm25Index, questions: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every chunk with a term of the question."""
-    return (chunks if isinstance(chunks, Bm25Index) else Bm25Index.build(chunks)).scores(questions)
+        return out.unionByName(by_block(short, found))
 
 
 def bm25_topk(chunks: DataFrame | Bm25Index, questions: DataFrame, k: int) -> DataFrame:
-    return top(bm25(chunks, questions), "score", k)
+    return (chunks if isinstance(chunks, Bm25Index) else Bm25Index.build(chunks)).topk(questions, k)
 
 
 # ---------------------------------------------------------------- dense
@@ -169,21 +231,24 @@ class HashedWords:
         return out.drop("_slots", "_counts")
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Scores of all vectors for a stated set of queries, in blocks of QUERY_BLOCK; filters belong below, in ``vectors``.
+def indexed(vectors: DataFrame | VectorIndex, keys: tuple[str, ...]) -> VectorIndex:
+    return vectors if isinstance(vectors, VectorIndex) else VectorIndex.build(vectors, keys)
 
-    ``vectors``: chunk_id, embedding and more; ``queries``: query_id, query and more.  A query's own row is left out; a
-    query without a vector has no scores.
-    """
-    def scored(block: DataFrame) -> DataFrame:
-        met = vectors.join(F.broadcast(block), (F.col("chunk_id") != F.col("query_id")) & (F.lit(True) if condition is None else condition))
-        return met.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding")
 
-    return by_block(queries.where("query is not null"), scored)
+def dense_scores(vectors: DataFrame | VectorIndex, queries: DataFrame, same: tuple[str, ...] = (), where: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, dense of all vectors for a stated set of queries, in blocks of QUERY_BLOCK.
+
+    ``vectors``: an index, or chunk_id, embedding and key columns; ``queries``: query_id, query and the columns of ``same``,
+    which vectors must share; ``where``: key columns and the values they must have.  A query's own row is left out; a query
+    without a vector has no scores.
+    """
+    index = indexed(vectors, (*same, *(where or {})))
+    return by_block(queries.where("query is not null"), lambda block: index.pairs(block, where, same))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-    return top(dense_scores(vectors, queries, condition).select("query_id", "chunk_id", "dense"), "dense", k)
+def dense_topk(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int, same: tuple[str, ...] = (), where: dict | None = None) -> DataFrame:
+    index = indexed(vectors, (*same, *(where or {})))
+    return top(by_block(queries.where("query is not null"), lambda block: index.topk(block, k, where, same)[0]), "dense", k)
 
 
 def rerank(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -194,12 +259,12 @@ def rerank(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> Da
     return met.withColumn("final", F.coalesce("dense", F.lit(0.0)) + BOOST * T.lexical_overlap(F.col("question"), F.col("text"))).drop("question", "text")
 
 
-def dense_rerank_topk(vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, condition: Column | None = None, lexical: bool = True) -> DataFrame:
+def dense_rerank_topk(vectors: DataFrame | VectorIndex, chunks: DataFrame, questions: DataFrame, k: int, where: dict | None = None, lexical: bool = True) -> DataFrame:
     """The 3k best by vectors alone, by boosted score, cut to k; the boost can't bring in what lies deeper.
 
     Without ``lexical`` the order is that of the vectors.  ``vectors`` are those of ``chunks``.
     """
-    pool = dense_topk(vectors, questions.select("query_id", "query"), 3 * k, condition).withColumnRenamed("rank", "dense_rank")
+    pool = dense_topk(vectors, questions.select("query_id", "query"), 3 * k, where=where).withColumnRenamed("rank", "dense_rank")
     scored = rerank(pool, chunks, questions) if lexical else pool.withColumn("final", F.col("dense"))
     return ranked(scored, F.round("final", 9).desc(), F.col("dense_rank")).where(F.col("rank") <= k)
 
@@ -229,41 +294,61 @@ def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked(both, F.round("rrf", 12).desc(), F.coalesce("first_rank", F.lit(10**9)), F.col("chunk_id"))
 
 
-def hybrid_topk(vectors: DataFrame, chunks: DataFrame, index: Bm25Index, questions: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
-    """Fused order of the boosted vector ranking and BM25 over all chunks; scores are those of the vector ranking.
+def hybrid_topk(corpus: Corpus, questions: DataFrame, k: int, depth: int = DEPTH, where: dict | None = None) -> DataFrame:
+    """Fused order of the boosted vector ranking and BM25 over all chunks that the filter leaves; scores are those of the
+    vector ranking.
 
     Rows that BM25 alone brings are scored by one join for all of them; where a question or a chunk has no vector, dense is
     null and the lexical part of the score stands alone.
     """
-    dense = dense_rerank_topk(vectors, chunks, questions, depth)
-    fused = rrf(dense, index.topk(questions, depth)).where(F.col("rank") <= k)
+    dense = dense_rerank_topk(corpus.searched(where), corpus.chunks, questions, depth, where)
+    fused = rrf(dense, corpus.index.topk(questions, depth, corpus.allowed(where))).where(F.col("rank") <= k)
     fused = fused.select("query_id", "chunk_id", "rank", "rrf", F.col("first_rank").alias("dense_rank"), F.col("second_rank").alias("bm25_rank"))
-    scored = fused.join(questions.select("query_id", "query"), "query_id").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
-    return rerank(scored.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding"), chunks, questions)
+    scored = fused.join(questions.select("query_id", "query"), "query_id").join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    return rerank(scored.withColumn("dense", T.dot(F.col("query"), F.col("embedding"))).drop("query", "embedding"), corpus.chunks, questions)
 
 
 # ---------------------------------------------------------------- registry
 
 @dataclass(frozen=True)
 class Corpus:
-    """What retrievers search: chunks (chunk_id, text and more), vectors (chunk_id, embedding and more) and the index."""
+    """What retrievers search: chunks (chunk_id, text and metadata), vectors (chunk_id, embedding), the index of words and,
+    where one is at hand, that of vectors, whose keys are metadata that filters may name."""
 
     chunks: DataFrame
     vectors: DataFrame
     index: Bm25Index
-
-
-#: Name to retriever: (corpus, questions with query_id, question, query; k) to hits with rank, chunk_id and final.
-RETRIEVERS: dict[str, Callable[[Corpus, DataFrame, int], DataFrame]] = {
-    "dense": lambda c, q, k: dense_rerank_topk(c.vectors, c.chunks, q, k, lexical=False),
-    "baseline": lambda c, q, k: dense_rerank_topk(c.vectors, c.chunks, q, k),
-    "bm25": lambda c, q, k: c.index.topk(q, k).withColumn("final", F.col("score")),
-    "hybrid": lambda c, q, k: hybrid_topk(c.vectors, c.chunks, c.index, q, k),
+    cells: VectorIndex | None = None
+
+    def searched(self, where: dict | None) -> VectorIndex:
+        """An index of vectors that knows the filter's columns."""
+        keys = tuple(where or ())
+        if self.cells is not None and set(keys) <= set(self.cells.keys):
+            return self.cells
+        rows = self.vectors.select("chunk_id", "embedding")
+        return VectorIndex.build(rows.join(self.chunks.select("chunk_id", *keys), "chunk_id") if keys else rows, keys)
+
+    def allowed(self, where: dict | None) -> DataFrame | None:
+        """Ids of the chunks that have the filter's values; null without a filter."""
+        if not where:
+            return None
+        rows = self.chunks
+        for c, v in where.items():
+            rows = rows.where(F.col(c).eqNullSafe(F.lit(v)))
+        return rows.select("chunk_id")
+
+
+#: Name to retriever: (corpus, questions with query_id, question, query; k; filter) to hits with rank, chunk_id and final.
+RETRIEVERS: dict[str, Callable[[Corpus, DataFrame, int, dict | None], DataFrame]] = {
+    "dense": lambda c, q, k, where: dense_rerank_topk(c.searched(where), c.chunks, q, k, where, lexical=False),
+    "baseline": lambda c, q, k, where: dense_rerank_topk(c.searched(where), c.chunks, q, k, where),
+    "bm25": lambda c, q, k, where: c.index.topk(q, k, c.allowed(where)).withColumn("final", F.col("score")),
+    "hybrid": lambda c, q, k, where: hybrid_topk(c, q, k, where=where),
 }
 
 
-def retriever(name: str) -> Callable[[Corpus, DataFrame, int], DataFrame]:
+def retriever(name: str) -> Callable[..., DataFrame]:
+    """The retriever of a name: takes a corpus, questions, k and, where wanted, a map of metadata that hits must have."""
     if name not in RETRIEVERS:
         raise ValueError(f"no retriever {name!r}; there are {', '.join(sorted(RETRIEVERS))}")
-    return RETRIEVERS[name]
-
+    return lambda corpus, questions, k, where=None: RETRIEVERS[name](corpus, questions, k, where)

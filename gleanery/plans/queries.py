@@ -19,6 +19,7 @@ from gleanery import session
 from gleanery.functions import text as T
 from gleanery.operators import answer as A
 from gleanery.operators import chunking, cluster, evaluate, retrieve, trace
+from gleanery.operators.vectors import VectorIndex
 from gleanery.sources import files
 from gleanery.streaming import traces as stream
 
@@ -41,8 +42,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A table of few files would be worked on by as few tasks; where there are more files than cores nothing moves."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
 def chunks(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    return _spread(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"))
 
 
 def questions(spark, d):
@@ -58,7 +65,7 @@ def _kept(app: str, folder: str, stamp: tuple) -> dict:
 def _corpus(spark, d) -> dict:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     stamp = []
-    for f in sorted(_t(spark, d, "documents").inputFiles()):
+    for f in sorted(f for name in ("documents", "embeddings") for f in _t(spark, d, name).inputFiles()):
         path = jvm.org.apache.hadoop.fs.Path(f)
         status = path.getFileSystem(conf).getFileStatus(path)
         stamp.append((f, status.getLen(), status.getModificationTime()))
@@ -90,22 +97,32 @@ def gold(spark, d):
 
 
 def vectors(spark, d):
-    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    # a table of few files would be scored by as few tasks; where there are more files than cores nothing moves
-    cores = spark.sparkContext.defaultParallelism
-    return v if len(v.inputFiles()) >= cores else v.repartition(cores)
+    return _spread(_t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label"))
 
 
 def vector_queries(spark, d):
-    return vectors(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+    return vectors(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+
+
+def cells(spark, d) -> VectorIndex:
+    """The index over all vectors; the first query that asks builds it."""
+    kept = _corpus(spark, d)
+    if "cells" not in kept:
+        kept["cells"] = VectorIndex.build(vectors(spark, d), ("label",))
+    return kept["cells"]
 
 
 def corpus(spark, d) -> tuple[retrieve.Corpus, DataFrame]:
-    """All documents with their vectors and index, and all questions; a question's vector is the one of its number, if any."""
-    v, c = vectors(spark, d), chunks(spark, d)
-    v = v.join(c.select("chunk_id"), "chunk_id", "left_semi")
+    """All documents with their vectors and indexes, and all questions; a question's vector is the one of its number, if any.
+
+    Filters may name a document's language.
+    """
+    v, c, kept = vectors(spark, d), chunks(spark, d), _corpus(spark, d)
+    v = v.join(c.select("chunk_id", "lang"), "chunk_id")
+    if "documents" not in kept:
+        kept["documents"] = VectorIndex.build(v, ("lang",))
     q = questions(spark, d).select("query_id", "question").join(v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")), "query_id", "left")
-    return retrieve.Corpus(c, v, index(spark, d)), q
+    return retrieve.Corpus(c, v, index(spark, d), kept["documents"]), q
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -186,7 +203,7 @@ def _answer_sql() -> str:
 
 def hybrid_lists(spark, d):
     found, q = corpus(spark, d)
-    return A.hit_lists(q, retrieve.hybrid_topk(found.vectors, found.chunks, found.index, q, 5).select("query_id", "rank", "chunk_id", "final"), found.chunks)
+    return A.hit_lists(q, retrieve.hybrid_topk(found, q, 5).select("query_id", "rank", "chunk_id", "final"), found.chunks)
 
 
 def bm25_lists(spark, d, k=3):
@@ -284,7 +301,7 @@ def bm25_topk(spark, d):
 
 @query(f"{V} SELECT a.chunk_id AS query_id, b.chunk_id, round({DOT}, 6) AS cosine FROM v a JOIN v b ON a.chunk_id % 100 = 0 AND a.chunk_id <> b.chunk_id AND a.label = b.label")
 def cosine_pairs(spark, d):
-    scored = retrieve.dense_scores(vectors(spark, d), vector_queries(spark, d), F.col("label") == F.col("query_label"))
+    scored = retrieve.dense_scores(cells(spark, d), vector_queries(spark, d), same=("label",))
     return scored.select("query_id", "chunk_id", F.round("dense", 6).alias("cosine"))
 
 
@@ -294,24 +311,23 @@ def _ranked_dense(where: str) -> str:
 
 @query(_ranked_dense("true"))
 def dense_topk(spark, d):
-    return retrieve.dense_topk(vectors(spark, d), vector_queries(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
+    return retrieve.dense_topk(cells(spark, d), vector_queries(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
 
 
 @query(_ranked_dense("bl = 3"))
 def dense_topk_filtered(spark, d):
-    return retrieve.dense_topk(vectors(spark, d).where("label = 3"), vector_queries(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
+    return retrieve.dense_topk(cells(spark, d), vector_queries(spark, d), 10, where={"label": 3}).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
 
 
 @query(_ranked_dense("bl = ql"))
 def search_cluster(spark, d):
-    own = F.col("label") == F.col("query_label")
-    return retrieve.dense_topk(vectors(spark, d), vector_queries(spark, d), 10, own).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
+    return retrieve.dense_topk(cells(spark, d), vector_queries(spark, d), 10, same=("label",)).select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("score"))
 
 
 @query(f"{BOTH}, {reranked(5)} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(dense, 6) AS dense, round(final, 6) AS final FROM rr WHERE rank <= 5")
 def dense_rerank_topk(spark, d):
     found, q = corpus(spark, d)
-    out = retrieve.dense_rerank_topk(found.vectors, found.chunks, q, 5)
+    out = retrieve.dense_rerank_topk(found.cells, found.chunks, q, 5)
     return out.select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("dense"), F.round("final", 6).alias("final"))
 
 
@@ -333,14 +349,14 @@ def rrf_fuse(spark, d):
 @query(f"{HYBRID} SELECT query_id, chunk_id, dense_rank::INTEGER AS dense_rank, bm25_rank::INTEGER AS bm25_rank, round(rrf, 6) AS rrf FROM fr")
 def rrf_explain(spark, d):
     found, q = corpus(spark, d)
-    out = retrieve.rrf(retrieve.dense_rerank_topk(found.vectors, found.chunks, q, 25), found.index.topk(q, 25))
+    out = retrieve.rrf(retrieve.dense_rerank_topk(found.cells, found.chunks, q, 25), found.index.topk(q, 25))
     return out.select("query_id", "chunk_id", F.col("first_rank").alias("dense_rank"), F.col("second_rank").alias("bm25_rank"), F.round("rrf", 6).alias("rrf"))
 
 
 @query(f"{HYBRID} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(dense, 6) AS dense, round(final, 6) AS final FROM hy")
 def hybrid_topk(spark, d):
     found, q = corpus(spark, d)
-    out = retrieve.hybrid_topk(found.vectors, found.chunks, found.index, q, 5)
+    out = retrieve.hybrid_topk(found, q, 5)
     return out.select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("dense"), F.round("final", 6).alias("final"))
 
 
@@ -639,9 +655,9 @@ def latency_quantiles(spark, d):
 @query(f"{Q}, {C}, {BM25}, a AS (SELECT query_id, lang FROM sparse JOIN c USING (chunk_id) WHERE rank = 1), b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM bm JOIN c USING (chunk_id) WHERE lang = 'en') SELECT a.query_id, lang AS unfiltered_lang, b.chunk_id AS filtered_top FROM a JOIN b ON a.query_id = b.query_id AND b.r = 1 WHERE lang <> 'en'")
 def filter_flip(spark, d):
     """Questions whose best chunk changes its language when only English is searched."""
-    scored = index(spark, d).scores(questions(spark, d)).join(chunks(spark, d).select("chunk_id", "lang"), "chunk_id")
-    free = retrieve.top(scored, "score", 1).select("query_id", F.col("lang").alias("unfiltered_lang"))
-    held = retrieve.top(scored.where("lang = 'en'"), "score", 1).select("query_id", F.col("chunk_id").alias("filtered_top"))
+    q, c = questions(spark, d), chunks(spark, d)
+    free = index(spark, d).topk(q, 1).join(c.select("chunk_id", "lang"), "chunk_id").select("query_id", F.col("lang").alias("unfiltered_lang"))
+    held = index(spark, d).topk(q, 1, c.where("lang = 'en'")).select("query_id", F.col("chunk_id").alias("filtered_top"))
     return free.join(held, "query_id").where("unfiltered_lang <> 'en'")
 
 

@@ -48,6 +48,11 @@ def _drop() -> None:
             pass
 
 
+def root() -> str:
+    """The folder that holds the package."""
+    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def prepare(spark: SparkSession, root: str) -> None:
     """Lets Python workers import the package where it isn't installed."""
     env = spark.sparkContext.environment

@@ -264,25 +264,117 @@ def test_index(spark, monkeypatch):
     chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
     asked = [(i, " ".join(r.choices([*vocab, "unknown"], k=4))) for i in range(25)] + [(90, ""), (91, None)]
     questions = spark.createDataFrame(asked, "query_id long, question string")
-    index = retrieve.Bm25Index.build(chunks, 3)
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", 10)
-    got = {}
-    for x in index.topk(questions, 5).orderBy("query_id", "rank").collect():
-        got.setdefault(x.query_id, []).append((-round(x.score, 9), x.chunk_id))
-    for i, q in asked:
-        want = plain_bm25({k: v or "" for k, v in texts.items()}, q or "", 5)
-        assert [c for _, c in got.get(i, [])] == [c for _, c in want]
-        assert [s for s, _ in got.get(i, [])] == pytest.approx([s for s, _ in want], abs=1e-8)
-    facts = [(i, [t[3:40]]) for i, t in texts.items() if t and len(t) > 60][:20] + [(200, ["w1"]), (201, ["w1", "w2"]), (202, [None]), (203, ["nothing of this is there"]), (204, ["ED W"])]
+    for segments in (1, 3, 17):  # of 17 segments five are looked at first
+        index = retrieve.Bm25Index.build(chunks, segments)
+        for allowed in (None, chunks.where("chunk_id % 3 = 0")):
+            got = {}
+            for x in index.topk(questions, 5, allowed).orderBy("query_id", "rank").collect():
+                got.setdefault(x.query_id, []).append((-round(x.score, 9), x.chunk_id))
+            for i, q in asked:
+                want = [x for x in plain_bm25({k: v or "" for k, v in texts.items()}, q or "", 500) if allowed is None or x[1] % 3 == 0][:5]
+                assert [c for _, c in got.get(i, [])] == [c for _, c in want]
+                assert [s for s, _ in got.get(i, [])] == pytest.approx([s for s, _ in want], abs=1e-8)
+    assert index.scores(questions).groupBy("query_id").count().where("query_id = 0").first()[1] == len(plain_bm25({k: v or "" for k, v in texts.items()}, asked[0][1], 500))
+    facts = [(i, [t[3:40]]) for i, t in texts.items() if t and len(t) > 60][:20] + [(200, ["w1"]), (201, ["w1", "w2"]), (202, [None]), (203, ["nothing of this is there"]), (204, ["ED W"]), (205, ["ä"]), (206, ["Z"]), (207, ["_b"]), (208, ["x-"]), (209, [""]), (210, []), (211, ["w1", "ä"]), (212, ["1 w"]), (213, ["zed"]), (214, ["b w3"])]
     for any_case in (False, True):
         low = (lambda t: t.lower()) if any_case else (lambda t: t)
         want = {(q, i) for q, f in facts for i, t in texts.items() if t is not None and all(x is not None and low(x) in low(t) for x in f)}
         out = index.holders(spark.createDataFrame(facts, "query_id long, facts array<string>"), chunks, any_case).collect()
         assert {tuple(x) for x in out} == want and len(out) == len(want)
-    plan = index.topk(questions.limit(5), 5)._jdf.queryExecution().toString()
-    assert "SortMergeJoin" not in plan
 
 
+def test_index_opens_few_blocks(spark):
+    """A rare term's chunks settle the result: blocks of the common words beside it aren't opened."""
+    from gleanery.operators import retrieve
+
+    texts = [(i, "the of and " * 5 + f"w{i % 50} " + ("zebra quagga okapi " if i % 1000 < 4 else "")) for i in range(8000)]
+    index = retrieve.Bm25Index.build(spark.createDataFrame(texts, "chunk_id long, text string"), 200)
+    ask = lambda q: spark.createDataFrame([(1, q)], "query_id long, question string")
+    rare, common = index.opened(ask("the zebra quagga of okapi"), 5), index.opened(ask("the of and"), 5)
+    assert rare[0] < 0.35 * rare[1] and common[0] == common[1] == 600
+    assert [r.chunk_id for r in index.topk(ask("the zebra quagga of okapi"), 3).collect()] == [0, 1, 2]
+    plan = index.of_terms(index.wanted(ask("zebra okapi")).collect())._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(term,okapi)" in plan
+
+
+def test_postings_in_pieces(spark, monkeypatch):
+    """A block that fills a pack by itself, and one that a pack's end would cut."""
+    from gleanery.operators import postings
+
+    rows = [("a", 0, i) for i in range(25)] + [("b", s, i) for s in range(4) for i in range(3)]
+    got = []
+    made = spark.createDataFrame([(t, s, i, float(i)) for t, s, i in rows], "term string, seg bigint, chunk_id long, part double").coalesce(1).sortWithinPartitions("term", "seg")
+    import pyarrow as pa
+
+    for packs in (10, 7, 1000):
+        monkeypatch.setattr(postings, "PACKED", packs)
+        kept = {}
+        monkeypatch.setattr(type(made), "mapInArrow", lambda self, f, schema, kept=kept: kept.update(f=f))
+        postings.packed(made, made.schema["chunk_id"].dataType)
+        monkeypatch.undo()
+        monkeypatch.setattr(postings, "PACKED", packs)
+        batches = pa.Table.from_pandas(made.toPandas()).to_batches(max_chunksize=4)
+        out = [r for b in kept["f"](iter(batches)) for r in b.to_pylist()]
+        got = [(r["term"], r["seg"], i) for r in out for i in r["ids"]]
+        assert got == rows and all(r["n"] == len(r["ids"]) and r["top"] == max(r["parts"]) for r in out)
+
+
+def test_vector_cells(spark):
+    """Cells give what comparing everything gives, under filters, ties, odd lengths and missing values, and open a part of it."""
+    from gleanery.operators import retrieve
+    from gleanery.operators.vectors import VectorIndex
+
+    r = random.Random(3)
+    point = lambda n: [r.choice([0.0, 0.5, r.gauss(0, 1)]) for _ in range(n)]
+    middle = [[r.gauss(0, 4) for _ in range(8)] for _ in range(12)]
+    near = lambda: [m + r.gauss(0, 0.05) for m in r.choice(middle)]
+    rows = [(i, near(), i % 4) for i in range(900)] + [(1000 + i, point(3), None) for i in range(50)] + [(2000 + i, middle[0], 1) for i in range(700)]
+    rows += [(3000, None, 1), (3001, [], 1), (3002, [1.0, None], 1), (3003, [float("nan")] * 8, 1), (3004, [0.0] * 8, 2)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, kind int")
+    index = VectorIndex.build(df, ("kind",))
+    asked = [(i, v, k) for i, v, k in rows if i % 97 == 0 or i in (2000, 2001, 3000, 3004)]
+    queries_ = spark.createDataFrame(asked, "query_id long, query array<double>, kind int")
+    whole = [x for x in rows if x[1] and all(c is not None and c == c for c in x[1])]
+
+    def want(k, keep):
+        out = set()
+        for q, v, kind in asked:
+            if v:
+                dots = [(-round(sum(a * b for a, b in zip(v, x, strict=True)), 9), i) for i, x, own in whole if i != q and len(x) == len(v) and keep(kind, own)]
+                out |= {(q, n, i) for n, (_, i) in enumerate(sorted(dots)[:k], 1)}
+        return out
+
+    told = lambda df: {(x.query_id, x["rank"], x.chunk_id) for x in df.collect()}
+    assert told(retrieve.dense_topk(index, queries_, 7)) == want(7, lambda a, b: True)
+    assert told(retrieve.dense_topk(index, queries_, 7, where={"kind": 3})) == want(7, lambda a, b: b == 3)
+    assert told(retrieve.dense_topk(index, queries_, 7, same=("kind",))) == want(7, lambda a, b: a == b)
+    pairs = retrieve.dense_scores(index, queries_, where={"kind": 2})
+    assert pairs.count() == len(want(10_000, lambda a, b: b == 2))
+    opened = index.topk(queries_.where("query_id < 900"), 5)[1]
+    assert opened["opened"] < 0.3 * opened["cells"]
+    with pytest.raises(ValueError):
+        index.topk(queries_, 3, where={"lang": "en"})
+    assert retrieve.dense_topk(VectorIndex.build(df.where("false")), queries_, 3).count() == 0
+
+
+def test_filters_in_retrieval(spark):
+    """Every retriever gives what it would give had other chunks never been there, but for statistics over all chunks."""
+    from gleanery.operators import retrieve
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(["red", "fox", "dog", "sun", "sea"], k=6)), "en" if i % 3 else "fr", [r.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    chunks = spark.createDataFrame([x[:3] for x in rows], "chunk_id long, text string, lang string")
+    vectors = spark.createDataFrame([(x[0], x[3]) for x in rows], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(900, "red sea", [1.0, 0.0, 0.5, 0.0]), (901, "dog", None)], "query_id long, question string, query array<double>")
+    corpus = retrieve.Corpus(chunks, vectors, retrieve.Bm25Index.build(chunks))
+    for name in retrieve.RETRIEVERS:
+        got = [x for x in retrieve.retriever(name)(corpus, asked, 5, {"lang": "fr"}).collect()]
+        assert got and all(x.chunk_id % 3 == 0 for x in got), name
+        if name == "dense":
+            best = sorted((-sum(a * b for a, b in zip(x[3], [1.0, 0.0, 0.5, 0.0], strict=True)), x[0]) for x in rows if x[2] == "fr")[:5]
+            assert [x.chunk_id for x in sorted(got, key=lambda x: x["rank"])] == [i for _, i in best]
+    assert retrieve.retriever("bm25")(corpus, asked, 5, {"lang": "xx"}).count() == 0
 def test_hybrid_without_vectors(spark):
     from gleanery.operators import retrieve
 
