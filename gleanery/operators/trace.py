@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import time
 from dataclasses import dataclass, field
@@ -108,7 +109,7 @@ def ask(corpus: retrieve.Corpus, questions: DataFrame, common: Column, run: Run,
     """
     numbered = row_numbers(questions.select("query_id"), "query_id").select("query_id", session(F.col("pos"), size).alias("session"))
     n, began = max(1, questions.count()), time.perf_counter()
-    hits = table(retrieve.retriever(run.pipeline)(corpus, questions, run.top_k), "trace-hits")
+    hits = table(retrieve.retriever(run.pipeline)(corpus, questions, run.top_k, run.filters), "trace-hits")
     between = time.perf_counter()
     lists = A.hit_lists(questions, hits, corpus.chunks)
     answered = table(A.answers(lists, common, run.threshold, run.floor).join(numbered, "query_id"), "trace-answers")
@@ -137,15 +138,21 @@ def replay_full(traces: DataFrame, corpus: retrieve.Corpus, queries: DataFrame,
     """trace_id, replayed, same_hits, same_output, moved: retrieval and answer again, and which versions have changed since.
 
     ``queries``: query_id, question and its vector (null where there is none), of equal questions the smallest id counts;
-    depth and limits are each trace's own.
+    depth, filters and limits are each trace's own.  Traces of one depth and filter are searched together, so there is a search
+    for each setting that the log holds.
     """
     first = queries.groupBy("question").agg(F.min_by(F.struct("query_id", "query"), "query_id").alias("q"))
-    asked = first.join(traces.select("question").distinct(), "question", "left_semi").select("q.query_id", "question", "q.query")
-    deepest = traces.agg(F.max("params.top_k")).first()[0] or run.top_k
-    hits = retrieve.retriever(run.pipeline)(corpus, asked, deepest)
-    params = traces.select("trace_id", "question", "common_terms", "params", "retrieved", "raw_output", *VERSIONS)
-    lists = A.hit_lists(asked, hits, corpus.chunks).drop("query_id").join(params, "question")
-    lists = lists.withColumn("query_id", F.col("trace_id")).withColumn("hits", F.slice("hits", F.lit(1), F.col("params.top_k")))
+    named = traces.withColumns({"_k": F.coalesce("params.top_k", F.lit(run.top_k)), "_where": F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("params.filters", F.create_map().cast("map<string,string>"))))))})
+    params = named.select("trace_id", "question", "common_terms", "params", "retrieved", "raw_output", *VERSIONS, "_k", "_where")
+    lists = None
+    for s in sorted(named.select("_k", "_where").distinct().collect()):  # the settings of a log
+        own = params.where((F.col("_k") == s["_k"]) & (F.col("_where") == s["_where"]))
+        asked = first.join(own.select("question").distinct(), "question", "left_semi").select("q.query_id", "question", "q.query")
+        hits = retrieve.retriever(run.pipeline)(corpus, asked, s["_k"], json.loads(s["_where"]) or None)
+        one = A.hit_lists(asked, hits, corpus.chunks).drop("query_id").join(own, "question").withColumn("query_id", F.col("trace_id"))
+        lists = one if lists is None else lists.unionByName(one)
+    if lists is None:
+        return traces.sparkSession.createDataFrame([], "trace_id string, replayed string, same_hits boolean, same_output boolean, moved array<string>")
     again = A.answers(lists, F.col("common_terms"), F.col("params.score_threshold"), F.col("params.support_floor"))
     now = run.columns()
     moved = F.filter(F.array(*(F.when(~F.col(v).eqNullSafe(now[v]), F.lit(v)) for v in VERSIONS)), lambda x: x.isNotNull())

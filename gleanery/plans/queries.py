@@ -2,8 +2,8 @@
 
 Roles of the tables: ``documents`` are chunks, ``benchmark`` gives the questions (their first nine words, so that finding
 the passage isn't trivial; gold are the documents with the whole passage), ``embeddings`` are vectors of chunks and
-questions, ``labels`` two raters, ``events`` traces with latencies, ``conversations`` answers.  What no table has
-(markdown, symbols, rankings, verdicts) is a literal that query and SQL share.
+questions, ``labels`` two raters, ``events`` traces with latencies, ``conversations`` answers and pages.  What no table has
+(markdown, citations, code, a judge's words) is put into its rows by a rule that query and SQL share.
 """
 
 from __future__ import annotations
@@ -331,19 +331,21 @@ def dense_rerank_topk(spark, d):
     return out.select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("dense"), F.round("final", 6).alias("final"))
 
 
-RANKINGS = ("values (1, 'a', 1), (1, 'b', 2), (1, 'c', 3), (2, 'x', 1), (2, 'y', 2), (3, 'm', 1)", "values (1, 'b', 1), (1, 'd', 2), (1, 'a', 3), (2, 'y', 1), (2, 'x', 2), (4, 'n', 1)")
-RANKING_SQL = f"""a(query_id, chunk_id, r1) AS ({RANKINGS[0]}), b(query_id, chunk_id, r2) AS ({RANKINGS[1]}),
+#: Two rankings of a label's vectors: the first and the last thirty by the hash of their id.
+RANKING_SQL = f"""rk AS (SELECT label AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || vec_id), vec_id) AS r1, row_number() OVER (PARTITION BY label ORDER BY md5('2:' || vec_id), vec_id) AS r2 FROM embeddings),
+a AS (SELECT query_id, chunk_id, r1 FROM rk WHERE r1 <= 30), b AS (SELECT query_id, chunk_id, r2 FROM rk WHERE r2 <= 30),
 f AS (SELECT query_id, chunk_id, r1 AS first_rank, r2 AS second_rank, coalesce(1.0 / (60 + r1), 0) + coalesce(1.0 / (60 + r2), 0) AS s FROM a FULL JOIN b USING (query_id, chunk_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, coalesce(first_rank, 1000000000), chunk_id) AS rank FROM f)"""
 
 
-def _rankings(spark):
-    return (spark.sql(f"select * from {r} as t(query_id, chunk_id, rank)") for r in RANKINGS)
+def _rankings(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"))
+    return (retrieve.ranked(rows, F.md5(F.concat(F.lit(f"{i}:"), F.col("chunk_id").cast("string"))), F.col("chunk_id")).where("rank <= 30") for i in (1, 2))
 
 
 @query(f"{RANKING_SQL} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(s, 9) AS score FROM o")
 def rrf_fuse(spark, d):
-    return retrieve.rrf(*_rankings(spark)).select("query_id", "chunk_id", "rank", F.round("rrf", 9).alias("score"))
+    return retrieve.rrf(*_rankings(spark, d)).select("query_id", "chunk_id", "rank", F.round("rrf", 9).alias("score"))
 
 
 @query(f"{HYBRID} SELECT query_id, chunk_id, dense_rank::INTEGER AS dense_rank, bm25_rank::INTEGER AS bm25_rank, round(rrf, 6) AS rrf FROM fr")
@@ -462,11 +464,16 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-MD_VALUES = "md(file, raw) AS (VALUES " + ", ".join(f"('{k}', {_sql_text(v)})" for k, v in MD_PAGES.items()) + ")"
+#: Pages are all turns of conversations: a turn's sentences, a line each, stand behind one of five beginnings.
+MD_VALUES = "mp(name, head, no) AS (VALUES " + ", ".join(f"('{k}', {_sql_text(v)}, {i})" for i, (k, v) in enumerate(MD_PAGES.items())) + """),
+md AS (SELECT conv_id || '/' || turn || '-' || role AS file, head || chr(10) || replace(text, '. ', '.' || chr(10)) AS raw FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) JOIN mp ON no = (conv_id + turn) % 5)"""
 
 
-def md_pages(spark):
-    return spark.createDataFrame(list(MD_PAGES.items()), "file string, raw string")
+def md_pages(spark, d):
+    heads = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(MD_PAGES.values())], "head string, no int"))
+    turns = _t(spark, d, "conversations").join(heads, F.col("no") == (F.col("conv_id") + F.col("turn")) % 5)
+    lines = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))
+    return turns.select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("-"), F.col("role")).alias("file"), F.concat(F.col("head"), F.lit("\n"), lines).alias("raw"))
 
 
 META_SQL = MD_VALUES + r""", ln AS (SELECT file, raw, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM md),
@@ -480,7 +487,7 @@ b AS (SELECT p.*, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHE
 
 @query(f"{META_SQL} SELECT file, page_id, sdk_version, page_type, array_to_string(list_filter([CASE WHEN page_id IS NULL THEN 'page_id' END, CASE WHEN page_type IS NULL THEN 'page_type' END, CASE WHEN sdk_version IS NULL THEN 'sdk_version' END], lambda x: x IS NOT NULL), ',') AS missing, md5(body) AS body FROM b")
 def parse_page_meta(spark, d):
-    return chunking.parse_pages(md_pages(spark)).select("file", *chunking.KEYS, F.array_join("missing", ",").alias("missing"), F.md5("body").alias("body"))
+    return chunking.parse_pages(md_pages(spark, d)).select("file", *chunking.KEYS, F.array_join("missing", ",").alias("missing"), F.md5("body").alias("body"))
 
 
 @query(f"""{META_SQL}, l AS (SELECT file, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b),
@@ -497,7 +504,7 @@ r AS (
 )
 SELECT r.file AS page_id, own::INTEGER AS block_no, any_value(own_kind) AS kind, string_agg(line, chr(10) ORDER BY r.i) AS content FROM r JOIN f ON f.file = r.file AND f.i = r.i WHERE own >= 0 GROUP BY r.file, own""")
 def md_blocks(spark, d):
-    return chunking.md_blocks(chunking.parse_pages(md_pages(spark)), "file")
+    return chunking.md_blocks(chunking.parse_pages(md_pages(spark, d)), "file")
 
 
 #: Lines to sections at headings, sections to blocks, and blocks to chunks: a paragraph joins the one before if both fit.
@@ -532,7 +539,7 @@ sl AS (SELECT *, trim(regexp_replace(lower(section), '[^a-z0-9]+', '-', 'g'), '-
 @query(f"""{STRUCTURED_SQL} SELECT page_id, page_id || '::' || slug || '::' || n || CASE kind WHEN 'table' THEN '-table' WHEN 'fence' THEN '-code' ELSE '' END AS chunk_uid, section, '#' || slug AS anchor, text, file, sdk_version, page_type
   FROM sl JOIN (SELECT file, page_id, sdk_version, page_type FROM b) USING (file)""")
 def chunk_structured(spark, d):
-    return chunking.chunk_structured(chunking.parse_pages(md_pages(spark)).where("size(missing) = 0"))
+    return chunking.chunk_structured(chunking.parse_pages(md_pages(spark, d)).where("size(missing) = 0"))
 
 
 PLAIN = {"a.md": "# Start here\nOne two three. Four five six seven.\n#Loose name\nEight nine ten eleven.", "b.md": "No heading. " + "word " * 30 + "end.\n#\nlast one here."}
@@ -547,10 +554,10 @@ def chunk_documents(spark, d):
 
 @query(f"{MD_VALUES} SELECT count(*) FILTER (WHERE (len(string_split(raw, '```')) - 1) % 2 = 1) AS broken FROM md")
 def broken_fences(spark, d):
-    return md_pages(spark).agg(F.count_if((F.size(F.split("raw", "```")) - 1) % 2 == 1).alias("broken"))
+    return md_pages(spark, d).agg(F.count_if((F.size(F.split("raw", "```")) - 1) % 2 == 1).alias("broken"))
 
 
-@query("SELECT file || '.md' AS file, md5(raw) AS raw FROM (WITH " + MD_VALUES + " SELECT * FROM md)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}.md', md5({_sql_text(v)}))" for k, v in MD_PAGES.items()) + ") AS m(file, raw)")
 def scan_documents(spark, d):
     """The markdown pages, written to a folder and scanned again."""
     folder = f"{_folder(spark)}/pages-{uuid.uuid4().hex}"
@@ -558,11 +565,13 @@ def scan_documents(spark, d):
     return files.markdown(spark, folder).select("file", F.md5("raw").alias("raw"))
 
 
-@query("SELECT unnest(['How are pages scanned?', 'Which comes last?']) AS line")
+@query("SELECT trim(replace(text, chr(10), ' ')) AS line FROM benchmark WHERE item_id % 3 = 1 AND trim(text) <> ''")
 def scan_comment_filtered(spark, d):
-    folder = f"{_folder(spark)}/lines-{uuid.uuid4().hex}"
-    _write_files(spark, folder, {"questions.txt": "# a comment\n\n  How are pages scanned?  \n#no\nWhich comes last?\n"})
-    return files.commented_lines(spark, folder)
+    """Every third item of the benchmark is a comment, every third a line with blanks around it, the others are blank lines."""
+    path, at, text = session.new_path(spark, "lines"), F.col("item_id") % 3, F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    line = F.when(at == 0, F.concat(F.lit("# "), text)).when(at == 1, F.concat(F.lit("  "), text, F.lit("  "))).otherwise("")
+    _t(spark, d, "benchmark").select(line.alias("value")).write.text(path)
+    return files.commented_lines(spark, path)
 
 
 def _folder(spark) -> str:
@@ -682,17 +691,24 @@ CASES = [
     ("a9", "M5", "client = Client()\nr = client.send(1)", "answer", "", "", "send"),
     ("b1", "M5", "one two three four five six seven eight nine one two three four five six seven eight", "answer", "", "", "nine"),
 ]
-CASE_COLS = "case_id, mode, answer, expect, state, cite, must"
-CASE_SQL = f"cs({CASE_COLS}) AS (VALUES " + ", ".join("(" + ", ".join(_sql_text(v) for v in r) + ")" for r in CASES) + r"""),
+#: Cases are the assistant's turns: what one of ten patterns says stands behind a turn's text, or before it where it refuses.
+CASE_COLS = "pattern, mode, said, expect, state, cite, must"
+CASE_SQL = f"pt({CASE_COLS}, no) AS (VALUES " + ", ".join("(" + ", ".join(_sql_text(v) for v in r) + f", {i})" for i, r in enumerate(CASES)) + r"""),
+cs AS (SELECT conv_id, conv_id || '/' || turn AS case_id, pattern, mode, CASE WHEN starts_with(said, 'I don''t know') THEN said || ' ' || text ELSE text || ' ' || said END AS answer, expect, state, cite, must
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant') JOIN pt ON no = (conv_id + turn) % 10),
 bd AS (SELECT *, regexp_replace(answer, '\s*\[chunk:([^\]]+)\]\s*$', '') AS body, nullif(regexp_extract(answer, '\s*\[chunk:([^\]]+)\]\s*$', 1), '') AS cited, starts_with(answer, 'I don''t know') AS refused FROM cs)"""
 SPEC = ("/v3/files/{id}", "/v3/pages")
 DEPRECATED = (("timeout_s", r"\btimeout_s\b", "timeout_ms"), ("paginate_auto", r"\bpaginate_auto\b", "pages"))
 
 
-def cases(spark):
-    rows = spark.createDataFrame(CASES, ", ".join(f"{c.strip()} string" for c in CASE_COLS.split(",")))
+def cases(spark, d):
+    names = [c.strip() for c in CASE_COLS.split(",")]
+    patterns = F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(CASES)], ", ".join(f"{c} string" for c in names) + ", no int"))
+    turns = _t(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.join(patterns, F.col("no") == (F.col("conv_id") + F.col("turn")) % 10)
+    answer = F.when(F.startswith("said", F.lit("I don't know")), F.concat_ws(" ", "said", "text")).otherwise(F.concat_ws(" ", "text", "said"))
     listed = lambda c: F.filter(F.array(c), lambda x: x != "")
-    return rows.select("case_id", "mode", "answer", "expect", listed("state").alias("state_versions"), F.nullif("cite", F.lit("")).alias("cite_version"), listed("must").alias("must_include"))
+    return rows.select(F.concat_ws("/", "conv_id", "turn").alias("case_id"), "conv_id", "mode", answer.alias("answer"), "expect", listed("state").alias("state_versions"), F.nullif("cite", F.lit("")).alias("cite_version"), listed("must").alias("must_include"))
 
 
 def spec(spark):
@@ -706,29 +722,29 @@ def deprecated(spark):
 @query(f"{CASE_SQL} SELECT case_id, body, cited FROM bd")
 def split_citation(spark, d):
     body, cited = T.split_citation(F.col("answer"))
-    return cases(spark).select("case_id", body.alias("body"), cited.alias("cited"))
+    return cases(spark, d).select("case_id", body.alias("body"), cited.alias("cited"))
 
 
 @query(f"{CASE_SQL} SELECT case_id, array_to_string(regexp_extract_all(body, '(?s)```[a-zA-Z]*[ \\t]*\\n?(.*?)```', 1), '~') AS code FROM bd".replace("\\\\", "\\"))
 def extract_fences(spark, d):
     body, _ = T.split_citation(F.col("answer"))
-    return cases(spark).select("case_id", F.array_join(T.fences(body), "~").alias("code"))
+    return cases(spark, d).select("case_id", F.array_join(T.fences(body), "~").alias("code"))
 
 
-#: Syntax is judged by a parser, which SQL lacks: its verdicts on the literal cases, worked out by hand.
-CODE_SQL = "co(case_id, status, detail) AS (VALUES ('a1', 'n/a', 'no code'), ('a2', 'n/a', 'no code'), ('a3', 'n/a', 'no code'), ('a4', 'n/a', 'no code'), ('a5', 'pass', '1 blocks parse'), ('a6', 'fail', 'SyntaxError: invalid syntax'), ('a7', 'fail', 'fenced code is on a single line'), ('a8', 'n/a', 'no code'), ('a9', 'fail', 'code outside a fenced block'), ('b1', 'n/a', 'no code'))"
+#: Syntax is judged by a parser, which SQL lacks: its verdicts on what the ten patterns say, worked out by hand.
+CODE_SQL = "cv(pattern, status, detail) AS (VALUES ('a1', 'n/a', 'nothing to parse'), ('a2', 'n/a', 'nothing to parse'), ('a3', 'n/a', 'nothing to parse'), ('a4', 'n/a', 'nothing to parse'), ('a5', 'pass', '1 blocks parse'), ('a6', 'fail', 'SyntaxError: invalid syntax'), ('a7', 'fail', 'a fence holds one line only'), ('a8', 'n/a', 'nothing to parse'), ('a9', 'fail', 'code stands outside fences'), ('b1', 'n/a', 'nothing to parse')), co AS (SELECT case_id, status, detail FROM cs JOIN cv USING (pattern))"
 
 
-@query(f"{CODE_SQL} SELECT * FROM co")
+@query(f"{CASE_SQL}, {CODE_SQL} SELECT * FROM co")
 def assert_code_parses(spark, d):
-    return evaluate.code_parses(cases(spark))
+    return evaluate.code_parses(cases(spark, d))
 
 
 ENDPOINT_SQL = r"""ep AS (SELECT case_id, list_distinct(regexp_extract_all(body, '/v\d+/[A-Za-z0-9_\-/{}]*[A-Za-z0-9_}]')) AS p FROM bd), eb AS (SELECT case_id, p, list_sort(list_filter(p, lambda x: x NOT IN ('/v3/files/{id}', '/v3/pages'))) AS bad FROM ep),
-en AS (SELECT case_id, CASE WHEN len(p) = 0 THEN 'n/a' WHEN len(bad) > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN len(p) = 0 THEN 'no endpoint paths' WHEN len(bad) > 0 THEN 'unknown: ' || array_to_string(bad, ', ') ELSE 'known: ' || array_to_string(list_sort(p), ', ') END AS detail, nullif(array_to_string(bad, ','), '') AS missing FROM eb)"""
+en AS (SELECT case_id, CASE WHEN len(p) = 0 THEN 'n/a' WHEN len(bad) > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN len(p) = 0 THEN 'names no path' WHEN len(bad) > 0 THEN 'unknown: ' || array_to_string(bad, ', ') ELSE 'known: ' || array_to_string(list_sort(p), ', ') END AS detail, nullif(array_to_string(bad, ','), '') AS missing FROM eb)"""
 DEP_SQL = r"""dh AS (SELECT case_id, body, list_filter(['paginate_auto', 'timeout_s'], lambda x: regexp_matches(body, '\b' || x || '\b')) AS hits FROM bd),
 de AS (SELECT case_id, CASE WHEN len(hits) = 0 THEN 'n/a' WHEN regexp_matches(body, '(?i)\b(removed|renamed|replaced|deprecated|is now|no longer|instead|in favou?r of)\b') THEN 'pass' ELSE 'fail' END AS status,
-  CASE WHEN len(hits) = 0 THEN 'no deprecated symbols' WHEN regexp_matches(body, '(?i)\b(removed|renamed|replaced|deprecated|is now|no longer|instead|in favou?r of)\b') THEN array_to_string(hits, ', ') || ' with a migration note'
+  CASE WHEN len(hits) = 0 THEN 'names nothing deprecated' WHEN regexp_matches(body, '(?i)\b(removed|renamed|replaced|deprecated|is now|no longer|instead|in favou?r of)\b') THEN array_to_string(hits, ', ') || ' with a migration note'
     ELSE array_to_string(hits, ', ') || ' without a migration note (use ' || CASE WHEN hits[1] = 'timeout_s' THEN 'timeout_ms' ELSE 'pages' END || ')' END AS detail FROM dh)"""
 
 
@@ -741,12 +757,12 @@ re AS (SELECT case_id, CASE WHEN again IS NULL THEN 'pass' ELSE 'fail' END AS st
 
 @query(f"{CASE_SQL}, {ENDPOINT_SQL} SELECT * FROM en")
 def assert_endpoints(spark, d):
-    return evaluate.endpoints(cases(spark), spec(spark))
+    return evaluate.endpoints(cases(spark, d), spec(spark))
 
 
 @query(f"{CASE_SQL}, {DEP_SQL} SELECT * FROM de")
 def assert_deprecations(spark, d):
-    return evaluate.deprecations(cases(spark), deprecated(spark))
+    return evaluate.deprecations(cases(spark, d), deprecated(spark))
 
 
 @query("bd AS (SELECT conv_id || '/' || turn AS case_id, text AS body FROM conversations WHERE role = 'assistant'), " + _repetition_sql("bd") + " SELECT * FROM re")
@@ -767,7 +783,7 @@ FOUR_SQL = r"""fo AS (SELECT case_id, CASE WHEN refused OR state = '' THEN 'n/a'
 
 def _four(name: str):
     def run(spark, d):
-        return evaluate.case_checks(cases(spark)).select("case_id", f"{name}.status", f"{name}.detail")
+        return evaluate.case_checks(cases(spark, d)).select("case_id", f"{name}.status", f"{name}.detail")
 
     return run
 
@@ -779,23 +795,29 @@ for _q, _c in (("assert_version_stated", "version_stated"), ("assert_cited_versi
 RESULTS_SQL = f"""{CASE_SQL}, {ENDPOINT_SQL}, {DEP_SQL}, {_repetition_sql('bd')}, {FOUR_SQL}, {CODE_SQL},
 al AS (SELECT case_id, 'code_parses' AS name, status FROM co UNION ALL SELECT case_id, 'endpoints_in_spec', status FROM en UNION ALL SELECT case_id, 'deprecation_has_migration_note', status FROM de UNION ALL SELECT case_id, 'no_repeated_sentence', status FROM re
   UNION ALL SELECT case_id, 'version_stated', version_stated FROM fo UNION ALL SELECT case_id, 'cites_question_version', cites_question_version FROM fo UNION ALL SELECT case_id, 'answered_when_answerable', answered_when_answerable FROM fo UNION ALL SELECT case_id, 'required_facts_present', required_facts_present FROM fo)"""
-VERDICTS = "values ('a1', 'PASS'), ('a2', 'FAIL'), ('a3', 'PASS'), ('a5', 'PASS'), ('a8', 'FAIL'), ('b1', 'PASS')"
+VERDICT_SQL = "vd AS (SELECT case_id, CASE WHEN quality = 1 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cs JOIN labels ON doc_id = conv_id)"
 
 
-def _results(spark):
-    return evaluate.run_assertions(cases(spark), spec(spark), deprecated(spark))
+def verdicts(spark, d):
+    """A judge's verdict for the cases of conversations that have a label."""
+    rated = _t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "PASS").otherwise("FAIL").alias("verdict"))
+    return cases(spark, d).join(rated, F.col("doc_id") == F.col("conv_id")).select("case_id", "verdict")
+
+
+def _results(spark, d):
+    return evaluate.run_assertions(cases(spark, d), spec(spark), deprecated(spark))
 
 
 @query(f"{RESULTS_SQL} SELECT name, count(*) FILTER (WHERE status <> 'n/a') AS applies, count(*) FILTER (WHERE status = 'fail') AS fails FROM al GROUP BY name")
 def assertion_summary(spark, d):
-    return evaluate.assertion_summary(_results(spark))
+    return evaluate.assertion_summary(_results(spark, d))
 
 
-@query(f"""{RESULTS_SQL}, vd(case_id, verdict) AS ({VERDICTS}), ok AS (SELECT case_id, count(*) FILTER (WHERE status = 'fail') = 0 AS a FROM al GROUP BY case_id),
+@query(f"""{RESULTS_SQL}, {VERDICT_SQL}, ok AS (SELECT case_id, count(*) FILTER (WHERE status = 'fail') = 0 AS a FROM al GROUP BY case_id),
 f AS (SELECT mode, a, coalesce(verdict = 'PASS', false) AS j FROM cs JOIN ok USING (case_id) LEFT JOIN vd USING (case_id))
 SELECT coalesce(mode, 'all') AS mode, count(*) AS n, count(*) FILTER (WHERE a) AS assertions, count(*) FILTER (WHERE j) AS judge, count(*) FILTER (WHERE a AND j) AS both FROM f GROUP BY ROLLUP (mode)""")
 def pass_rate_by_mode(spark, d):
-    return evaluate.pass_rates(cases(spark), _results(spark), spark.sql(f"select * from {VERDICTS} as t(case_id, verdict)"))
+    return evaluate.pass_rates(cases(spark, d), _results(spark, d), verdicts(spark, d))
 
 
 # ---------------------------------------------------------------- agreement
@@ -820,30 +842,39 @@ def agreement_heldout(spark, d):
     return evaluate.agreement(_raters(spark, d), shown)
 
 
-RUNS = "values ('r1', 'c1', 'PASS'), ('r1', 'c2', 'FAIL'), ('r1', 'c3', 'PASS'), ('r2', 'c1', 'PASS'), ('r2', 'c2', 'PASS'), ('r2', 'c3', 'PASS'), ('r3', 'c1', 'FAIL'), ('r3', 'c2', 'FAIL'), ('r3', 'c3', 'PASS')"
-HUMAN = "values ('c1', 'PASS'), ('c2', 'FAIL'), ('c3', 'PASS')"
+#: Three runs of a judge over the labelled documents: as the label says, turned round for every seventh, always PASS.
+HUMAN_SQL = "hu AS (SELECT doc_id::VARCHAR AS case_id, CASE WHEN quality = 1 THEN 'PASS' ELSE 'FAIL' END AS label FROM labels)"
+RUN_SQL = HUMAN_SQL + ", ru AS (SELECT 'r1' AS run, case_id, label AS verdict FROM hu UNION ALL SELECT 'r2', case_id, CASE WHEN case_id::BIGINT % 7 = 0 THEN CASE label WHEN 'PASS' THEN 'FAIL' ELSE 'PASS' END ELSE label END FROM hu UNION ALL SELECT 'r3', case_id, 'PASS' FROM hu)"
+
+
+def _human(spark, d):
+    return _t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("case_id"), F.when(F.col("quality") == 1, "PASS").otherwise("FAIL").alias("label"))
 
 
-@query(f"""ru(run, case_id, verdict) AS ({RUNS}), hu(case_id, label) AS ({HUMAN}),
-g AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE verdict = label) AS agree, count(*) FILTER (WHERE case_id <> 'c1') AS held_out, count(*) FILTER (WHERE verdict = label AND case_id <> 'c1') AS agree_held_out FROM ru JOIN hu USING (case_id) GROUP BY run)
+@query(f"""{RUN_SQL},
+g AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE verdict = label) AS agree, count(*) FILTER (WHERE case_id::BIGINT >= 50) AS held_out, count(*) FILTER (WHERE verdict = label AND case_id::BIGINT >= 50) AS agree_held_out FROM ru JOIN hu USING (case_id) GROUP BY run)
 SELECT *, (SELECT count(*) FROM (SELECT case_id FROM ru GROUP BY case_id HAVING count(DISTINCT verdict) > 1)) AS moving_cases, (SELECT round(avg(agree / n), 6) FROM g) AS mean_agree, (SELECT round(avg(agree_held_out / held_out), 6) FROM g) AS mean_held_out FROM g""")
 def verdict_stability(spark, d):
-    return evaluate.stability(spark.sql(f"select * from {RUNS} as t(run, case_id, verdict)"), spark.sql(f"select * from {HUMAN} as t(case_id, label)"), spark.sql("select 'c1' as case_id"))
+    human = _human(spark, d)
+    turned = F.when(F.col("label") == "PASS", "FAIL").otherwise("PASS")
+    says = (F.col("label"), F.when(F.col("case_id").cast("long") % 7 == 0, turned).otherwise(F.col("label")), F.lit("PASS"))
+    runs = [human.select(F.lit(f"r{i}").alias("run"), "case_id", v.alias("verdict")) for i, v in enumerate(says, 1)]
+    return evaluate.stability(runs[0].unionByName(runs[1]).unionByName(runs[2]), human, human.where("cast(case_id as long) < 50").select("case_id"))
 
 
 #: Answers, locked answers, labels and locked labels by their digests, runs so far, version, prediction.
 LOCKS = (("a", "a", "b", "b", 0, "v1", False), ("a", "z", "b", "b", 0, "v1", False), ("a", "a", "b", "z", 0, "v1", False), ("a", "a", "b", None, 0, "v1", False), ("a", "a", "b", "b", 2, "v1", False), ("a", "a", "b", "b", 0, "v2", False), ("a", "a", "b", "b", 0, "v2", True), ("a", "a", "b", "b", 0, "v1", False))
 
 
-@query(f"""hu(case_id, label) AS ({HUMAN}), lk(i, a, la, l, ll, runs, version, predicted) AS (VALUES {', '.join('(' + ', '.join([str(i), *("NULL" if v is None else repr(v) if isinstance(v, str) else str(v) for v in x)]) + ')' for i, x in enumerate(LOCKS))}),
+@query(f"""{HUMAN_SQL}, lk(i, a, la, l, ll, runs, version, predicted) AS (VALUES {', '.join('(' + ', '.join([str(i), *("NULL" if v is None else repr(v) if isinstance(v, str) else str(v) for v in x)]) + ')' for i, x in enumerate(LOCKS))}),
 y AS (SELECT i, CASE WHEN i = 7 THEN 'wrong number of labels' WHEN (SELECT count(*) FILTER (WHERE label NOT IN ('PASS', 'FAIL')) FROM hu) > 0 THEN 'incomplete labels' WHEN ll IS NULL THEN 'labels aren''t locked' WHEN l <> ll THEN 'labels changed after the lock' WHEN a <> la THEN 'answers changed after the lock'
   WHEN version <> 'v1' AND NOT predicted THEN 'no prediction before the run' WHEN runs > 0 THEN 'judge runs exist already' ELSE '' END AS reason FROM lk)
 SELECT i::INTEGER AS i, reason = '' AS valid, reason FROM y""")
 def label_lock_check(spark, d):
-    labels = spark.sql(f"select * from {HUMAN} as t(case_id, label)")
-    out = None
+    labels = _human(spark, d)
+    n, out = labels.count(), None
     for i, (a, la, l, ll, runs, version, predicted) in enumerate(LOCKS):
-        one = evaluate.lock_check(labels, a, la, l, ll, runs, 4 if i == 7 else 3, version, predicted).select(F.lit(i).alias("i"), "valid", "reason")
+        one = evaluate.lock_check(labels, a, la, l, ll, runs, n + (i == 7), version, predicted).select(F.lit(i).alias("i"), "valid", "reason")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -860,21 +891,25 @@ def judge_prompt(spark, d):
     return evaluate.judge_prompts(full, TEMPLATE).select("query_id", F.md5("prompt").alias("prompt"))
 
 
-RAW = """values ('c1', 'Sure: {"verdict": "PASS", "reason": "fine"} ok'), ('c2', '{"verdict": "MAYBE"}'), ('c3', 'none'), ('c4', '{"verdict": "FAIL"}')"""
+#: What a judge may reply to a labelled document, by the rest of its number; ``{}`` is its verdict.
+REPLIES = ('Sure: {"verdict": "{}", "reason": "fine"} ok', '{"verdict": "MAYBE"}', "none", '{"verdict": "{}"}')
+RAW_SQL = f"{HUMAN_SQL}, ra AS (SELECT case_id, replace(reply, '{{}}', label) AS raw FROM hu JOIN (VALUES {', '.join(f'({_sql_text(r)}, {i})' for i, r in enumerate(REPLIES))}) AS r(reply, no) ON no = case_id::BIGINT % 4)"
 
 
-@query(rf"ra(case_id, raw) AS ({RAW}), j AS (SELECT case_id, regexp_extract(raw, '(?s)\{{.*\}}') AS o FROM ra) SELECT case_id, o->>'verdict' AS verdict, coalesce(o->>'reason', '') AS reason FROM j WHERE o <> '' AND o->>'verdict' IN ('PASS', 'FAIL')")
+@query(rf"{RAW_SQL}, j AS (SELECT case_id, regexp_extract(raw, '(?s)\{{.*\}}') AS o FROM ra) SELECT case_id, o->>'verdict' AS verdict, coalesce(o->>'reason', '') AS reason FROM j WHERE o <> '' AND o->>'verdict' IN ('PASS', 'FAIL')")
 def parse_verdict(spark, d):
-    return evaluate.parse_verdicts(spark.sql(f"select * from {RAW} as t(case_id, raw)"))
-
-
-WANT, HAVE = "values ('c1', 'p1', 'a1'), ('c2', 'p1', 'a1'), ('c3', 'p2', 'a1')", "values ('c1', 'p1', 'a1'), ('c2', 'p0', 'a1'), ('c3', 'p2', 'a0')"
+    replies = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("case_id").cast("long") % 4 + 1).cast("int"))
+    return evaluate.parse_verdicts(_human(spark, d).select("case_id", F.replace(replies, F.lit("{}"), F.col("label")).alias("raw")))
 
 
-@query(f"w(case_id, prompt_sha, answers_sha) AS ({WANT}), h(case_id, prompt_sha, answers_sha) AS ({HAVE}) SELECT * FROM w EXCEPT SELECT * FROM h")
+@query("""SELECT doc_id::VARCHAR AS case_id, 'p' || doc_id % 3 AS prompt_sha, 'a' || quality AS answers_sha FROM labels EXCEPT SELECT doc_id::VARCHAR, CASE WHEN doc_id % 5 = 0 THEN 'p0' ELSE 'p' || doc_id % 3 END, CASE WHEN doc_id % 4 = 0 THEN 'a0' ELSE 'a' || quality END FROM labels""")
 def judge_cache_todo(spark, d):
-    cols = "t(case_id, prompt_sha, answers_sha)"
-    return evaluate.judge_todo(spark.sql(f"select * from {WANT} as {cols}"), spark.sql(f"select * from {HAVE} as {cols}"))
+    """Cached are verdicts of which some are for another prompt and some for another answer."""
+    rows, doc, keys = _t(spark, d, "labels"), F.col("doc_id"), ("case_id", "prompt_sha", "answers_sha")
+    sha = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    want = rows.select(doc.cast("string"), sha("p", doc % 3), sha("a", F.col("quality"))).toDF(*keys)
+    have = rows.select(doc.cast("string"), F.when(doc % 5 == 0, "p0").otherwise(sha("p", doc % 3)), F.when(doc % 4 == 0, "a0").otherwise(sha("a", F.col("quality")))).toDF(*keys)
+    return evaluate.judge_todo(want, have)
 
 
 JUDGED_SQL = rf"""{Q}, {C}, {BM25}, {BM25_LISTS}, jc AS (SELECT query_id AS case_id, question, array_to_string(list_transform(hits, lambda h: '[' || h.rank || '] ' || h.chunk_id || chr(10) || h.text), chr(10) || chr(10)) AS context,
@@ -904,6 +939,10 @@ def _run(spark, d) -> trace.Run:
     return trace.Run(pipeline="hybrid", collection="documents", top_k=5, threshold=THRESHOLD, floor=FLOOR, corpus_version=kept["version"])
 
 
+#: A run of another depth, kept to English.
+ENGLISH = {"pipeline": "baseline", "top_k": 2, "filters": {"lang": "en"}}
+
+
 def _traces(spark, d):
     """Traces of all questions, through the trace log."""
     found, q = corpus(spark, d)
@@ -951,22 +990,40 @@ def regression_replay(spark, d):
     return trace.replay(_changed(spark, d)).agg(F.count(F.lit(1)).alias("traces"), F.count_if("same").alias("identical"))
 
 
-@query(f"""{TRACED_SQL} SELECT question, md5(answer) AS replayed, true AS same_hits, true AS same_output, 'corpus_version' AS moved FROM tr JOIN an USING (query_id)""")
-def trace_replay_full(spark, d):
-    """Retrieval and answer again, under a run that says the corpus has changed."""
+#: What a run that is kept to English retrieves.
+FILTERED_SQL = f"""{BOTH},
+de AS MATERIALIZED (SELECT query_id, chunk_id, dense, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, chunk_id) AS dense_rank FROM dn JOIN documents ON doc_id = chunk_id WHERE lang = 'en'),
+re AS (SELECT query_id, chunk_id, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, dense_rank) AS rank
+  FROM (SELECT de.*, dense + 0.15 * {overlap('question', 'text')} AS final FROM de JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE dense_rank <= 6))"""
+
+
+@query(f"""{FILTERED_SQL} SELECT question, coalesce(string_agg(chunk_id || ':' || rank, ',' ORDER BY rank) FILTER (WHERE rank <= 2), '') AS hits, 'en' AS lang FROM q LEFT JOIN re USING (query_id) GROUP BY q.query_id, question""")
+def trace_filtered(spark, d):
+    """Traces of a run with a filter: what was retrieved has the value that the trace says."""
     found, q = corpus(spark, d)
-    t, now = _traces(spark, d), dataclasses.replace(_run(spark, d), corpus_version="another")
-    again = trace.replay_full(t, found, q, now).join(t.select("trace_id", "question"), "trace_id")
-    return again.select("question", F.md5("replayed").alias("replayed"), "same_hits", "same_output", F.array_join("moved", ",").alias("moved"))
+    t = trace.ask(found, q, common_array(spark, d), dataclasses.replace(_run(spark, d), **ENGLISH))
+    hits = F.array_join(F.transform("retrieved", lambda h: F.concat(h["chunk_id"], F.lit(":"), h["rank"].cast("string"))), ",")
+    return t.select("question", hits.alias("hits"), F.element_at("params.filters", F.lit("lang")).alias("lang"))
 
 
-LOG_A, LOG_B = "values ('t1', '2024-01-01', 'old'), ('t2', '2024-01-01', 'kept'), ('t2', '2024-01-02', 'later line')", "values ('t1', '2023-01-01', 'new'), ('t3', '2024-01-03', 'own')"
+@query(f"""q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 9), ' ') AS question FROM benchmark),
+lo AS (SELECT question, 2 AS top_k FROM q UNION ALL SELECT question, 5 FROM q)
+SELECT question, top_k, true AS same_hits, true AS same_output, 'corpus_version' AS moved FROM lo""")
+def trace_replay_full(spark, d):
+    """Retrieval and answer again for a log of two depths, one of them filtered, under a run that says the corpus has changed."""
+    found, q = corpus(spark, d)
+    run, common = dataclasses.replace(_run(spark, d), pipeline="baseline"), common_array(spark, d)
+    log = session.table(trace.ask(found, q, common, run).unionByName(trace.ask(found, q, common, dataclasses.replace(run, **ENGLISH))), "trace-log")
+    again = trace.replay_full(log, found, q, dataclasses.replace(run, corpus_version="another")).join(log.select("trace_id", "question", "params.top_k"), "trace_id")
+    return again.select("question", "top_k", "same_hits", "same_output", F.array_join("moved", ",").alias("moved"))
 
 
-@query("v(trace_id, raw_output) AS (VALUES ('t1', 'new'), ('t2', 'later line'), ('t3', 'own')) SELECT * FROM v")
+@query("""l AS (SELECT 't' || user_id AS trace_id, ts::VARCHAR AS ts, event_id::VARCHAR AS raw_output, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS later FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY later DESC, ts DESC, raw_output DESC) AS r FROM l) SELECT trace_id, raw_output FROM r WHERE r = 1""")
 def trace_union(spark, d):
-    cols = "t(trace_id, ts, raw_output)"
-    return trace.union_logs(spark.sql(f"select * from {LOG_A} as {cols}"), spark.sql(f"select * from {LOG_B} as {cols}")).select("trace_id", "raw_output")
+    """Two logs of a user's events: every third event is in the later one."""
+    rows = _t(spark, d, "events").select("event_id", F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id"), F.col("ts").cast("string").alias("ts"), F.col("event_id").cast("string").alias("raw_output"))
+    return trace.union_logs(rows.where("event_id % 3 <> 0").drop("event_id"), rows.where("event_id % 3 = 0").drop("event_id")).select("trace_id", "raw_output")
 
 
 @query("SELECT event_id, event_type, row_number() OVER (ORDER BY md5('7:' || event_id), event_id)::INTEGER AS pos FROM events ORDER BY md5('7:' || event_id), event_id LIMIT 20")
