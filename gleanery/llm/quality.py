@@ -205,8 +205,17 @@ def strength(n: float | None, ss: float | None, k: int, m: float) -> float:
     the groups' means from m, by rows) beyond binomial noise."""
     if not n or k < 2:
         return 100.0
-    spread = max(ss / n - m * (1 - m) * k / n, 1e-6)
-    return float(min(max(m * (1 - m) / spread - 1, 5.0), 1000.0))
+    return _clamped(m * (1 - m), ss / n - m * (1 - m) * k / n)
+
+
+def strength_within(n: float | None, ss: float | None, noise: float | None, v: float | None) -> float:
+    """The same for groups within groups, over those outer groups that have several: ``ss`` holds squared gaps of the inner means
+    from their own outer group's mean, ``noise`` what binomial noise alone would make of them, ``v`` the variance within, by rows."""
+    return _clamped(v / n, (ss - noise) / n) if n else 100.0
+
+
+def _clamped(variance: float, spread: float) -> float:
+    return float(min(max(variance / max(spread, 1e-6) - 1, 5.0), 1000.0))
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
@@ -214,14 +223,20 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     paths = common.table(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(f"s_{t}") for t in TARGETS)), "quality-paths")
     total = paths.agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(t) for t in TARGETS)).first()
     mean = {t: (total[t] or 0.0) / (total.n or 1) for t in TARGETS}
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS))
-
-    def strengths(level: DataFrame) -> dict[str, float]:
-        spread = (F.sum(F.col("n") * F.pow(F.col(f"s_{t}") / F.col("n") - mean[t], 2)).alias(t) for t in TARGETS)
-        r = level.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *spread).first()
-        return {t: strength(r.n, r[t], r.k, mean[t]) for t in TARGETS}
-
-    kh, kp = strengths(hosts), strengths(paths)
+    inner = (F.sum(F.pow(f"s_{t}", 2) / F.col("n")).alias(f"q_{t}") for t in TARGETS)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS), *inner)
+    hosts = common.table(hosts, "quality-host-sums")
+    own = lambda t: F.col(f"s_{t}") / F.col("n")
+    spread = (F.sum(F.col("n") * F.pow(own(t) - mean[t], 2)).alias(t) for t in TARGETS)
+    r = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *spread).first()
+    kh = {t: strength(r.n, r[t], r.k, mean[t]) for t in TARGETS}
+    # a host's paths: gaps of their means from its own, by rows, are the sum of s^2 / n less that of the host
+    within = [F.sum("n").alias("n")]
+    for t in TARGETS:
+        v = own(t) * (1 - own(t))
+        within += [F.sum(F.col(f"q_{t}") - F.col("n") * F.pow(own(t), 2)).alias(f"ss_{t}"), F.sum(v * (F.col("k") - 1)).alias(f"noise_{t}"), F.sum(F.col("n") * v).alias(f"v_{t}")]
+    r = hosts.where("k > 1").agg(*within).first()
+    kp = {t: strength_within(r.n, r[f"ss_{t}"], r[f"noise_{t}"], r[f"v_{t}"]) for t in TARGETS}
     host = hosts.select(F.col("host").alias("h"), *(((F.lit(kh[t] * mean[t]) + F.col(f"s_{t}")) / (F.lit(kh[t]) + F.col("n"))).alias(f"host_{t}") for t in TARGETS))
     both = paths.join(common.table(host, "quality-hosts"), F.col("host").eqNullSafe(F.col("h")))
     return both.select(

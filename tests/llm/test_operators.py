@@ -441,7 +441,11 @@ def test_site_posteriors(spark):
             return min(max(total * (1 - total) / max(spread, 1e-6) - 1, 5.0), 1000.0)
 
         hosts, paths = groups(lambda x: x[0]), groups(lambda x: (x[0], x[1]))
-        kh, kp = strength(hosts), strength(paths)
+        mean, several = {h: sum(v) / len(v) for h, v in hosts.items()}, {h for h in hosts if sum(own[0] == h for own in paths) > 1}
+        gaps = sum(len(v) * (sum(v) / len(v) - mean[h]) ** 2 for (h, _), v in paths.items() if h in several)
+        noise = sum(mean[h] * (1 - mean[h]) * (sum(own[0] == h for own in paths) - 1) for h in several)
+        n, inside = sum(len(hosts[h]) for h in several), sum(len(hosts[h]) * mean[h] * (1 - mean[h]) for h in several)
+        kh, kp = strength(hosts), min(max(inside / n / max((gaps - noise) / n, 1e-6) - 1, 5.0), 1000.0)
         host = {h: (kh * total + sum(v)) / (kh + len(v)) for h, v in hosts.items()}
         return {(h, p): (host[h], (kp * host[h] + sum(v)) / (kp + len(v)), total) for (h, p), v in paths.items()}
 
@@ -455,6 +459,17 @@ def test_site_posteriors(spark):
     assert quality.site_posteriors(spark.createDataFrame([], "host string, path string, quality double, toxic double")).count() == 0
 
 
+def test_paths_are_pulled_to_their_own_host(spark):
+    """Hosts far apart whose paths differ by noise alone: a path with a few odd rows stays with its host.  Where paths do differ
+    within hosts, it goes its own way."""
+    r = random.Random(1)
+    row = lambda h, p, m: (h, p, float(r.random() < m), 0.0)
+    same = [row(h, f"p{i}", m) for h, m in (("low", 0.1), ("high", 0.9)) for i in range(40) for _ in range(50)] + [("low", "odd", 1.0, 0.0)] * 5
+    apart = [row(h, f"p{i}", (0.05, 0.95)[i % 2]) for h in ("low", "high") for i in range(40) for _ in range(50)] + [("low", "odd", 1.0, 0.0)] * 5
+    of = lambda rows: next(x for x in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, quality double, toxic double")).collect() if x.p == "odd")
+    assert of(same).site_quality < 0.15 and of(apart).site_quality > 0.7
+
+
 def test_quality_moves_by_the_site(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(10, 60)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs.select("doc_id", "text", "source", "lang"), labels, keep_text=False)
