@@ -26,6 +26,8 @@ OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc-by", "cc", "cc by"), ("gpl", "general", "general public license"), ("reserved", "reserved", "all rights reserved"))
 WEIGHT = {0: 0.5, 1: 1.0, 2: 0.9, 3: 0.75, 4: 0.6, 5: 0.3}
 HINT = 5
+#: Hits that one array is grown over.
+FOLD = 128
 
 
 def spaced(pattern: str) -> str:
@@ -84,9 +86,21 @@ def _places(norm: Column, rule: Column) -> Column:
     ))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` and its lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without_hints_around_names(hits: Column) -> Column:
-    """Hits in order, without the hints that a name lies in.  Goes from the end; ``least`` is where the first name ends."""
-    zero = F.struct(F.lit(2**31 - 1).alias("least"), F.slice(hits, 1, 0).alias("kept"))
+    """Hits in order, without the hints that a name lies in.
+
+    Goes from the end in blocks, as growing an array copies it: ``least`` is where the first name ends, in the blocks after
+    this one to begin with.
+    """
+    far = F.lit(2**31 - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / FOLD).cast("int")), lambda b: F.slice(hits, b * FOLD + 1, FOLD))
+    ends = lambda block: F.coalesce(F.array_min(F.transform(F.filter(block, lambda h: h["prio"].between(1, 3)), lambda h: -h["neg_end"])), far)
+    later = lambda e: F.transform(e, lambda x, i: F.coalesce(F.array_min(F.slice(e, i + 2, F.size(e))), far))
 
     def back(acc: Column, h: Column) -> Column:
         end = -h["neg_end"]
@@ -95,7 +109,8 @@ def _without_hints_around_names(hits: Column) -> Column:
             F.when((h["prio"] == HINT) & (acc["least"] <= end), acc["kept"]).otherwise(F.array_append(acc["kept"], h)).alias("kept"),
         )
 
-    kept = F.aggregate(F.reverse(hits), zero, back, lambda a: F.reverse(a["kept"]))
+    fold = lambda block, least: F.aggregate(F.reverse(block), F.struct(least.alias("least"), F.slice(block, 1, 0).alias("kept")), back, lambda a: F.reverse(a["kept"]))
+    kept = _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, _let(F.transform(blocks, ends), later), fold)))
     return F.when(F.exists(hits, lambda h: h["prio"] == HINT), kept).otherwise(hits)
 
 

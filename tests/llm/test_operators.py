@@ -69,6 +69,25 @@ def union_find(nodes, links):
 
 # ---------------------------------------------------------------- 1
 
+def test_license_scan_of_many_hits(spark):
+    """Tens of thousands of hits in a text: time grows with them, not with their square; blocks change nothing."""
+    import time
+
+    took = []
+    for n in (2_000, 2_000, 24_000):
+        rows = frame(spark, [(1, "licensed under the mit license x " * n)])
+        began = time.perf_counter()
+        out = license_scan.scan(rows).collect()
+        took.append(time.perf_counter() - began)
+        assert (out[0].labels, out[0].n_hits, out[0].n_words) == ("mit", 2 * n, 6 * n)
+    assert took[2] < 30 * took[1] + 5
+    few = [(i, " ".join(random.Random(i).choices(["licensed under the", "mit license", "x", "apache license version 2.0", "license", "gpl"], k=60))) for i in range(40)]
+    whole = sorted(map(tuple, license_scan.scan(frame(spark, few)).collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(license_scan, "FOLD", 3)
+        assert sorted(map(tuple, license_scan.scan(frame(spark, few)).collect())) == whole
+
+
 def test_license_scan(spark, docs, empty):
     rows = [
         (1, "Work (CC-BY 4.0), see. All rights\nreserved!"), (2, "GNU General Public License version 3 or cc by"), (3, None), (4, "xcc by, ccby and All Rights Reservedly"),
