@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gleanery import session
 from gleanery.functions import text as T
 from gleanery.operators import answer as A
-from gleanery.operators import chunking, cluster, evaluate, retrieve, trace
+from gleanery.operators import chunking, cluster, evaluate, retrieve, runs, trace
 from gleanery.operators.vectors import VectorIndex
 from gleanery.sources import files
 from gleanery.streaming import traces as stream
@@ -771,6 +771,37 @@ def assert_no_repetition(spark, d):
     return evaluate.repetition(said)
 
 
+#: A symbol is the longest word of an item (the first of several), and what is to be used instead the item's id.
+@query(rf"""iw AS (SELECT item_id, regexp_extract_all(text, '[a-z]{{6,}}') AS w FROM benchmark),
+sy AS (SELECT item_id::VARCHAR AS use, list_sort(list_transform(w, lambda x, i: {{'n': -length(x), 'i': i, 'w': x}}))[1].w AS symbol FROM iw WHERE len(w) > 0),
+tk AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS symbol FROM documents),
+ht AS (SELECT doc_id, list_sort(list({{'symbol': symbol, 'use': use}})) AS h FROM tk JOIN sy USING (symbol) GROUP BY doc_id),
+hb AS (SELECT d.doc_id AS case_id, h, regexp_matches(coalesce(text, ''), '(?i)\b(removed|renamed|replaced|deprecated|is now|no longer|instead|in favou?r of)\b') AS noted FROM documents d LEFT JOIN ht USING (doc_id))
+SELECT case_id, CASE WHEN h IS NULL THEN 'n/a' WHEN noted THEN 'pass' ELSE 'fail' END AS status,
+  CASE WHEN h IS NULL THEN 'names nothing deprecated' WHEN noted THEN array_to_string(list_transform(h, lambda x: x.symbol), ', ') || ' with a migration note' ELSE array_to_string(list_transform(h, lambda x: x.symbol), ', ') || ' without a migration note (use ' || h[1].use || ')' END AS detail FROM hb""")
+def deprecations_in_documents(spark, d):
+    """Every text against a pattern for each item of the benchmark."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))
+    longest = F.array_min(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))["w"]
+    symbols = _t(spark, d, "benchmark").select(longest.alias("symbol"), F.col("item_id").cast("string").alias("replacement")).where("symbol is not null")
+    symbols = symbols.withColumn("pattern", F.concat(F.lit("(?<![A-Za-z0-9_])"), "symbol", F.lit("(?![A-Za-z0-9_])")))
+    return evaluate.deprecations(_spread(_t(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("answer"))), symbols)
+
+
+@query(r"""cw AS (SELECT conv_id || '/' || turn AS case_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM conversations),
+pw AS (SELECT case_id, w[i] AS word, i FROM (SELECT case_id, w, unnest(range(1, len(w) + 1)) AS i FROM cw)),
+eq AS (SELECT a.case_id, a.i, b.i - a.i AS gap FROM pw a JOIN pw b ON a.case_id = b.case_id AND a.word = b.word AND a.i < b.i),
+il AS (SELECT case_id, gap, i, i - row_number() OVER (PARTITION BY case_id, gap ORDER BY i) AS island FROM eq),
+ln AS (SELECT case_id, count(*) AS n, min(i) AS i FROM il GROUP BY case_id, gap, island),
+mx AS (SELECT case_id, max(n) AS n FROM ln GROUP BY case_id), be AS (SELECT case_id, n, min(i) AS i FROM ln JOIN mx USING (case_id, n) GROUP BY ALL)
+SELECT case_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS longest, (i - 1)::BIGINT AS at, array_to_string(w[i:i + n - 1], ' ') AS passage FROM cw LEFT JOIN be USING (case_id)""")
+def longest_repeat(spark, d):
+    """The longest passage that a turn says twice."""
+    said = _t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("case_id"), "text")
+    return runs.longest_repeats(said, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+
 FOUR_SQL = r"""fo AS (SELECT case_id, CASE WHEN refused OR state = '' THEN 'n/a' WHEN regexp_matches(body, '(?i)\b' || state || '\b') THEN 'pass' ELSE 'fail' END AS version_stated,
   CASE WHEN refused THEN 'refused' WHEN state = '' THEN 'no version asked for' WHEN regexp_matches(body, '(?i)\b' || state || '\b') THEN 'says ' || state ELSE 'never says ' || state END AS version_stated_detail,
   CASE WHEN cite = '' OR refused THEN 'n/a' WHEN coalesce(split_part(cited, '-', 1), '') = cite THEN 'pass' ELSE 'fail' END AS cites_question_version,
