@@ -410,17 +410,18 @@ r AS (
   SELECT doc_id, chunk_no + 1, a2, e + 1, greatest(e + 1, len(list_filter(c, lambda x: x <= {size} + c[a2])) - 1)::BIGINT
   FROM (SELECT r.*, s.c, len(list_filter(s.c[1:r.e + 1], lambda x: x < s.c[r.e + 1] - {overlap_})) + 1 AS a2 FROM r JOIN s USING (doc_id) WHERE r.e < len(s.ss))
 )
-SELECT doc_id, chunk_no::INTEGER AS chunk_no, a::INTEGER AS first, e::INTEGER AS last, (c[e + 1] - c[a])::INTEGER AS words, md5(array_to_string(ss[a:e], ' ')) AS content FROM r JOIN s USING (doc_id)"""
+SELECT doc_id, chunk_no::INTEGER AS chunk_no, a::INTEGER AS first, e::INTEGER AS last, (c[e + 1] - c[a])::INTEGER AS words,
+  coalesce(list_last(list_filter(list_transform(ss[1:e + 1], lambda x: trim(regexp_extract(x, '^(#{{1,6}})\s+(.*)$', 2))), lambda x: x <> '')), doc_id::VARCHAR) AS section, md5(array_to_string(ss[a:e], ' ')) AS content FROM r JOIN s USING (doc_id)"""
 
 
 @query(_window_sql(120, 25))
 def chunk_sentence_window(spark, d):
-    return chunking.chunk_sentences(_t(spark, d, "documents"), 120, 25).select("doc_id", "chunk_no", "first", "last", "words", F.md5("text").alias("content"))
+    return chunking.chunk_sentences(_t(spark, d, "documents"), 120, 25).select("doc_id", "chunk_no", "first", "last", "words", "section", F.md5("text").alias("content"))
 
 
 @query(_window_sql(300, 60))
 def chunk_large_window(spark, d):
-    return chunking.chunk_sentences(_t(spark, d, "documents"), 300, 60).select("doc_id", "chunk_no", "first", "last", "words", F.md5("text").alias("content"))
+    return chunking.chunk_sentences(_t(spark, d, "documents"), 300, 60).select("doc_id", "chunk_no", "first", "last", "words", "section", F.md5("text").alias("content"))
 
 
 def _compared_sql() -> str:

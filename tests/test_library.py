@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,18 +33,37 @@ def loop_windows(parts, size, overlap):
     return out + ([(held[0], held[-1])] if held else [])
 
 
+def spans(texts, size, overlap, heads=None):
+    counts = pa.array([None if t is None else [len(p.split()) for p in t] for t in texts], pa.list_(pa.int32()))
+    return chunking.window_spans(counts, pa.array(heads or [[] for _ in texts], pa.list_(pa.int32())), size, overlap).to_pylist()
+
+
 def test_sentence_windows():
     r = random.Random(1)
-    for _ in range(500):
-        parts = [" ".join(["w"] * r.randrange(1, 9)) for _ in range(r.randrange(1, 15))]
+    for _ in range(300):
+        texts = [[" ".join(["w"] * r.randrange(1, 9)) for _ in range(r.randrange(0, 15))] for _ in range(r.randrange(0, 6))]
         size = r.randrange(2, 12)
         overlap = r.randrange(0, size)
-        assert [c[1:3] for c in chunking.sentence_windows("p", parts, size, overlap)] == loop_windows(parts, size, overlap)
-
-
-def test_window_takes_the_section_of_the_heading_that_closes_it():
-    out = chunking.sentence_windows("p", ["a b c.", "## Next part", "d e."], 5, 0)
-    assert [c[0] for c in out] == ["Next part", "Next part"]
+        heads = [sorted(r.sample(range(1, len(t) + 1), r.randrange(0, len(t) + 1))) for t in texts]
+        got = spans(texts, size, overlap, heads)
+        assert [[(w["first"], w["last"]) for w in own] for own in got] == [loop_windows(t, size, overlap) for t in texts]
+        for own, t, h in zip(got, texts, heads, strict=True):
+            assert [w["words"] for w in own] == [sum(len(p.split()) for p in t[w["first"] - 1 : w["last"]]) for w in own]
+            assert [w["head"] for w in own] == [sum(x <= w["last"] + 1 for x in h) - 1 for w in own]
+
+
+def test_windows_of_a_slice_and_of_a_long_text():
+    counts, heads = pa.array([[9, 9], [1] * 200_000, [], [3, 3, 3]], pa.list_(pa.int32())), pa.array([[1, 2], [200_000], [], [2]], pa.list_(pa.int32()))
+    got = chunking.window_spans(counts[1:], heads[1:], 5, 2).to_pylist()
+    assert [w["first"] for w in got[0][:3]] == [1, 4, 7] and len(got[0]) == 66_666 and got[0][-1]["last"] == 200_000 and got[0][-1]["head"] == 0
+    assert got[1] == [] and [(w["first"], w["last"], w["head"]) for w in got[2]] == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+
+
+def test_headings(spark):
+    said = ["## Next part", "##", "## ", "####### deep", "#x y", "# \u00a0wide\u00a0", "plain # no", "#\ttab"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, s string").select("i", chunking.strict_heading(F.col("s")).alias("a"), chunking.loose_heading(F.col("s")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == ["Next part", "", "", "", "", "wide", "", "tab"]
+    assert [r.b for r in rows] == ["Next part", "", "", "deep", "x y", "wide", "", "tab"]
 
 
 def test_window_ids_and_loose_headings(spark):
