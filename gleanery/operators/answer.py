@@ -50,11 +50,13 @@ def quote(words: Column, text: Column) -> Column:
     return F.array_join(F.transform(F.slice(F.array_sort(found), 1, 2), lambda x: x["s"]), " ")
 
 
-def hit_lists(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, question, hits: array of (rank, chunk_id, final, text, and dense where hits have it); empty without hits."""
-    dense = ["dense"] if "dense" in hits.columns else []
-    full = hits.select("query_id", "rank", "chunk_id", "final", *dense).join(chunks.select("chunk_id", "text"), "chunk_id")
-    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "final", "text", *dense))).alias("hits"))
+def hit_lists(questions: DataFrame, hits: DataFrame, chunks: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, question, hits: array of (rank, chunk_id, final, text, dense where hits have it, and the columns ``more`` of
+    hits or chunks); empty without hits."""
+    extra = [*(["dense"] if "dense" in hits.columns else []), *(c for c in more if c != "dense")]
+    own = [c for c in extra if c in hits.columns]
+    full = hits.select("query_id", "rank", "chunk_id", "final", *own).join(chunks.select("chunk_id", "text", *(c for c in extra if c not in own)), "chunk_id")
+    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "final", "text", *extra))).alias("hits"))
     empty = F.array().cast(lists.schema["hits"].dataType)
     return questions.select("query_id", "question").join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
 

@@ -200,6 +200,29 @@ def inspection(listed: DataFrame, gold: DataFrame) -> DataFrame:
     return listed.join(tagged, "query_id", "left").select("query_id", F.concat(head, F.array_join(F.transform("hits", row), "\n")).alias("view"))
 
 
+def full_inspection(listed: DataFrame, gold: DataFrame, answers: DataFrame, labels: DataFrame, version: str = "sdk_version") -> DataFrame:
+    """query_id, view: for each question its gold chunk and the others that are right, its hits with version, scores, places in
+    both rankings and whether they are gold or right, the answer, and the label with its evidence.
+
+    ``listed`` is query_id, question and hits that carry ``version`` and, where known, dense, dense_rank, bm25_rank and rrf;
+    a dash stands for what is null.
+    """
+    right = gold.groupBy("query_id").agg(F.max(F.when(F.col("tagged"), F.col("chunk_id"))).alias("gold_id"), F.sort_array(F.collect_set(F.when(~F.col("tagged"), F.col("chunk_id")))).alias("others"))
+    has = {f.name for f in listed.schema["hits"].dataType.elementType.fields}
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    part = lambda h, c: h[c] if c in has else F.lit(None)
+    score = lambda h, c, n=3: said(F.round(part(h, c).cast("double"), n).cast(f"decimal(18,{n})"))
+    mark = lambda h: F.when(h["chunk_id"] == F.col("gold_id"), "**GOLD**").when(F.array_contains("others", h["chunk_id"]), "right too").otherwise("")
+    fusion = lambda h: F.concat(F.lit("vectors "), said(part(h, "dense_rank")), F.lit(", words "), said(part(h, "bm25_rank")), F.lit(", "), score(h, "rrf", 6))
+    row = lambda h: F.concat(F.lit("| "), F.concat_ws(" | ", h["rank"].cast("string"), h["chunk_id"].cast("string"), said(part(h, version)), score(h, "dense"), score(h, "final"), fusion(h), mark(h), _cell(h["text"])), F.lit(" |"))
+    full = listed.join(right, "query_id", "left").withColumn("others", F.coalesce("others", F.array().cast(right.schema["others"].dataType)))
+    full = full.join(answers.select("query_id", "answer"), "query_id", "left").join(labels.select("query_id", "label", "evidence"), "query_id", "left")
+    wanted = F.concat(F.lit("Gold: "), F.coalesce(F.col("gold_id").cast("string"), F.lit("none")), F.when(F.size("others") > 0, F.concat(F.lit(" (right too: "), F.array_join(F.col("others").cast("array<string>"), ", "), F.lit(")"))).otherwise(""))
+    lines = F.concat(F.array(F.lit("| rank | chunk | version | dense | final | fusion | gold? | text |"), F.lit("|---|---|---|---|---|---|---|---|")), F.transform("hits", row))
+    parts = [F.concat(F.lit("## "), F.col("query_id").cast("string"), F.lit(": "), F.col("question")), wanted, F.array_join(lines, "\n"), F.concat(F.lit("Answer: "), said(F.col("answer"))), F.concat(F.lit("Label: "), said(F.col("label")), F.lit(", "), said(F.col("evidence")))]
+    return full.select("query_id", F.concat_ws("\n\n", *parts).alias("view"))
+
+
 def reading_view(numbered: DataFrame) -> DataFrame:
     """pos, view: traces (with pos) to read one after the other: scores, retrieved texts, output."""
     score = lambda x: F.coalesce(F.format_string("%.3f", x), F.lit("-"))

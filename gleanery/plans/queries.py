@@ -1107,6 +1107,37 @@ def inspection_view(spark, d):
     return trace.inspection(bm25_lists(spark, d), gold(spark, d)).select("query_id", F.md5("view").alias("view"))
 
 
+DASH = lambda x: f"coalesce({x}::VARCHAR, '-')"
+FULL_VIEW_SQL = rf"""{HYBRID}, {HYBRID_LISTS}, {COMMON}, {_answer_sql()}, {GOLD},
+gi AS (SELECT query_id, max(chunk_id) FILTER (WHERE tagged) AS gold_id, coalesce(list(DISTINCT chunk_id ORDER BY chunk_id) FILTER (WHERE NOT tagged), []) AS others FROM gold GROUP BY query_id),
+tp AS (SELECT query_id, min(rank) FILTER (WHERE tagged) AS deep, string_agg(chunk_id::VARCHAR, ', ' ORDER BY rank) FILTER (WHERE rank <= 3) AS top FROM hy LEFT JOIN gold USING (query_id, chunk_id) GROUP BY query_id),
+lb AS (SELECT q.query_id, question, gold_id, others, deep, top, gate, answer, CASE WHEN gold_id IS NULL THEN 'NIC' WHEN coalesce(deep, 99) > 3 THEN 'R' WHEN gate = 'open' AND contains(lower(answer), lower(array_to_string(string_split(b.text, ' ')[1:4], ' '))) THEN 'PASS' ELSE 'G' END AS label
+  FROM q JOIN benchmark b ON item_id = q.query_id JOIN an ON an.query_id = q.query_id LEFT JOIN gi ON gi.query_id = q.query_id LEFT JOIN tp ON tp.query_id = q.query_id),
+ev AS (SELECT *, CASE WHEN label = 'NIC' THEN 'no correct chunk in the corpus' ELSE 'gold ' || gold_id || ' ' || CASE WHEN deep IS NULL THEN 'not among ' || (SELECT max(rank) FROM hy) ELSE 'at rank ' || deep END
+  || CASE label WHEN 'R' THEN '; shown ' || coalesce(top, 'nothing') WHEN 'G' THEN '; ' || CASE gate WHEN 'open' THEN 'another passage was quoted' ELSE 'refused by ' || gate END ELSE '' END END AS evidence FROM lb),
+vr AS (SELECT query_id, string_agg('| ' || rank || ' | ' || hy.chunk_id || ' | ' || {DASH("lang")} || ' | ' || {DASH("round(dense, 3)::DECIMAL(18,3)")} || ' | ' || round(final, 3)::DECIMAL(18,3)
+  || ' | vectors ' || {DASH("dense_rank")} || ', words ' || {DASH("bm25_rank")} || ', ' || round(rrf, 6)::DECIMAL(18,6) || ' | ' || CASE WHEN hy.chunk_id = gold_id THEN '**GOLD**' WHEN list_contains(coalesce(others, []), hy.chunk_id) THEN 'right too' ELSE '' END
+  || ' | ' || left(replace(replace(d.text, chr(10), ' '), '|', '\|'), 110) || ' |', chr(10) ORDER BY rank) AS rows FROM hy JOIN documents d ON d.doc_id = hy.chunk_id LEFT JOIN gi USING (query_id) GROUP BY query_id)
+SELECT query_id, label, md5('## ' || query_id || ': ' || question || chr(10) || chr(10) || 'Gold: ' || coalesce(gold_id::VARCHAR, 'none') || CASE WHEN len(others) > 0 THEN ' (right too: ' || array_to_string(others, ', ') || ')' ELSE '' END || chr(10) || chr(10)
+  || '| rank | chunk | version | dense | final | fusion | gold? | text |' || chr(10) || '|---|---|---|---|---|---|---|---|' || coalesce(chr(10) || rows, '') || chr(10) || chr(10) || 'Answer: ' || answer || chr(10) || chr(10) || 'Label: ' || label || ', ' || evidence) AS view
+FROM ev LEFT JOIN vr USING (query_id)"""
+
+
+@query(FULL_VIEW_SQL)
+def inspection_hybrid(spark, d):
+    """The whole view of fused hits, with answers and labels; a document's language stands for its version, an item's first
+    four words for its fact."""
+    found, q = corpus(spark, d)
+    hits = session.table(retrieve.hybrid_topk(found, q, 5), "inspected")
+    lists = session.table(A.hit_lists(q, hits, found.chunks, ("dense_rank", "bm25_rank", "rrf", "lang")), "inspected-lists")
+    said = session.table(A.answers(lists, common_array(spark, d), THRESHOLD, FLOOR), "inspected-answers")
+    right = gold(spark, d)
+    facts = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.array_join(F.slice(F.split("text", " "), 1, 4), " ")).alias("facts"))
+    labels = evaluate.failure_labels(facts, hits.select("query_id", "rank", "chunk_id", F.lit(None).cast("boolean").alias("holds_token")), right, said)
+    labels = session.table(labels, "inspected-labels")
+    return trace.full_inspection(lists, right, said, labels, "lang").join(labels.select("query_id", "label"), "query_id").select("query_id", "label", F.md5("view").alias("view"))
+
+
 @query("SELECT '{\"source\":\"' || source || '\",\"n\":' || count(*) || '}' AS json FROM documents GROUP BY source")
 def report_json(spark, d):
     return files.report_json(_t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
