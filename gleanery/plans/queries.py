@@ -1193,3 +1193,11 @@ SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIM
 def stream_session_window(spark, d):
     out = stream.drain(stream.sessions(_events(spark, d), "user_id"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("""n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT user_id, 's' || lpad((pos // 5)::VARCHAR, 3, '0') AS session, count(*) AS n, min(pos)::BIGINT AS first FROM n GROUP BY ALL""")
+def stream_session_bucket(spark, d):
+    """Sessions of five events of a user.  Within a file no order of arrival is known, so sizes and places are compared."""
+    out = stream.drain(stream.bucketed(_events(spark, d), "user_id", "event_id"), "append")
+    return out.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
