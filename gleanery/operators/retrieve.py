@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,12 +225,28 @@ class HashedWords:
         self.size = size
 
     def encode(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
-        slots = F.transform(T.tokens_simple(F.col(text_col)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % self.size).cast("int"))
-        out = texts.withColumn("_slots", slots)
-        counts = F.aggregate("_slots", F.array_repeat(F.lit(0.0), self.size), lambda a, s: F.transform(a, lambda x, i: x + (i == s).cast("double")))
-        norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
-        out = out.withColumn("_counts", counts).withColumn("embedding", F.transform("_counts", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
-        return out.drop("_slots", "_counts")
+        slots = F.transform(T.tokens_simple(F.coalesce(F.col(text_col), F.lit(""))), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % self.size).cast("int"))
+        size = self.size
+
+        @F.arrow_udf("array<double>")
+        def counted(column: pa.Array) -> pa.Array:
+            off = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+            row = np.repeat(np.arange(len(column)), np.diff(off))
+            counts = np.bincount(row * size + flat, minlength=len(column) * size).reshape(-1, size).astype(float)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * size), pa.array(unit.ravel()))
+
+        return texts.withColumn("embedding", counted(slots))
+
+
+def embedded_topk(chunks: DataFrame, questions: DataFrame, embedder: Embedder, k: int, where: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, dense, rank: the ``k`` chunks (chunk_id, text and what the filter names) nearest to each question
+    (query_id, question), with the vectors that an embedder gives to both.  Null and empty texts have no direction: 0."""
+    keys = tuple(where or ())
+    made = VectorIndex.build(table(embedder.encode(chunks).select("chunk_id", "embedding", *keys), "embedded"), keys)
+    return dense_topk(made, embedder.encode(questions, "question").select("query_id", F.col("embedding").alias("query")), k, where=where)
 
 
 def indexed(vectors: DataFrame | VectorIndex, keys: tuple[str, ...]) -> VectorIndex:

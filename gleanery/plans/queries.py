@@ -591,6 +591,81 @@ def _write_files(spark, folder: str, content: dict[str, str]) -> None:
         out.close()
 
 
+@query(r"""w AS (SELECT page_id, string_split(lower(replace(regexp_extract(url, '([^/]+?)(?:\.[^./]*)?$', 1), '_', ' ')), ' ') AS w FROM pages)
+SELECT page_id, array_to_string(list_transform(w, lambda x: upper(x[1:1]) || x[2:]), ' ') AS title FROM w""")
+def page_titles(spark, d):
+    """Titles from the last part of addresses, as from file names."""
+    return _t(spark, d, "pages").select("page_id", T.page_title(F.col("url")).alias("title"))
+
+
+@query("SELECT item_id, md5(text) AS text FROM benchmark")
+def json_documents(spark, d):
+    """Items as files of one JSON object each, over several lines where the text is."""
+    path = session.new_path(spark, "objects")
+    one = F.regexp_replace(F.to_json(F.struct("item_id", "text")), '^\\{"item_id":', '{\n "item_id":\n ')
+    _t(spark, d, "benchmark").select(one.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.json_document(spark, path, "item_id long, text string").select("item_id", F.md5("text").alias("text"))
+
+
+@query("SELECT item_id || ',' || (item_id + 1) AS ids, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'Judge {answer}.' || chr(10)) AS prompt FROM benchmark")
+def prompt_templates(spark, d):
+    """A template for each item, with the ids of two examples in a line of its own and a note in another."""
+    path = session.new_path(spark, "templates")
+    at = F.col("item_id")
+    lines = F.concat_ws("\n", F.lit("#! version: 1"), "text", F.concat(F.lit("#! fewshot_ids: "), at.cast("string"), F.lit(" , "), (at + 1).cast("string"), F.lit(",")), F.lit("Judge {answer}."))
+    _t(spark, d, "benchmark").select(lines.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.prompt_template(spark, path).select(F.array_join("fewshot_ids", ",").alias("ids"), F.md5("prompt").alias("prompt"))
+
+
+@query("SELECT doc_id AS chunk_id, source, md5(text) AS text FROM documents WHERE lang = 'en' AND doc_id IN (SELECT item_id FROM benchmark)")
+def collection_get(spark, d):
+    """The documents of one collection that have an item's number, by id."""
+    path = session.new_path(spark, "collections")
+    files.write_collection(chunks(spark, d).withColumn("collection", F.col("lang")), path)
+    ids = [r.item_id for r in _t(spark, d, "benchmark").select("item_id").collect()]  # the ids asked for
+    return files.get(spark, path, "en", ids, "chunk_id").select("chunk_id", "source", F.md5("text").alias("text"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 2 = 0")
+def traces_fresh(spark, d):
+    """A run that starts anew leaves nothing of the run before."""
+    path, rows = session.new_path(spark, "log"), _t(spark, d, "events").select("event_id", "event_type")
+    files.append_traces(rows, path)
+    files.append_traces(rows.where("event_id % 4 = 0"), path, fresh=True)
+    files.append_traces(rows.where("event_id % 4 = 2"), path)
+    return files.json_lines(spark, path, "event_id long, event_type string")
+
+
+def _strategies_sql() -> str:
+    own = "documents AS (SELECT file AS doc_id, body AS text FROM b WHERE page_id IS NOT NULL AND sdk_version IS NOT NULL AND page_type IS NOT NULL)"
+    made = [f"SELECT '{name}' AS strategy, doc_id AS page_id, count(*) AS chunks FROM (WITH RECURSIVE {own}, {_window_sql(*sizes)}) GROUP BY doc_id" for name, sizes in (("naive", chunking.SMALL), ("large_windows", chunking.LARGE))]
+    return f"{STRUCTURED_SQL} SELECT 'structured' AS strategy, file AS page_id, count(*) AS chunks FROM sl GROUP BY file UNION ALL " + " UNION ALL ".join(made)
+
+
+@query(_strategies_sql())
+def chunk_strategies(spark, d):
+    """How many chunks each strategy makes of a page."""
+    pages = chunking.parse_pages(md_pages(spark, d)).where("size(missing) = 0").withColumn("page_id", F.col("file"))
+    out = None
+    for name in ("structured", "naive", "large_windows"):
+        one = chunking.make_chunks(pages, name).groupBy("page_id").agg(F.count(F.lit(1)).alias("chunks")).select(F.lit(name).alias("strategy"), "page_id", "chunks")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""{Q}, hw AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT % 256 AS slot, count(*) AS n FROM (SELECT doc_id AS id, unnest({simple('text')}) AS w FROM documents UNION ALL SELECT -1 - query_id, unnest({simple('question')}) FROM q) GROUP BY ALL),
+ln AS (SELECT id, sqrt(sum(n * n)) AS len FROM hw GROUP BY id),
+hp AS (SELECT a.id AS query_id, b.id AS chunk_id, sum(a.n * b.n) AS s FROM hw a JOIN hw b ON a.slot = b.slot AND a.id < 0 AND b.id >= 0 GROUP BY ALL),
+hs AS (SELECT -1 - q.query_id AS query_id, doc_id AS chunk_id, coalesce(s / (x.len * y.len), 0) AS dense FROM q CROSS JOIN documents LEFT JOIN hp ON hp.query_id = -1 - q.query_id AND hp.chunk_id = doc_id LEFT JOIN ln x ON x.id = -1 - q.query_id LEFT JOIN ln y ON y.id = doc_id),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, chunk_id) AS rank FROM hs)
+SELECT query_id, chunk_id, rank::INTEGER AS rank, round(dense, 6) AS dense FROM hr WHERE rank <= 10""")
+def embedded_topk(spark, d):
+    """Questions against all documents, by vectors of an embedder."""
+    asked = questions(spark, d).select((-1 - F.col("query_id")).alias("query_id"), "question")
+    out = retrieve.embedded_topk(chunks(spark, d), asked, retrieve.HashedWords(), 10)
+    return out.select("query_id", "chunk_id", "rank", F.round("dense", 6).alias("dense"))
+
+
 # ---------------------------------------------------------------- metrics
 
 RANKS = f"""{Q}, {C}, {BM25}, {GOLD}, hits AS MATERIALIZED (SELECT * FROM sparse WHERE rank <= 25),

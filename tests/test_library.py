@@ -480,3 +480,27 @@ def test_quantiles_of_skewed_groups(spark, n):
     for k, v in values.items():
         assert got[k] == (n, pytest.approx(statistics.median(v), abs=1e-6), pytest.approx(statistics.quantiles(v, n=20)[18], abs=1e-6))
     assert got[None] == (1, 3.0, 3.0)
+
+
+def test_hashed_words_by_count(spark):
+    import hashlib
+
+    from gleanery.operators import retrieve
+
+    texts = [(1, "a b a. c"), (2, ""), (3, None), (4, "word " * 5000), (1, "a b a. c")]
+    got = [(r.chunk_id, r.embedding) for r in retrieve.HashedWords(16).encode(spark.createDataFrame(texts, "chunk_id long, text string")).collect()]
+    for (i, text), (j, vector) in zip(texts, got, strict=True):
+        want = [0.0] * 16
+        for w in (text or "").replace(".", "").split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        norm = sum(x * x for x in want) ** 0.5
+        assert i == j and vector == pytest.approx([x / norm if norm else 0.0 for x in want])
+
+
+def test_embedded_search_with_a_filter(spark):
+    from gleanery.operators import retrieve
+
+    chunks = spark.createDataFrame([(1, "red fox", "en"), (2, "red wolf", "de"), (3, "", "en"), (4, None, "en")], "chunk_id long, text string, lang string")
+    asked = spark.createDataFrame([(-1, "red wolf"), (-2, "")], "query_id long, question string")
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.dense, 6)) for r in retrieve.embedded_topk(chunks, asked, retrieve.HashedWords(64), 2, {"lang": "en"}).collect()}
+    assert got == {(-1, 1): (1, 0.5), (-1, 2): (3, 0.0), (-2, 1): (1, 0.0), (-2, 2): (3, 0.0)}
