@@ -14,7 +14,7 @@ What becomes of hits: ``judge`` reports them, ``clean`` drops documents whose co
 COVER-th of the words at least) and cuts the spans of at least ``longest`` words out of the others.
 
 Results in special cases: a null text has no words; null or wordless items have no window; repeated documents are judged
-each; repeated items count each; an empty benchmark hits nothing; other columns pass through untouched, as they travel in
+each; rows that repeat an item_id are one item; an empty benchmark hits nothing; other columns pass through untouched, as they travel in
 a struct of their own, and only ``find_hits`` and ``judge`` put results in place of columns of the same name.
 """
 
